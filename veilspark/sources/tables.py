@@ -48,7 +48,7 @@ def list_tables(spark: SparkSession, folder: str) -> list[str]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame, *keys: str, below: int = SMALL_INPUT_BYTES) -> DataFrame:
