@@ -23,13 +23,15 @@ class Detector:
     ``spans(text, mode)`` gives the span array as SQL text. ``mode`` is ``"reference"`` for the
     documented span rules, or ``"safe"`` for treating text, where a hit that ends a scan early must not
     leave other personal data readable. ``gate(text)`` is a cheap test that is true for every text with
-    a hit; detectors sharing a gate share its cost.
+    a hit; detectors sharing a gate share its cost. ``digits`` says that every hit holds a digit: all such
+    gates are skipped for texts without one, and the test for it ends at the first digit of the others.
     """
 
     name: str
     entity: str
     spans: Callable[[str, str], str]
     gate: Callable[[str], str] | None = None
+    digits: bool = False
 
 
 def _has_at(text: str) -> str:
@@ -75,13 +77,14 @@ def regex_detector(
     score: float = P.STRONG,
     valid: Callable[[str], str] | None = None,
     gate: Callable[[str], str] | None = None,
+    digits: bool = False,
 ) -> Detector:
     """A detector from one pattern and an optional rule on the match; also for users' own entities."""
 
     def spans(text: str, mode: str) -> str:
         return regex_spans(text, pattern, entity, score, name, valid)
 
-    return Detector(name, entity, spans, gate)
+    return Detector(name, entity, spans, gate, digits)
 
 
 _PHONE_LEADING_RUN = r"\A *(\+?[0-9](?:[ ().-]*+[0-9])*+)"
@@ -168,18 +171,18 @@ def _email(text: str, mode: str) -> str:
 
 DETECTORS: tuple[Detector, ...] = (
     Detector("EmailRecognizer", P.EMAIL_ADDRESS, _email, _has_at),
-    Detector("PhoneRecognizer", P.PHONE_NUMBER, _phone, _has_number),
-    regex_detector("UkPostcodeRecognizer", P.UK_POSTCODE, P.POSTCODE, gate=_has_postcode),
-    regex_detector("UkNinoRecognizer", P.UK_NINO, P.NINO, valid=V.nino, gate=_has_number),
-    regex_detector("UKNHSRecognizer", P.UK_NHS_NUMBER, P.NHS, valid=V.nhs, gate=_has_number),
-    regex_detector("CreditCardRecognizer", P.CREDIT_CARD, P.CARD, valid=V.card, gate=_has_number),
-    regex_detector("IbanRecognizer", P.IBAN_ENTITY, P.IBAN, valid=V.iban, gate=_has_iban),
-    Detector("IPv4Recognizer", P.IP_ADDRESS_V4, _ipv4, _has_ipv4),
+    Detector("PhoneRecognizer", P.PHONE_NUMBER, _phone, _has_number, True),
+    regex_detector("UkPostcodeRecognizer", P.UK_POSTCODE, P.POSTCODE, gate=_has_postcode, digits=True),
+    regex_detector("UkNinoRecognizer", P.UK_NINO, P.NINO, valid=V.nino, gate=_has_number, digits=True),
+    regex_detector("UKNHSRecognizer", P.UK_NHS_NUMBER, P.NHS, valid=V.nhs, gate=_has_number, digits=True),
+    regex_detector("CreditCardRecognizer", P.CREDIT_CARD, P.CARD, valid=V.card, gate=_has_number, digits=True),
+    regex_detector("IbanRecognizer", P.IBAN_ENTITY, P.IBAN, valid=V.iban, gate=_has_iban, digits=True),
+    Detector("IPv4Recognizer", P.IP_ADDRESS_V4, _ipv4, _has_ipv4, True),
     Detector("IPv6Recognizer", P.IP_ADDRESS_V6, _ipv6, _has_colon),
-    Detector("DobRecognizer", P.DATE_OF_BIRTH, _dob, _has_date),
-    regex_detector("UsSsnRecognizer", P.US_SSN, P.SSN, valid=V.ssn, gate=_has_number),
+    Detector("DobRecognizer", P.DATE_OF_BIRTH, _dob, _has_date, True),
+    regex_detector("UsSsnRecognizer", P.US_SSN, P.SSN, valid=V.ssn, gate=_has_number, digits=True),
     regex_detector(
-        "PassportRecognizer", P.PASSPORT_NUMBER, P.PASSPORT, score=P.WEAK, gate=_has_number
+        "PassportRecognizer", P.PASSPORT_NUMBER, P.PASSPORT, score=P.WEAK, gate=_has_number, digits=True
     ),
     # people are found by column name only
     Detector("PersonRecognizer", P.PERSON, lambda text, mode: EMPTY, _never),
@@ -207,25 +210,20 @@ def _name(text: str) -> str:
     return f"`{text}`" if re.fullmatch(r"\w+", text) else text
 
 
-def any_gate_sql(text: str, detectors: Iterable[Detector] | None = None) -> str:
-    """True for every text that can have a span; a plain filter, good to run before anything else."""
-    text = _name(text)
-    gates = {d.gate for d in (DETECTORS if detectors is None else detectors)}
-    return "(" + " OR ".join(sorted("true" if g is None else g(text) for g in gates) or ["false"]) + ")"
-
-
 def raw_spans_sql(
     text: str, detectors: Iterable[Detector] | None = None, mode: str = REFERENCE
 ) -> str:
     text = _name(text)
-    by_gate: dict[Callable[[str], str] | None, list[str]] = {}
+    by_gate: dict[tuple, list[str]] = {}
     for d in DETECTORS if detectors is None else detectors:
-        by_gate.setdefault(d.gate, []).append(d.spans(text, mode))
-    parts = [
-        f"if({'true' if gate is None else gate(text)}, concat({', '.join(found)}), {EMPTY})"
-        for gate, found in by_gate.items()
-    ]
-    return f"if({text} IS NULL, {EMPTY}, concat({', '.join(parts) or EMPTY}))"
+        by_gate.setdefault((d.digits, d.gate), []).append(d.spans(text, mode))
+    with_digits, others = [], []
+    for (digits, gate), found in by_gate.items():
+        opened = f"if({'true' if gate is None else gate(text)}, concat({', '.join(found)}), {EMPTY})"
+        (with_digits if digits else others).append(opened)
+    if with_digits:
+        others.append(f"if(rlike({text}, '[0-9]'), concat({', '.join(with_digits)}), {EMPTY})")
+    return f"if({text} IS NULL, {EMPTY}, concat({', '.join(others) or EMPTY}))"
 
 
 def analyze_sql(

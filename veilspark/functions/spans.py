@@ -37,7 +37,7 @@ def span(entity: str, start: str, end: str, match: str, score: float, recognizer
 
 
 def one_span(*args) -> str:
-    return f"CAST(array({span(*args)}) AS array<struct<{SPAN_FIELDS}>>)"
+    return f"array({span(*args)})"
 
 
 def regex_spans(

@@ -13,7 +13,7 @@ from .catalog import _union
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-_PREFIX = 64  # characters of the smallest and largest text kept for comparing ranges
+_PREFIX = 64  # texts are compared by their first characters for ranges, and by digest when longer
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,43 @@ def column_ranges(tables: Mapping[str, DataFrame]) -> list[ColumnRange]:
     ]
 
 
+def _compared(column: str, data_type: T.DataType) -> str:
+    """An expression that is equal for equal values only: long texts stand for themselves by SHA-256."""
+    c = f"`{column}`"
+    if isinstance(data_type, T.StringType):
+        return f"if(octet_length({c}) > {_PREFIX}, concat('sha256:', sha2({c}, 256)), {c})"
+    return c
+
+
+def repeated_columns(
+    tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], rows: int = 20_000
+) -> set[tuple[str, str]]:
+    """Columns that hold one value twice among the first ``rows`` rows of their table.
+
+    A repeat proves that the column is no key, so the exact count over the table is not needed. Among
+    20,000 values a repeat is likely for up to some 10**8 distinct ones. Columns not named here may or may
+    not be keys.
+    """
+    parts = []
+    for name, chosen in columns.items():
+        if not chosen:
+            continue
+        types = {f.name: f.dataType for f in tables[name].schema.fields}
+        first = tables[name].selectExpr(
+            *[f"{_compared(c, types[c])} AS c{i}" for i, c in enumerate(chosen)]
+        ).limit(rows)
+        counts = [f"count(c{i}) > count(DISTINCT c{i}) AS r{i}" for i in range(len(chosen))]
+        flags = [
+            f"named_struct('table', '{name}', 'column', '{c}', 'repeats', r{i})"
+            for i, c in enumerate(chosen)
+        ]
+        parts.append(first.selectExpr(*counts).selectExpr(f"array({', '.join(flags)}) AS columns"))
+    if not parts:
+        return set()
+    found = _union(parts).selectExpr("inline(columns)").filter("repeats").collect()
+    return {(r.table, r.column) for r in found}
+
+
 def candidate_keys(
     tables: Mapping[str, DataFrame],
     composites: Mapping[str, Sequence[Sequence[str]]] | None = None,
@@ -89,32 +126,53 @@ def candidate_keys(
     """Which columns, and which given column groups, identify a row.
 
     ``kind`` is PRIMARY KEY (all values differ, none is null), UNIQUE (all that are not null differ) or
-    empty. Whole-number columns with fewer possible values than rows cannot be keys and are not counted;
-    the others of a table are counted in one pass, pre-aggregated before the shuffle.
+    empty. Two proofs spare most columns the exact count: a whole-number column with fewer possible
+    values than rows, and a value seen twice in a first look, cannot be keys. The rest of a table is
+    counted in one pass, pre-aggregated before the shuffle, with long texts shuffled as digests.
     """
     ranges = column_ranges(tables) if ranges is None else ranges
-    parts = []
+    open_columns = {
+        name: [r.column for r in ranges if r.table == name and r.kind != "nested" and r.may_be_unique()]
+        for name in sorted(tables)
+    }
+    repeated = repeated_columns(tables, open_columns)
+    settled, parts = [], []
     for name in sorted(tables):
-        df = tables[name]
-        mine = [r for r in ranges if r.table == name and r.kind != "nested"]
-        groups = [((r.column,), r.may_be_unique()) for r in mine]
-        groups += [(tuple(g), True) for g in (composites or {}).get(name, ())]
+        types = {f.name: f.dataType for f in tables[name].schema.fields}
         aggs, rows = ["count(1) AS n"], []
-        for i, (columns, counted) in enumerate(groups):
-            refs = [f"`{c}`" for c in columns]
-            aggs.append(f"count_if({' AND '.join(f'{r} IS NOT NULL' for r in refs)}) AS filled{i}")
-            unique = "false"
-            if counted:
-                aggs.append(f"count(DISTINCT {', '.join(refs)}) AS distinct{i}")
-                unique = f"(distinct{i} = filled{i})"
-            rows.append(
-                f"""named_struct('table_name', '{name}', 'columns', '{",".join(columns)}', 'n_rows', n,
-                  'n_nulls', n - filled{i}, 'is_unique', {unique},
-                  'kind', CASE WHEN {unique} AND n = filled{i} THEN 'PRIMARY KEY'
-                    WHEN {unique} THEN 'UNIQUE' ELSE '' END)"""
-            )
-        parts.append(df.selectExpr(*aggs).selectExpr(f"array({', '.join(rows)}) AS columns"))
-    return _union(parts).selectExpr("inline(columns)")
+        for r in (r for r in ranges if r.table == name and r.kind != "nested"):
+            nulls = r.n_rows - r.n_filled
+            if r.column not in open_columns[name] or (name, r.column) in repeated:
+                settled.append((name, r.column, r.n_rows, nulls, False, ""))
+                continue
+            # rows and nulls are known from the ranges: the second scan reads open columns only
+            aggs.append(f"count(DISTINCT {_compared(r.column, types[r.column])}) AS distinct{len(rows)}")
+            rows.append(_key_row(name, r.column, f"{r.n_rows}L", f"{r.n_filled}L", len(rows)))
+        for group in (composites or {}).get(name, ()):
+            filled = " AND ".join(f"`{c}` IS NOT NULL" for c in group)
+            compared = ", ".join(_compared(c, types[c]) for c in group)
+            aggs.append(f"count_if({filled}) AS filled{len(rows)}")
+            aggs.append(f"count(DISTINCT {compared}) AS distinct{len(rows)}")
+            rows.append(_key_row(name, ",".join(group), "n", f"filled{len(rows)}", len(rows)))
+        if rows:
+            counted = tables[name].selectExpr(*aggs)
+            parts.append(counted.selectExpr(f"array({', '.join(rows)}) AS columns"))
+    spark = next(iter(tables.values())).sparkSession
+    known = spark.createDataFrame(settled, _KEY_TYPE)
+    return known.unionByName(_union(parts).selectExpr("inline(columns)")) if parts else known
+
+
+_KEY_TYPE = (
+    "table_name string, columns string, n_rows bigint, n_nulls bigint, is_unique boolean, kind string"
+)
+
+
+def _key_row(table: str, columns: str, rows: str, filled: str, place: int) -> str:
+    unique = f"(distinct{place} = {filled})"
+    return f"""named_struct('table_name', '{table}', 'columns', '{columns}', 'n_rows', {rows},
+      'n_nulls', {rows} - {filled}, 'is_unique', {unique},
+      'kind', CASE WHEN {unique} AND {rows} = {filled} THEN 'PRIMARY KEY'
+        WHEN {unique} THEN 'UNIQUE' ELSE '' END)"""
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,11 +266,11 @@ def _coverage(
     by_table: dict[str, list[ColumnRange]] = {}
     for r in places:
         by_table.setdefault(r.table, []).append(r)
-    value_type = "bigint" if kind == "int" else "string"
 
     def marked(r: ColumnRange) -> str:
         words_sql = "".join(f", 'w{w}', {b}L" for w, b in enumerate(bits(r)))
-        return f"named_struct('value', CAST(`{r.column}` AS {value_type}){words_sql})"
+        value = f"CAST(`{r.column}` AS bigint)" if kind == "int" else _compared(r.column, T.StringType())
+        return f"named_struct('value', {value}{words_sql})"
 
     values = _union(
         [
