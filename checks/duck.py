@@ -114,7 +114,7 @@ _PHONE_END = f"""CASE WHEN {_COMPACT} LIKE '+44%' THEN least(strlen({_COMPACT}),
   WHEN {_COMPACT} LIKE '+1%' AND strlen({_COMPACT}) >= 11 THEN least(strlen({_COMPACT}), 12)
   WHEN {_COMPACT} LIKE '07%' AND strlen({_COMPACT}) >= 10 THEN 10
   WHEN {_COMPACT}[1:2] IN ('01', '02', '03', '08') AND strlen({_COMPACT}) >= 9
-    THEN CASE WHEN regexp_matches({_COMPACT}, '^.{{9}}[0-9]') THEN 10 ELSE 9 END END"""
+    THEN CASE WHEN regexp_matches({_COMPACT}, '(?s)^.{{9}}[0-9]') THEN 10 ELSE 9 END END"""
 
 
 def phone(source: str, mode: str = "reference") -> str:

@@ -19,7 +19,7 @@ from veilspark.operators import querylog as Q
 from veilspark.plans import reads, tables as P
 from veilspark.session import shared_folder
 from veilspark.sources import guard, writes
-from veilspark.sources.tables import scan_table, scan_tables, spread
+from veilspark.sources.tables import footer_tables, scan_table, scan_tables, spread
 from veilspark.streaming import treat as S
 
 from .views import CONTACT_VALUES, CONTACTS, frame, view
@@ -170,7 +170,7 @@ def write_preview(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- catalog and keys ---------------------------------------------------------------------------
 def table_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return C.table_inventory(scan_tables(spark, folder, TABLES))
+    return C.table_inventory(footer_tables(spark, folder, TABLES))
 
 
 def column_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,7 +181,7 @@ def column_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return C.search_tables(C.table_inventory(scan_tables(spark, folder, TABLES)), "er")
+    return C.search_tables(C.table_inventory(footer_tables(spark, folder, TABLES)), "er")
 
 
 def search_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,7 +192,7 @@ def search_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return K.candidate_keys(scan_tables(spark, folder, TABLES), COMPOSITES)
+    return K.candidate_keys(footer_tables(spark, folder, TABLES), COMPOSITES)
 
 
 def key_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +204,7 @@ def check_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fk_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    return K.fk_discovery(scan_tables(spark, folder, TABLES))
+    return K.fk_discovery(footer_tables(spark, folder, TABLES))
 
 
 def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +213,7 @@ def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def related_tables(spark: SparkSession, folder: str) -> DataFrame:
-    edges = K.fk_discovery(scan_tables(spark, folder, STAR_TABLES)).filter("name_match")
+    edges = K.fk_discovery(footer_tables(spark, folder, STAR_TABLES)).filter("name_match")
     return K.related_tables(edges, "orders")
 
 

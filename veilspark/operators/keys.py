@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,43 +41,57 @@ class ColumnRange:
 
 
 def column_ranges(tables: Mapping[str, DataFrame]) -> list[ColumnRange]:
-    """Ranges of all columns: one scan per table, one row per column comes to the driver."""
+    """Row and value counts of all columns, and ranges of whole numbers.
+
+    One row per column comes to the driver. Over ``footer_tables`` no data is read for it.
+    """
 
     def one(name: str) -> DataFrame:
         df = tables[name]
         aggs, rows = ["count(1) AS n"], []
         for i, f in enumerate(df.schema.fields):
-            c, kind = f"`{f.name}`", "other"
-            ints, texts = ("CAST(NULL AS bigint)",) * 2, ("CAST(NULL AS string)",) * 2
+            c, kind, low, high = f"`{f.name}`", "other", "CAST(NULL AS bigint)", "CAST(NULL AS bigint)"
             aggs.append(f"count({c}) AS filled{i}")
             if isinstance(f.dataType, _INTEGRAL):
-                kind, ints = "int", (f"low{i}", f"high{i}")
-                aggs += [f"CAST(min({c}) AS bigint) AS low{i}", f"CAST(max({c}) AS bigint) AS high{i}"]
+                kind, low, high = "int", f"CAST(low{i} AS bigint)", f"CAST(high{i} AS bigint)"
+                aggs += [f"min({c}) AS low{i}", f"max({c}) AS high{i}"]
             elif isinstance(f.dataType, T.StringType):
-                kind, texts = "text", (f"low{i}", f"high{i}")
-                head = f"left({c}, {_PREFIX})"
-                aggs += [f"min({head}) AS low{i}", f"max({head}) AS high{i}"]
+                kind = "text"
             elif isinstance(f.dataType, _NESTED):
                 kind = "nested"
             rows.append(
                 f"""named_struct('table', '{name}', 'column', '{f.name}', 'kind', '{kind}', 'n', n,
-                  'filled', filled{i}, 'low_int', {ints[0]}, 'high_int', {ints[1]},
-                  'low_text', {texts[0]}, 'high_text', {texts[1]})"""
+                  'filled', filled{i}, 'low', {low}, 'high', {high})"""
             )
         return df.selectExpr(*aggs).selectExpr(f"array({', '.join(rows)}) AS columns")
 
     found = _union([one(name) for name in sorted(tables)]).selectExpr("inline(columns)").collect()
+    return [ColumnRange(r.table, r.column, r.kind, r.n, r.filled, r.low, r.high) for r in found]
+
+
+def with_text_ranges(
+    tables: Mapping[str, DataFrame], ranges: Sequence[ColumnRange]
+) -> list[ColumnRange]:
+    """The same with ranges of text columns; reads the text columns once."""
+
+    def one(name: str, columns: Sequence[str]) -> DataFrame:
+        aggs, rows = [], []
+        for i, c in enumerate(columns):
+            aggs += [f"min(left(`{c}`, {_PREFIX})) AS low{i}", f"max(left(`{c}`, {_PREFIX})) AS high{i}"]
+            rows.append(f"named_struct('table', '{name}', 'column', '{c}', 'low', low{i}, 'high', high{i})")
+        return tables[name].selectExpr(*aggs).selectExpr(f"array({', '.join(rows)}) AS columns")
+
+    texts: dict[str, list[str]] = {}
+    for r in ranges:
+        if r.kind == "text":
+            texts.setdefault(r.table, []).append(r.column)
+    if not texts:
+        return list(ranges)
+    found = _union([one(t, columns) for t, columns in texts.items()]).selectExpr("inline(columns)").collect()
+    ends = {(r.table, r.column): (r.low, r.high) for r in found}
     return [
-        ColumnRange(
-            r.table,
-            r.column,
-            r.kind,
-            r.n,
-            r.filled,
-            r.low_text if r.kind == "text" else r.low_int,
-            r.high_text if r.kind == "text" else r.high_int,
-        )
-        for r in found
+        replace(r, low=ends[r.table, r.column][0], high=ends[r.table, r.column][1]) if r.kind == "text" else r
+        for r in ranges
     ]
 
 
@@ -227,6 +241,8 @@ def fk_discovery(
         unique = candidate_keys(tables, ranges=ranges).filter(F.col("kind") == "PRIMARY KEY").collect()
         keys = [(r.table_name, r.columns) for r in unique]
     known = set(keys)
+    if any(r.kind == "text" and (r.table, r.column) in known for r in ranges):
+        ranges = with_text_ranges(tables, ranges)
     parents = [r for r in ranges if (r.table, r.column) in known]
     parts = []
     for kind in ("int", "text"):

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SMALL_INPUT_BYTES = 1 << 30
 
@@ -39,6 +40,32 @@ def scan_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[
     return {name: scan_table(spark, name, folder) for name in names}
 
 
+def footer_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """Tables whose row counts, value counts and ranges of numbers come from the Parquet footers alone.
+
+    The tables belong to a session beside the given one, in which Parquet files are read by the newer
+    reader: it answers whole-table ``count``, ``min`` and ``max`` without reading a page. Everything else
+    works as usual. A nested column has several leaves in a footer, so tables with such columns are left
+    to the ordinary reader.
+    """
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            side.conf.set(key, value)
+    ordinary = side.conf.get("spark.sql.sources.useV1SourceList")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    tables = {}
+    for name in names:
+        side.conf.set("spark.sql.sources.useV1SourceList", "")
+        df = scan_table(side, name, folder)
+        if any(isinstance(f.dataType, nested) for f in df.schema.fields):
+            side.conf.set("spark.sql.sources.useV1SourceList", ordinary)
+            df = scan_table(side, name, folder)
+        tables[name] = df
+    return tables
+
+
 def list_tables(spark: SparkSession, folder: str) -> list[str]:
     """Names of the Parquet tables in a folder of any file system Spark can reach."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
