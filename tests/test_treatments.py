@@ -215,6 +215,15 @@ def test_sample_and_full_scan(spark):
     assert P.decide(df, sample=None)["v"].entities == ("EMAIL_ADDRESS",)
 
 
+def test_sample_is_the_first_rows_by_key(spark):
+    keys = [5, None, 3, None, 9, 3, 1]
+    df = spark.createDataFrame([(k, f"v{i}") for i, k in enumerate(keys)], "k int, v string")
+    for n, want in ((1, [None]), (2, [None, None]), (4, [None, None, 1, 3]), (20, [None, None, 1, 3, 3, 5, 9])):
+        assert [r.k for r in P.table_sample(df, ["k"], n).collect()] == want
+    text = spark.createDataFrame([("a'b", 1), ("a", 2)], "k string, v int")
+    assert [r.v for r in P.table_sample(text, ["k"], 2).collect()] == [2, 1]
+
+
 def test_empty_table(spark):
     treated_rows, report = P.process_table(people(spark).limit(0), order_by=["id"])
     assert treated_rows.count() == 0 and report.count() == 7

@@ -43,7 +43,8 @@ def treated_select(
             k: open_token(spark, v, token_key) if isinstance(v, str) and v.startswith(TOKEN_PREFIX) else v
             for k, v in bound.items()
         }
-    rows = guarded_select(spark, sql, bound, max_rows, order_by)
+    # at most 1000 rows: kept, as they are read for the decisions and for the result
+    rows = guarded_select(spark, sql, bound, max_rows, order_by).persist()
     known = {name.upper(): df for name, df in (tables or {}).items()}
     source = known.get(query_table(sql))
     hints = column_hints(rows, typed=False) if source is None else column_hints(source)

@@ -86,7 +86,16 @@ def with_json_text(df: DataFrame) -> DataFrame:
 
 
 def table_sample(df: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:
-    """The first ``n`` rows by a stable key, as one top-k."""
+    """The first ``n`` rows by a stable key, as one top-k.
+
+    The first key column is read alone to find its ``n``-th smallest value; the bound this gives is
+    pushed to the scan, so that wide columns are read only where such keys are.
+    """
+    first = order_by[0]
+    if set(df.columns) - set(order_by):
+        bound = df.select(first).orderBy(first).limit(n).agg(F.max(first)).first()[0]
+        key = F.col(f"`{first}`")
+        df = df.filter(key.isNull() if bound is None else key.isNull() | (key <= F.lit(bound)))
     return df.orderBy(*order_by).limit(n)
 
 
