@@ -79,7 +79,8 @@ def test_settled_columns_are_not_scanned(spark, folder):
     assert "cont_email" not in plan_of(hits) and "c_acctbal" not in plan_of(hits)
 
 
-def test_keys_read_open_columns_only(spark, folder):
+def test_keys_read_open_columns_only(spark, folder, monkeypatch):
+    monkeypatch.setattr(K, "_LOOK_ROWS", 100)
     plan = plan_of(K.candidate_keys({"orders": scan_table(spark, "orders", folder)}))
     (schema,) = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert "o_orderkey" in schema

@@ -16,6 +16,9 @@ _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _PREFIX = 64  # texts are compared by their first characters for ranges, and by digest when longer
 
 
+_LOOK_ROWS = 20_000  # rows of a table looked at for a repeated value
+
+
 @dataclass(frozen=True)
 class ColumnRange:
     """What one scan tells about a column; texts are cut to a prefix, which keeps their order."""
@@ -104,7 +107,7 @@ def _compared(column: str, data_type: T.DataType) -> str:
 
 
 def repeated_columns(
-    tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], rows: int = 20_000
+    tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], rows: int = _LOOK_ROWS
 ) -> set[tuple[str, str]]:
     """Columns that hold one value twice among the first ``rows`` rows of their table.
 
@@ -120,7 +123,8 @@ def repeated_columns(
         first = tables[name].selectExpr(
             *[f"{_compared(c, types[c])} AS c{i}" for i, c in enumerate(chosen)]
         ).limit(rows)
-        counts = [f"count(c{i}) > count(DISTINCT c{i}) AS r{i}" for i in range(len(chosen))]
+        # the rows are few: sets of them need no further shuffle, as distinct counts would
+        counts = [f"size(collect_set(c{i})) < count(c{i}) AS r{i}" for i in range(len(chosen))]
         flags = [
             f"named_struct('table', '{name}', 'column', '{c}', 'repeats', r{i})"
             for i, c in enumerate(chosen)
@@ -141,8 +145,9 @@ def candidate_keys(
 
     ``kind`` is PRIMARY KEY (all values differ, none is null), UNIQUE (all that are not null differ) or
     empty. Two proofs spare most columns the exact count: a whole-number column with fewer possible
-    values than rows, and a value seen twice in a first look, cannot be keys. The rest of a table is
-    counted in one pass, pre-aggregated before the shuffle, with long texts shuffled as digests.
+    values than rows, and a value seen twice in a first look, cannot be keys; a short table is settled by
+    the look. The rest of a table is counted in one pass, pre-aggregated before the shuffle, with long
+    texts shuffled as digests.
     """
     ranges = column_ranges(tables) if ranges is None else ranges
     open_columns = {
@@ -159,6 +164,10 @@ def candidate_keys(
             if r.column not in open_columns[name] or (name, r.column) in repeated:
                 settled.append((name, r.column, r.n_rows, nulls, False, ""))
                 continue
+            if r.n_rows <= _LOOK_ROWS:  # the look saw the whole table
+                kind = "UNIQUE" if nulls else "PRIMARY KEY"
+                settled.append((name, r.column, r.n_rows, nulls, True, kind))
+                continue
             # rows and nulls are known from the ranges: the second scan reads open columns only
             aggs.append(f"count(DISTINCT {_compared(r.column, types[r.column])}) AS distinct{len(rows)}")
             rows.append(_key_row(name, r.column, f"{r.n_rows}L", f"{r.n_filled}L", len(rows)))
