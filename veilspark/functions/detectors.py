@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from . import validity as V
-from .spans import EMPTY, let, literal_span, merge_spans, one_span, quoted, regex_spans
+from .spans import (
+    EMPTY,
+    distinct_spans,
+    let,
+    literal_span,
+    merge_spans,
+    one_span,
+    quoted,
+    regex_spans,
+)
 
 REFERENCE, SAFE = "reference", "safe"
 
@@ -93,12 +102,10 @@ _PHONE_LEADING_RUN = r"\A *(\+?[0-9](?:[ ().-]*+[0-9])*+)"
 def _phone(text: str, mode: str) -> str:
     this = (P.PHONE_NUMBER, P.STRONG, "PhoneRecognizer")
     entity, score, name = this
-    anywhere = "array_distinct(concat({}))".format(
-        ", ".join(
-            regex_spans(text, rx, entity, score, name)
-            for rx in (P.PHONE_UK, P.PHONE_US, P.PHONE_E164)
-        )
-    )
+    parts = [
+        regex_spans(text, rx, entity, score, name) for rx in (P.PHONE_UK, P.PHONE_US, P.PHONE_E164)
+    ]
+    anywhere = f"concat({', '.join(parts)})"
     # byte length of the span when the text, once its blanks are taken out, opens with a phone number
     opening = let(
         f"replace({text}, ' ', '')",
@@ -114,12 +121,12 @@ def _phone(text: str, mode: str) -> str:
         run = f"regexp_extract({text}, {quoted(_PHONE_LEADING_RUN)}, 1)"
         blanks = f"length({text}) - length(ltrim({text}))"
         whole = one_span(entity, blanks, f"{blanks} + octet_length({run})", run, score, name)
-        return f"""if({opening} IS NOT NULL AND {run} != '',
-          array_distinct(concat({whole}, {anywhere})), {anywhere})"""
+        first = f"if({opening} IS NOT NULL AND {run} != '', {whole}, {EMPTY})"
+        return distinct_spans(f"concat({first}, {anywhere})")
     # the length counts the compact text, so the span may end before the readable number does
     head = f"make_valid_utf8(CAST(substring(CAST({text} AS binary), 1, n) AS string))"
     fixed = one_span(entity, "0", "n", head, score, name)
-    return let(opening, "n", f"if(n IS NOT NULL, {fixed}, {anywhere})")
+    return let(opening, "n", f"if(n IS NOT NULL, {fixed}, {distinct_spans(anywhere)})")
 
 
 def _ipv4(text: str, mode: str) -> str:

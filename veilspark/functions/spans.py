@@ -50,21 +50,42 @@ def regex_spans(
 ) -> str:
     """All matches of ``pattern`` which pass ``valid``, in text order.
 
-    The text is cut at the matches; walking over (gap, match) pairs while adding up byte lengths gives
-    the offsets. ``rlike`` goes first: most texts stop there.
+    The text is cut at the matches; adding up the byte lengths of (gap, match) pairs gives the offsets.
+    ``rlike`` goes first: most texts stop there.
     """
     rx = quoted(pattern)
-    rule = f"coalesce({valid('p.m')}, false)" if valid else "true"
-    found = one_span(entity, "acc.pos + p.gap", "acc.pos + p.gap + p.len", "p.m", score, recognizer)
-    return f"""if(rlike({text}, {rx}),
-      aggregate(
-        zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
-          (g, m) -> named_struct('gap', octet_length(g), 'len', coalesce(octet_length(m), 0), 'm', m)),
-        named_struct('pos', 0, 'out', {EMPTY}),
-        (acc, p) -> named_struct('pos', acc.pos + p.gap + p.len,
-          'out', if(p.m IS NOT NULL AND {rule}, concat(acc.out, {found}), acc.out)),
-        acc -> acc.out),
-      {EMPTY})"""
+    rule = f"coalesce({valid('x.m')}, false)" if valid else "true"
+    pieces = f"""zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
+      (g, m) -> named_struct('size', octet_length(g) + coalesce(octet_length(m), 0), 'm', m))"""
+    ends = """transform(pz, (p, i) -> named_struct('m', p.m,
+      'end', base[CAST(i div 256 AS int)] + sums[CAST(i div 256 AS int)][i % 256]))"""
+    found = f"""transform(filter({ends}, x -> x.m IS NOT NULL AND {rule}),
+      x -> {span(entity, "x.end - octet_length(x.m)", "x.end", "x.m", score, recognizer)})"""
+    with_base = let(_BASES, "base", found)
+    with_sums = let(_chunked("pz", _SUMS), "sums", with_base)
+    return f"if(rlike({text}, {rx}), {let(pieces, 'pz', with_sums)}, {EMPTY})"
+
+
+# An aggregate copies its state at every step, so a state that grows with the text would cost the square
+# of the number of hits. Running sums go by chunks of 256: within a chunk, then over the chunks' totals.
+_INTS = "CAST(array() AS array<int>)"
+_SUMS = f"""aggregate(chunk, named_struct('pos', 0, 'out', {_INTS}),
+  (acc, p) -> named_struct('pos', acc.pos + p.size, 'out', concat(acc.out, array(acc.pos + p.size))),
+  acc -> acc.out)"""
+_BASES = f"""aggregate(sums, named_struct('pos', 0, 'out', {_INTS}),
+  (acc, c) -> named_struct('pos', acc.pos + element_at(c, -1), 'out', concat(acc.out, array(acc.pos))),
+  acc -> acc.out)"""
+
+
+def _chunked(array: str, body: str) -> str:
+    """``body`` of every ``chunk`` of 256 elements of an array that is not empty."""
+    last = f"CAST((size({array}) - 1) div 256 AS int)"
+    return f"transform(transform(sequence(0, {last}), c -> slice({array}, c * 256 + 1, 256)), chunk -> {body})"
+
+
+def distinct_spans(spans: str) -> str:
+    """Equal spans once, in text order."""
+    return let(f"array_sort({spans})", "ds", "filter(ds, (s, i) -> i = 0 OR get(ds, i - 1) != s)")
 
 
 def literal_span(text: str, literal: str, entity: str, score: float, recognizer: str) -> str:
@@ -98,17 +119,25 @@ def merge_spans(spans: str, min_score: float) -> str:
 def cut_overlaps(spans: str) -> str:
     """Walk sorted spans left to right and skip those starting before the last kept end.
 
-    Each kept span also gets ``prev``, the end of the kept span before it.
+    Each kept span also gets ``prev``, the end of the kept span before it. ``spans`` is the name of a
+    bound array. Only places are collected, by chunks, for the reason given above.
     """
+    within = f"""aggregate(chunk, named_struct('last', acc.last, 'out', {_INTS}),
+      (w, s) -> if(s.start < w.last, w,
+        named_struct('last', s.end, 'out', concat(w.out, array(s.place)))))"""
+    numbered = f"transform({spans}, (s, i) -> named_struct('start', s.start, 'end', s.end, 'place', i))"
+    chunks = let(numbered, "ns", _chunked("ns", "chunk"))
+    step = let(
+        within, "w", "named_struct('last', w.last, 'out', concat(acc.out, w.out))"
+    )
+    kept = f"""aggregate({chunks}, named_struct('last', 0, 'out', {_INTS}),
+      (acc, chunk) -> {step}, acc -> acc.out)"""
+    rows = let(
+        kept,
+        "ks",
+        f"""transform(ks, (k, i) -> named_struct('prev', if(i = 0, 0, {spans}[ks[i - 1]].end),
+          'entity', {spans}[k].entity, 'start', {spans}[k].start, 'end', {spans}[k].end,
+          'match', {spans}[k].match))""",
+    )
     kind = "array<struct<prev:int,entity:string,start:int,end:int,match:string>>"
-    kept = f"""CAST(array(named_struct('prev', acc.last, 'entity', s.entity, 'start', s.start,
-      'end', s.end, 'match', s.match)) AS {kind})"""
-    return f"""aggregate({spans}, named_struct('last', 0, 'out', CAST(array() AS {kind})),
-      (acc, s) -> if(s.start < acc.last, acc,
-        named_struct('last', s.end, 'out', concat(acc.out, {kept}))),
-      acc -> acc.out)"""
-
-
-def rest_after(kept: str) -> str:
-    """Byte offset after the last kept span, 0 without spans."""
-    return f"coalesce(get({kept}, size({kept}) - 1).end, 0)"
+    return f"if(size({spans}) = 0, CAST(array() AS {kind}), {rows})"

@@ -17,7 +17,7 @@ from ..functions.detectors import (
     raw_spans,
     raw_spans_sql,
 )
-from ..functions.spans import let
+from ..functions.spans import let, merge_spans
 
 
 def detect(
@@ -123,14 +123,13 @@ def column_hits(
     long = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    per_entity = f"""transform(array_distinct(transform(raw, s -> s.entity)), e -> named_struct(
+    per_entity = """transform(array_distinct(transform(found, s -> s.entity)), e -> named_struct(
         'entity', e,
-        'score', array_max(transform(filter(raw, s -> s.entity = e), s -> s.score)),
-        'lead', array_min(transform(
-          filter(raw, s -> s.entity = e AND NOT exists(raw, o -> o.start = s.start AND o.end = s.end
-            AND (o.score > s.score OR (o.score = s.score AND o.entity < s.entity)))),
+        'score', array_max(transform(filter(found, s -> s.entity = e), s -> s.score)),
+        'lead', array_min(transform(filter(best, s -> s.entity = e),
           s -> named_struct('start', s.start, 'neg_end', -s.end)))))"""
-    summary = F.expr(let(raw_spans_sql("value", detectors), "raw", per_entity))
+    merged = let(merge_spans("found", 0.0), "best", per_entity)
+    summary = F.expr(let(raw_spans_sql("value", detectors), "found", merged))
     rows = long.filter(F.col("value").isNotNull()).select(
         "column_name", F.posexplode_outer(summary).alias("place", "e")
     )
