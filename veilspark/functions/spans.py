@@ -55,6 +55,11 @@ def regex_spans(
     """
     rx = quoted(pattern)
     rule = f"coalesce({valid('x.m')}, false)" if valid else "true"
+    hit = one_span(entity, "acc.pos + x.size - octet_length(x.m)", "acc.pos + x.size", "x.m", score, recognizer)
+    few = f"""aggregate(pz, named_struct('pos', 0, 'out', {EMPTY}),
+      (acc, x) -> named_struct('pos', acc.pos + x.size,
+        'out', if(x.m IS NOT NULL AND {rule}, concat(acc.out, {hit}), acc.out)),
+      acc -> acc.out)"""
     pieces = f"""zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
       (g, m) -> named_struct('size', octet_length(g) + coalesce(octet_length(m), 0), 'm', m))"""
     ends = """transform(pz, (p, i) -> named_struct('m', p.m,
@@ -63,11 +68,14 @@ def regex_spans(
       x -> {span(entity, "x.end - octet_length(x.m)", "x.end", "x.m", score, recognizer)})"""
     with_base = let(_BASES, "base", found)
     with_sums = let(_chunked("pz", _SUMS), "sums", with_base)
-    return f"if(rlike({text}, {rx}), {let(pieces, 'pz', with_sums)}, {EMPTY})"
+    walked = let(pieces, "pz", f"if(size(pz) <= {_FEW}, {few}, {with_sums})")
+    return f"if(rlike({text}, {rx}), {walked}, {EMPTY})"
 
 
 # An aggregate copies its state at every step, so a state that grows with the text would cost the square
-# of the number of hits. Running sums go by chunks of 256: within a chunk, then over the chunks' totals.
+# of the number of hits. That is the fastest way for few hits; for more, running sums go by chunks of 256:
+# within a chunk, then over the chunks' totals.
+_FEW = 64
 _INTS = "CAST(array() AS array<int>)"
 _SUMS = f"""aggregate(chunk, named_struct('pos', 0, 'out', {_INTS}),
   (acc, p) -> named_struct('pos', acc.pos + p.size, 'out', concat(acc.out, array(acc.pos + p.size))),
@@ -120,7 +128,7 @@ def cut_overlaps(spans: str) -> str:
     """Walk sorted spans left to right and skip those starting before the last kept end.
 
     Each kept span also gets ``prev``, the end of the kept span before it. ``spans`` is the name of a
-    bound array. Only places are collected, by chunks, for the reason given above.
+    bound array. Of many spans only the places are collected, by chunks, for the reason given above.
     """
     within = f"""aggregate(chunk, named_struct('last', acc.last, 'out', {_INTS}),
       (w, s) -> if(s.start < w.last, w,
@@ -139,5 +147,10 @@ def cut_overlaps(spans: str) -> str:
           'entity', {spans}[k].entity, 'start', {spans}[k].start, 'end', {spans}[k].end,
           'match', {spans}[k].match))""",
     )
-    kind = "array<struct<prev:int,entity:string,start:int,end:int,match:string>>"
-    return f"if(size({spans}) = 0, CAST(array() AS {kind}), {rows})"
+    none = "CAST(array() AS array<struct<prev:int,entity:string,start:int,end:int,match:string>>)"
+    few = f"""aggregate({spans}, named_struct('last', 0, 'out', {none}),
+      (acc, s) -> if(s.start < acc.last, acc, named_struct('last', s.end, 'out', concat(acc.out,
+        array(named_struct('prev', acc.last, 'entity', s.entity, 'start', s.start, 'end', s.end,
+          'match', s.match))))),
+      acc -> acc.out)"""
+    return f"if(size({spans}) <= {_FEW}, {few}, {rows})"
