@@ -55,34 +55,24 @@ def regex_spans(
     """
     rx = quoted(pattern)
     rule = f"coalesce({valid('x.m')}, false)" if valid else "true"
-    hit = one_span(entity, "acc.pos + x.size - octet_length(x.m)", "acc.pos + x.size", "x.m", score, recognizer)
-    few = f"""aggregate(pz, named_struct('pos', 0, 'out', {EMPTY}),
-      (acc, x) -> named_struct('pos', acc.pos + x.size,
-        'out', if(x.m IS NOT NULL AND {rule}, concat(acc.out, {hit}), acc.out)),
-      acc -> acc.out)"""
     pieces = f"""zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
       (g, m) -> named_struct('size', octet_length(g) + coalesce(octet_length(m), 0), 'm', m))"""
-    ends = """transform(pz, (p, i) -> named_struct('m', p.m,
-      'end', base[CAST(i div 256 AS int)] + sums[CAST(i div 256 AS int)][i % 256]))"""
-    found = f"""transform(filter({ends}, x -> x.m IS NOT NULL AND {rule}),
-      x -> {span(entity, "x.end - octet_length(x.m)", "x.end", "x.m", score, recognizer)})"""
-    with_base = let(_BASES, "base", found)
-    with_sums = let(_chunked("pz", _SUMS), "sums", with_base)
-    walked = let(pieces, "pz", f"if(size(pz) <= {_FEW}, {few}, {with_sums})")
-    return f"if(rlike({text}, {rx}), {walked}, {EMPTY})"
+    ends = f"if(size(pz) <= {_FEW}, {_sums('pz')}, {_MANY_SUMS})"
+    hits = f"""filter(zip_with(pz, {ends}, (p, e) -> named_struct('m', p.m, 'end', e)),
+      x -> x.m IS NOT NULL AND {rule})"""
+    start = "x.end - octet_length(x.m)"
+    found = f"transform({hits}, x -> {span(entity, start, 'x.end', 'x.m', score, recognizer)})"
+    return f"if(rlike({text}, {rx}), {let(pieces, 'pz', found)}, {EMPTY})"
 
 
-# An aggregate copies its state at every step, so a state that grows with the text would cost the square
-# of the number of hits. That is the fastest way for few hits; for more, running sums go by chunks of 256:
-# within a chunk, then over the chunks' totals.
-_FEW = 64
 _INTS = "CAST(array() AS array<int>)"
-_SUMS = f"""aggregate(chunk, named_struct('pos', 0, 'out', {_INTS}),
-  (acc, p) -> named_struct('pos', acc.pos + p.size, 'out', concat(acc.out, array(acc.pos + p.size))),
-  acc -> acc.out)"""
-_BASES = f"""aggregate(sums, named_struct('pos', 0, 'out', {_INTS}),
-  (acc, c) -> named_struct('pos', acc.pos + element_at(c, -1), 'out', concat(acc.out, array(acc.pos))),
-  acc -> acc.out)"""
+
+
+def _sums(pieces: str) -> str:
+    """Running sums of the piece sizes."""
+    return f"""aggregate({pieces}, named_struct('pos', 0, 'out', {_INTS}),
+      (acc, p) -> named_struct('pos', acc.pos + p.size, 'out', concat(acc.out, array(acc.pos + p.size))),
+      acc -> acc.out)"""
 
 
 def _chunked(array: str, body: str) -> str:
@@ -91,6 +81,20 @@ def _chunked(array: str, body: str) -> str:
     return f"transform(transform(sequence(0, {last}), c -> slice({array}, c * 256 + 1, 256)), chunk -> {body})"
 
 
+# An aggregate copies its state at every step, so a state that grows with the text would cost the square
+# of the number of hits. That is the fastest way for few hits; for more, running sums go by chunks of 256:
+# within a chunk, then over the chunks' totals.
+_FEW = 64
+_BASES = f"""aggregate(sums, named_struct('pos', 0, 'out', {_INTS}),
+  (acc, c) -> named_struct('pos', acc.pos + element_at(c, -1), 'out', concat(acc.out, array(acc.pos))),
+  acc -> acc.out)"""
+_MANY_SUMS = let(
+    _chunked("pz", _sums("chunk")),
+    "sums",
+    f"flatten(zip_with(sums, {_BASES}, (c, b) -> transform(c, v -> b + v)))",
+)
+
+
 def distinct_spans(spans: str) -> str:
     """Equal spans once, in text order."""
     return let(f"array_sort({spans})", "ds", "filter(ds, (s, i) -> i = 0 OR get(ds, i - 1) != s)")
