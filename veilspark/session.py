@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,11 +27,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, below the folder the cluster names.
+    """A new folder for intermediate tables, below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests, is a local temporary folder used.
+    Where it names none, a temporary folder serves a session whose driver and tasks are one process; on a
+    cluster this is an error, as executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         return tempfile.mkdtemp(prefix=f"veilspark-{name}-")
     return f"{base.rstrip('/')}/veilspark-{name}-{os.urandom(6).hex()}"
