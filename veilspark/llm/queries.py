@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, language, urls
+from . import bpe, dedup, fingerprint, language, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_language_id": language.op9_language_id,
     "op10_url_filters": urls.op10_url_filters,
 }
 
 SQL = {
+    "op8_fingerprints": fingerprint.SQL,
     "op10_url_filters": urls.SQL,
 }
