@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, urls
+from . import bpe, dedup, fingerprint, language, pii, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op6_personal_data": pii.op6_personal_data,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_language_id": language.op9_language_id,
     "op10_url_filters": urls.op10_url_filters,
