@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, pii, urls
+from . import bpe, dedup, fingerprint, language, pii, secret_scan, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_secrets": secret_scan.op4_secrets,
     "op6_personal_data": pii.op6_personal_data,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_language_id": language.op9_language_id,
