@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, pii, secret_scan, urls
+from . import bpe, dedup, fingerprint, language, neighbours, pii, secret_scan, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secret_scan.op4_secrets,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_personal_data": pii.op6_personal_data,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_language_id": language.op9_language_id,
