@@ -7,8 +7,9 @@ agree as often as the sets' similarity says, with the concentration of independe
 
 Documents with equal sets are one class. Classes that share a band meet in a bucket, and only links that can
 still join two components are looked for: each bucket compares all its members with two of them, the links found
-are followed to components, and only members of one bucket in different components are compared again. A pair
-passes on its sketch bits and sizes first, and is confirmed on the full shingle sets.
+are followed to components, and then members of one bucket in different components are compared with each other.
+So no pair of a bucket is passed over, and pairs inside a component are not compared again. A pair passes on
+its sketch bits and sizes first, and is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -134,27 +135,48 @@ def _set_table(df: DataFrame, k: int) -> DataFrame:
 
 
 def _plausible(percent: int) -> str:
-    """Sizes that allow the similarity, and no more differing sketch bits than 7 standard deviations over it.
+    """Sizes that allow the similarity, and no more differing sketch bits than 6 standard deviations over it.
 
     Bits of a pair of similarity s differ with probability (1 - s) / 2.
     """
     p = (1 - percent / 100) / 2
-    most = int(BINS * p + 7.2 * (BINS * p * (1 - p)) ** 0.5) + 1
+    most = int(BINS * p + 6 * (BINS * p * (1 - p)) ** 0.5) + 1
     words = -(-BINS // 64)
     apart = " + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(words))
     return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND {apart} <= {most}"
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on their full sets. Sets are made for documents that occur in a pair only."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_set_table(docs.join(wanted, "id", "left_semi"), k), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    rule = 100 * shared >= percent * (F.size("x") + F.size("y") - shared)
-    return both.filter(rule).select("a", "b").distinct()
+def _linked(x: str, y: str, percent: int) -> str:
+    """The similarity rule, ``100 * shared >= percent * (x + y - shared)``, with ``shared`` once."""
+    return f"{100 + percent} * size(array_intersect({x}, {y})) >= {percent} * (size({x}) + size({y}))"
+
+
+class _Verifier:
+    """Confirms pairs on full shingle sets. Sets are made once per document, for documents that are asked for."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent = docs, k, percent
+        self.sets: DataFrame | None = None
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(id, grams) of the documents asked for so far and of ``ids``."""
+        if self.sets is None:
+            # the texts are shuffled once here, at any size: what is asked for grows with the corpus
+            self.sets = written(_set_table(self.docs.join(ids.hint("merge"), "id", "left_semi"), self.k), "sets")
+            return self.sets
+        fresh = written(ids.join(self.sets.select("id"), "id", "left_anti"), "wanted")
+        if not fresh.isEmpty():
+            more = written(_set_table(self.docs.join(fresh, "id", "left_semi"), self.k), "sets")
+            self.sets = self.sets.union(more)
+        return self.sets
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = self.sets_of(ids)
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"
+        )
+        return both.filter(_linked("x", "y", self.percent)).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -175,34 +197,34 @@ def near_duplicates(
         usable.groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bits", "bands")).alias("s")).select("k1", "k2", "s.*"),
         "classes",
     )
+    facts = written(classes.groupBy("id").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "facts")
     rows = classes.select("id", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("id").alias("h"), "id")
     ends = rows.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("members"))
     ends = ends.filter("members > 1").select("band", F.col("lo.id").alias("c1"), F.col("hi.id").alias("c2"))
     buckets = written(rows.join(ends, "band"), "buckets")
-    facts = classes.groupBy("id").agg(F.max("n").alias("n"), F.first("bits").alias("bits"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        side = lambda name: facts.select(F.col("id").alias(name), F.struct("n", "bits").alias("l" if name == "a" else "r"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_plausible(percent)).select("a", "b")
 
     stars = buckets.select("id", F.explode(F.array("c1", "c2")).alias("c")).filter("id != c")
     stars = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    same_id = _repeated_ids(classes, usable)
-    links = written(_confirmed(written(plausible(stars), "pairs"), docs, k, percent).union(same_id), "links")
+    side = lambda name, part: facts.select(F.col("id").alias(name), F.struct("n", "bits").alias(part))
+    stars = stars.join(side("a", "l"), "a").join(side("b", "r"), "b").filter(_plausible(percent)).select("a", "b")
+    confirm = _Verifier(docs, k, percent)
+    links = written(confirm(written(stars, "pairs")).union(_repeated_ids(classes, usable)), "links")
     first = components(links)
 
-    # what is left: members of one bucket in different components, none of them a centre
-    open_ = buckets.filter("id != c1 AND id != c2").join(first.withColumnRenamed("node", "id"), "id", "left")
-    open_ = open_.select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    open_ = written(open_.join(mixed.select("band"), "band").join(facts, "id"), "open")
-    pairs = open_.alias("l").join(
-        open_.alias("r"), F.expr(f"l.band = r.band AND l.component < r.component AND {_plausible(percent)}")
-    )
-    pairs = written(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "pairs")
-    if not pairs.isEmpty():
-        links = written(links.union(_confirmed(pairs, docs, k, percent)), "links")
+    # Members of one bucket in different components, centres apart: those with a plausible partner bring their
+    # sets, and the join itself compares them, so that only links come out of it.
+    open_ = written(_mixed(buckets.filter("id != c1 AND id != c2"), first).join(facts, "id"), "open")
+    meet = f"l.band = r.band AND l.component != r.component AND {_plausible(percent)}"
+    open_ = written(open_.alias("l").join(open_.alias("r"), F.expr(meet), "left_semi"), "open")
+    if not open_.isEmpty():
+        own = open_.groupBy("id").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+        open_ = open_.join(own, "id").join(confirm.sets_of(own.select("id")), "id")
+        # a pair that meets in several buckets is compared in the first
+        first_meeting = "l.band = array_min(array_intersect(l.bands, r.bands))"
+        exact = f"{meet} AND l.component < r.component AND {first_meeting} AND {_linked('l.grams', 'r.grams', percent)}"
+        more = open_.alias("l").join(open_.alias("r"), F.expr(exact)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        links = written(links.union(more.distinct()), "links")
         first = components(links)
 
     named = classes.join(first.withColumnRenamed("node", "id"), "id", "left").select(
@@ -216,6 +238,14 @@ def near_duplicates(
     )
 
 
+def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
+    """(band, id, component) of the members of buckets with more than one component."""
+    own = members.select("band", "id").join(named.withColumnRenamed("node", "id"), "id", "left")
+    own = own.select("band", "id", F.coalesce("component", "id").alias("component"))
+    ends = own.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return own.join(ends.select("band"), "band")
+
+
 def _repeated_ids(classes: DataFrame, usable: DataFrame) -> DataFrame:
     """Links between the representatives of all classes that one repeated id belongs to."""
     many = usable.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
