@@ -99,12 +99,11 @@ class WordHasher:
                 for b in (_BASE, inverse)
             )
 
-    def words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word, and the place of each text's first word (one more entry for the end)."""
+    def places(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of every word, and the byte after its last. Words end where their text ends."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-        self._powers(n)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         solid = ~self.space[data]
         edge = np.zeros(n + 1, bool)
         edge[starts] = True
@@ -112,10 +111,18 @@ class WordHasher:
         begin[1:] &= ~solid[:-1] | edge[1:n]
         end = solid.copy()
         end[:-1] &= ~solid[1:] | edge[1:n]
-        first, last = np.flatnonzero(begin), np.flatnonzero(end)
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+    def words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word, and the place of each text's first word (one more entry for the end)."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        self._powers(n)
+        first, after = self.places(data, starts)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[:n], out=sums[1:])
-        hashes = mix((sums[last + 1] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+        hashes = mix((sums[after] - sums[first]) * self.down[first] + (after - first - 1).astype(np.uint64))
         return hashes, np.searchsorted(first, starts)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import _FEW, _MANY_SUMS, _sums, let
 from .common import col, table, written
+from .weak import reliabilities
 
 # Patterns are possessive where nothing can follow, and start where a run starts (or the last match ended), so
 # that long runs cost linear time. They match what their plain forms match.
@@ -125,39 +126,6 @@ def candidates(text: str) -> str:
     return let(f"coalesce({text}, '')", "text", f"concat({parts})")
 
 
-def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 50) -> dict[tuple[str, str], float]:
-    """Posterior of being personal data by (kind, votes), by expectation-maximisation.
-
-    Each kind has a prior; each labeller has a rate of each answer for either class, shared by the kinds.
-    Starts from the majority of votes.
-    """
-    if not counts:
-        return {}
-    width = len(next(iter(counts))[1])
-    post = {p: min(0.95, max(0.05, 0.5 + 0.3 * (p[1].count("+") - p[1].count("-")))) for p in counts}
-    for _ in range(rounds):
-        prior: dict[str, list[float]] = {}
-        rate = [[{a: 1.0 for a in "+-0"} for _ in (0, 1)] for _ in range(width)]
-        for i in range(width):  # a weak belief that a vote means what it says
-            rate[i][1]["+"] += 2.0
-            rate[i][0]["-"] += 2.0
-        for (kind, votes), n in counts.items():
-            own = prior.setdefault(kind, [1.0, 1.0])
-            q = post[kind, votes]
-            own[0] += n * (1 - q)
-            own[1] += n * q
-            for i, a in enumerate(votes):
-                rate[i][1][a] += n * q
-                rate[i][0][a] += n * (1 - q)
-        for kind, votes in counts:
-            log = [math.log(x) for x in prior[kind]]
-            for i, a in enumerate(votes):
-                for c in (0, 1):
-                    log[c] += math.log(rate[i][c][a] / sum(rate[i][c].values()))
-            post[kind, votes] = 1 / (1 + math.exp(min(500.0, log[0] - log[1])))
-    return post
-
-
 def fields(feature: str) -> list[str]:
     """What the classifier weighs: each part of a feature string, with its kind, and the kind."""
     kind, *parts = feature.split("|")

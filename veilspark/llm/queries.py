@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, neighbours, pii, secret_scan, urls
+from . import bpe, dedup, fingerprint, language, mixing, neighbours, pii, quality, secret_scan, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_mixing": mixing.op7_mixing,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_language_id": language.op9_language_id,
     "op10_url_filters": urls.op10_url_filters,
