@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from veilspark.functions import names as N
-from veilspark.operators import querylog as Q
-
-from . import duck
-from .queries import COMPOSITES, DETECT, HASH_KEY, RULES, STAR_TABLES, TABLES, TOKEN_KEY
+from . import duck, expected as N, expected as Q
+from .queries import COMPOSITES, DETECT, HASH_KEY, RULES, TABLES, TOKEN_KEY
 from .views import CONTACT_VALUES, with_views
 
 SPAN_COLUMNS = 'src, id, entity, "start", "end", match, score, recognizer'
@@ -34,7 +31,6 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 COLUMNS = {t: [tuple(c.strip().split(" ")) for c in s.split(",")] for t, s in SCHEMAS.items()}
-ORDERS = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders)"
 
 
 def _words(values) -> str:
@@ -60,7 +56,7 @@ def _inventory(tables=TABLES) -> str:
 
 def _person(n: str) -> str:
     ends = " OR ".join(f"ends_with({n}, '{e}')" for e in N.PERSON_ENDINGS)
-    technical = _words(f"{w}_NAME" for w in N.TECHNICAL_WORDS)
+    technical = _words(N.TECHNICAL_NAMES)
     return f"({n} IN {_words(N.PERSON_EXACT)} OR {ends} OR (ends_with({n}, '_NAME') AND {n} NOT IN {technical}))"
 
 
@@ -95,11 +91,11 @@ def _kind(t: str) -> str:
       ELSE 'other' END"""
 
 
-def _policy(n: str, t: str, longest: str = "0") -> str:
+def _policy(n: str, t: str) -> str:
     k = f"({_kind(t)})"
     return f"""CASE WHEN {_person(n)} OR {_address(n)} OR {_birth(n)} OR {k} = 'date' THEN 'name_only'
       WHEN {k} IN ('numeric','boolean','interval') THEN 'safe' WHEN {k} = 'binary' THEN 'strip'
-      WHEN {k} IN ('large_text','structured') OR ({k} = 'text' AND coalesce({longest}, 0) > 4000) THEN 'truncate_scan'
+      WHEN {k} IN ('large_text','structured') THEN 'truncate_scan'
       ELSE 'full' END"""
 
 
@@ -119,11 +115,7 @@ def _catalog() -> str:
 
 
 def _catalog_with_policy() -> str:
-    policy = _policy("upper(column_name)", "upper(data_type)", "max_length")
-    return (
-        f"SELECT *, CASE WHEN scan_policy = 'truncate_scan' THEN 512 ELSE 0 END AS max_scan_length"
-        f" FROM (SELECT *, {policy} AS scan_policy FROM ({_catalog()}))"
-    )
+    return f"SELECT *, {_policy('upper(column_name)', 'upper(data_type)')} AS scan_policy FROM ({_catalog()})"
 
 
 def _candidate_keys() -> str:
@@ -145,17 +137,20 @@ def _candidate_keys() -> str:
 
 
 def _fk_edges(tables) -> str:
+    kinds = {"int": "i", "bigint": "i", "string": "s", "timestamp_ntz": "d"}
+
     def columns(t):
-        return [(c, "bigint" if k in ("int", "bigint") else "string") for c, k in COLUMNS[t] if k in ("int", "bigint", "string")]
+        return [(c, kinds[k]) for c, k in COLUMNS[t] if k in kinds]
 
     values = _union(
-        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {f'CAST({c} AS BIGINT)' if k == 'bigint' else 'NULL'} AS i,"
-        f" {c if k == 'string' else 'NULL'} AS s FROM {t} WHERE {c} IS NOT NULL"
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {f'CAST({c} AS BIGINT)' if k == 'i' else 'NULL'} AS i,"
+        f" {c if k == 's' else 'NULL'} AS s, {f'CAST({c} AS TIMESTAMP)' if k == 'd' else 'NULL'} AS d FROM {t}"
+        f" WHERE {c} IS NOT NULL"
         for t in tables
         for c, k in columns(t)
     )
     keys = _union(
-        f"SELECT '{t}' AS t, '{c}' AS c FROM {t} HAVING count(*) = count(DISTINCT {c}) AND count(*) = count({c})"
+        f"SELECT '{t}' AS t, '{c}' AS c FROM {t} HAVING count({c}) = count(DISTINCT {c})"
         for t in tables
         for c, _ in columns(t)
     )
@@ -164,7 +159,8 @@ def _fk_edges(tables) -> str:
         regexp_replace(a.c, '^[^_]*_', '') = regexp_replace(b.c, '^[^_]*_', '') AS name_match
       FROM (SELECT v.* FROM vals v) a
       JOIN (SELECT v.* FROM vals v JOIN ukeys k ON k.t = v.t AND k.c = v.c) b
-        ON a.t <> b.t AND a.i IS NOT DISTINCT FROM b.i AND a.s IS NOT DISTINCT FROM b.s
+        ON (a.t <> b.t OR a.c <> b.c) AND a.i IS NOT DISTINCT FROM b.i AND a.s IS NOT DISTINCT FROM b.s
+          AND a.d IS NOT DISTINCT FROM b.d
       JOIN (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c) n ON n.t = a.t AND n.c = a.c
       GROUP BY ALL HAVING count(*) = max(n.n)""", f"vals AS MATERIALIZED ({values}), ukeys AS MATERIALIZED ({keys})"
 
@@ -178,12 +174,19 @@ def _fk(tables, select: str = "SELECT * FROM edges") -> str:
 
 # --- columns ------------------------------------------------------------------------------------
 NAME = "upper(column_name)"
+REAL_CASES = ", ".join(
+    f"({-100 * (TABLES.index(t) + 1) - i - 1}, '{c}', '{k}')" for t in TABLES for i, (c, k) in enumerate(COLUMNS[t])
+)
+ALL_CASES = (
+    "all_cases AS (SELECT * FROM column_cases UNION ALL SELECT CAST(case_id AS BIGINT), column_name, data_type"
+    f" FROM (VALUES {REAL_CASES}) v(case_id, column_name, data_type))"
+)
 
 
 def _entity_join() -> str:
     pairs = ", ".join(f"('{w}', '{e}')" for e, words in N.ENTITY_NAMES.items() for w in words)
     return f"""(SELECT c.case_id, coalesce(arg_max(v.entity, length(v.word)), '') AS column_entity
-      FROM column_cases c LEFT JOIN (VALUES {pairs}) v(word, entity)
+      FROM all_cases c LEFT JOIN (VALUES {pairs}) v(word, entity)
         ON upper(c.column_name) = v.word OR ends_with(upper(c.column_name), '_' || v.word) GROUP BY c.case_id)"""
 
 
@@ -196,8 +199,8 @@ def _hint() -> str:
     return f"CASE {cases} ELSE '' END"
 
 
-def _cases(columns: str, source: str = "column_cases") -> str:
-    return with_views(f"SELECT case_id, column_name, {columns} FROM {source}", "")
+def _cases(columns: str, source: str = "all_cases") -> str:
+    return with_views(f"SELECT case_id, column_name, {columns} FROM {source}", ALL_CASES)
 
 
 def _hint_entity(tail: str) -> str:
@@ -215,7 +218,8 @@ def _typed_hints() -> str:
         f"""SELECT case_id, column_name, data_type,
           CASE WHEN ({kind}) = 'numeric' THEN 'safe' ELSE {policy} END AS hint_policy,
           CASE WHEN ({kind}) = 'numeric' THEN '' ELSE {_hint_entity(tail)} END AS hint_entity
-        FROM column_cases JOIN {_entity_join()} USING (case_id)"""
+        FROM all_cases JOIN {_entity_join()} USING (case_id)""",
+        ALL_CASES,
     )
 
 
@@ -246,7 +250,7 @@ def _lint() -> str:
         (f"contains({u}, ' OR ')", f"'{Q.ADVICE_OR}'"),
         (
             f"len(string_split({u}, ' JOIN ')) > 3",
-            f"'Query joins ' || len(string_split({u}, ' JOIN ')) || ' tables - consider reviewing join order and conditions'",
+            f"'{Q.ADVICE_JOINS[0]}' || len(string_split({u}, ' JOIN ')) || '{Q.ADVICE_JOINS[1]}'",
         ),
     ]
     parts = _union(f"SELECT {text} AS advice FROM query_log WHERE {rule}" for rule, text in rules)
@@ -341,18 +345,15 @@ def _hashed(v: str) -> str:
     return duck.hmac_sha256(v, HASH_KEY)
 
 
-def _anonymised(mode: str, replacement: str, kind: str, max_bytes: int | None) -> str:
+def _anonymised(mode: str, replacement: str, kind: str) -> str:
     raw = duck.all_spans("corpus", mode)
-    long = f"strlen(c.text) > {max_bytes}" if max_bytes else "false"
-    body = f"""SELECT c.src, c.id, CASE WHEN k.kinds IS NOT NULL AND {long} THEN '<content truncated and redacted>'
-          ELSE s.text END AS text,
-        CASE WHEN k.kinds IS NULL THEN 'none' WHEN {long} THEN 'truncated_and_redacted' ELSE k.kinds END AS treatment,
-        CASE WHEN k.kinds IS NOT NULL AND {long} THEN {max_bytes or 0} ELSE 0 END AS truncated_at
+    kept = duck.joined_ctes("best", "corpus") if mode == "safe" else duck.kept_ctes("best")
+    body = f"""SELECT c.src, c.id, s.text, coalesce(k.kinds, 'none') AS treatment, 0 AS truncated_at
       FROM corpus c JOIN ({duck.spliced('corpus', replacement)}) s ON s.src = c.src AND s.id = c.id
       LEFT JOIN (SELECT src, id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds
         FROM (SELECT src, id, {kind} AS kind FROM (SELECT src, id, k.en AS en FROM kept)) GROUP BY src, id) k ON k.src = c.src AND k.id = c.id"""
     extra = (
-        f"raw AS MATERIALIZED ({raw}), best AS MATERIALIZED ({duck.merged('raw')}), {duck.kept_ctes('best')}"
+        f"raw AS MATERIALIZED ({raw}), best AS MATERIALIZED ({duck.merged('raw')}), {kept}"
     )
     return with_views(body, extra).replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -365,21 +366,24 @@ MIXED_REPLACEMENT = (
 MIXED_KIND = "CASE en WHEN 'EMAIL_ADDRESS' THEN 'masked' WHEN 'PHONE_NUMBER' THEN 'hashed' ELSE 'redacted' END"
 
 # --- whole tables -------------------------------------------------------------------------------
-SCANNED = tuple(
-    c for c in CONTACT_VALUES if c.startswith("ref_") and c not in ("ref_postcode", "ref_dob")
-)
+# contact columns whose name says what they hold
+NAMED = {
+    "cont_firstname": "PERSON", "cont_email": "EMAIL_ADDRESS", "cont_phone": "PHONE_NUMBER", "ref_dob": "DATE_OF_BIRTH",
+    "ref_ssn": "US_SSN", "ref_postcode": "UK_POSTCODE", "ref_passport": "PASSPORT_NUMBER",
+}
+SCANNED = tuple(c for c in CONTACT_VALUES if c not in NAMED)
 CONTACT_COLUMNS = ("cont_id", *CONTACT_VALUES)
 
 
-def _decided(columns=SCANNED, low: int = -1, n: int = 20, **options) -> str:
+def _decided(columns=SCANNED, low: int = -1, limit: str = "", **options) -> str:
     ctes = _column_hits("vals", **options)
-    sample = f"sampled AS (SELECT * FROM contacts WHERE cont_id > {low} ORDER BY cont_id LIMIT {n})"
+    sample = f"sampled AS (SELECT * FROM contacts WHERE cont_id > {low} {limit})"
     return f"{sample}, vals AS ({_contact_values(columns, source='sampled')}), {ctes}"
 
 
 def _treated_rows(low: int = -1, limit: str = "") -> str:
     """Contacts with each column treated as its first entity."""
-    known = {"cont_firstname": "PERSON", "cont_email": "EMAIL_ADDRESS", "cont_phone": "PHONE_NUMBER"}
+    known = NAMED
 
     def one(c: str) -> str:
         if c in known:
@@ -391,7 +395,7 @@ def _treated_rows(low: int = -1, limit: str = "") -> str:
 
     return with_views(
         f"SELECT {', '.join(one(c) for c in CONTACT_COLUMNS)} FROM contacts WHERE cont_id > {low} {limit}",
-        _decided(low=low),
+        _decided(low=low, limit=limit),
     )
 
 
@@ -400,12 +404,12 @@ def _report(denied=(), forced=(), strong: bool = False) -> str:
     scanned = [c for c in SCANNED if c not in denied and c not in forced]
     options: dict = {}
     if strong:
-        scanned += ["cont_email", "cont_phone"]
+        scanned += list(NAMED)
         own = duck.spans(
             "vals", r"\b07[0-9]{9}\b", "UK_MOBILE", "MobileRecognizer", score=0.95
         )
         options = {"extra_spans": f" UNION ALL SELECT * FROM ({own})", "boost": False}
-    named = {"cont_firstname": "PERSON", "cont_email": "EMAIL_ADDRESS", "cont_phone": "PHONE_NUMBER"}
+    named = NAMED
 
     def row(c: str) -> str:
         kind = "bigint" if c == "cont_id" else "string"
@@ -417,7 +421,7 @@ def _report(denied=(), forced=(), strong: bool = False) -> str:
             return (
                 f"SELECT '{c}' AS column_name, '{kind}' AS data_type, '{scan}' AS scan_policy, {detected} AS detected,"
                 f" {entities} AS entities, CAST({confidence} AS DOUBLE) AS confidence, {source} AS source,"
-                f" {treatment} AS treatment, {reason} AS reason"
+                f" {treatment} AS treatment, {reason} AS reason, CAST(NULL AS BIGINT) AS sampled_rows"
             )
 
         if c in denied:
@@ -427,7 +431,7 @@ def _report(denied=(), forced=(), strong: bool = False) -> str:
         first = f"(SELECT {{}} FROM found WHERE column_name = '{c}' AND rank = 1)"
         if c in named:
             entity, score, source = f"'{named[c]}'", "0.85", "'name_heuristic'"
-            if strong and c != "cont_firstname":
+            if strong:
                 better = f"coalesce({first.format('score')}, 0) > 0.85"
                 entity = f"CASE WHEN {better} THEN {first.format('entity')} ELSE '{named[c]}' END"
                 score = f"CASE WHEN {better} THEN {first.format('score')} ELSE 0.85 END"
@@ -452,8 +456,8 @@ def _report(denied=(), forced=(), strong: bool = False) -> str:
 def _write_merge() -> str:
     return f"""WITH src AS (SELECT c_custkey * 20 AS k, c_acctbal AS p FROM customer)
       SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN k IS NULL THEN o_totalprice ELSE p END AS o_totalprice,
-        o_orderpriority FROM orders LEFT JOIN src ON k = o_orderkey
-      UNION ALL SELECT k, NULL, NULL, p, NULL FROM src WHERE k NOT IN (SELECT o_orderkey FROM orders)"""
+        o_orderdate, o_orderpriority FROM orders LEFT JOIN src ON k = o_orderkey
+      UNION ALL SELECT k, NULL, NULL, p, NULL, NULL FROM src WHERE k NOT IN (SELECT o_orderkey FROM orders)"""
 
 
 def _write_preview() -> str:
@@ -477,6 +481,14 @@ ANSWERS: dict[str, str] = {
     "bind_params": "SELECT o_orderpriority, count(*) AS n_orders FROM orders"
     " WHERE o_orderstatus = 'O' AND o_totalprice > 1000 GROUP BY o_orderpriority",
     "treated_select": _treated_rows(10, "ORDER BY cont_id LIMIT 100"),
+    "treated_select_alias": with_views(
+        "SELECT cont_id, '<redacted: EMAIL_ADDRESS>' AS e, '<redacted: PERSON>' AS f, '<redacted: PHONE_NUMBER>' AS p"
+        " FROM contacts ORDER BY cont_id LIMIT 100"
+    ),
+    "treated_select_join": with_views(
+        "SELECT cont_id, '<redacted: EMAIL_ADDRESS>' AS buyer, '<redacted: PERSON>' AS w, c_nationkey FROM contacts"
+        " JOIN customer ON c_custkey = cont_id ORDER BY cont_id LIMIT 100"
+    ),
     "token_roundtrip": with_views(
         "SELECT cont_id, true AS same_token, cont_phone FROM contacts WHERE cont_email ="
         " (SELECT cont_email FROM contacts ORDER BY cont_id LIMIT 1)"
@@ -486,16 +498,24 @@ ANSWERS: dict[str, str] = {
     " WHERE o_orderstatus = 'P'",
     "write_update": "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END"
     " AS o_orderstatus, CASE WHEN o_custkey < 100 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,"
-    " o_orderpriority FROM orders",
-    "write_delete": f"SELECT * FROM {ORDERS} WHERE o_orderstatus <> 'F'",
+    " o_orderdate, o_orderpriority FROM orders",
+    "write_delete": "SELECT * FROM orders WHERE o_orderstatus <> 'F'",
     "write_merge": _write_merge(),
     "write_preview": _write_preview(),
+    "write_commit_insert": "SELECT o_orderkey + 10000000 AS o_orderkey, CAST(NULL AS BIGINT) AS o_custkey, CAST(NULL AS VARCHAR) AS"
+    " o_orderstatus, o_totalprice, CAST(NULL AS TIMESTAMP) AS o_orderdate, CAST(NULL AS VARCHAR) AS o_orderpriority,"
+    " count(*) OVER () AS rows_affected FROM orders WHERE o_orderstatus = 'P'",
+    "write_commit_update": "SELECT * REPLACE (CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus),"
+    " (SELECT count(*) FROM orders WHERE o_custkey < 100) AS rows_affected FROM orders",
+    "write_commit_delete": "SELECT *, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS rows_affected"
+    " FROM orders WHERE o_orderstatus <> 'F'",
+    "write_commit_merge": f"SELECT *, (SELECT count(*) FROM customer) AS rows_affected FROM ({_write_merge()})",
     "table_inventory": _inventory(),
     "column_catalog": _catalog_with_policy(),
-    "search_tables": f"SELECT * FROM ({_inventory()}) WHERE table_name ILIKE '%er%' ORDER BY table_name LIMIT 20",
-    "search_columns": f"""SELECT table_name, position, column_name, data_type, n_rows FROM (
+    "search_tables": f"SELECT table_name, n_columns::BIGINT AS n_columns FROM ({_inventory()}) WHERE table_name ILIKE '%er%'",
+    "search_columns": f"""SELECT table_name, position, column_name, data_type FROM (
         SELECT *, dense_rank() OVER (ORDER BY table_name) AS nth FROM (
-          SELECT * FROM ({_catalog()}) WHERE column_name ILIKE '%key%' ORDER BY table_name, position LIMIT 40))
+          SELECT * FROM ({_catalog()}) WHERE column_name ILIKE '%key%'))
       WHERE nth <= 4""",
     "candidate_keys": _candidate_keys(),
     "key_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem"
@@ -509,14 +529,15 @@ ANSWERS: dict[str, str] = {
     "fk_violations": "SELECT o_custkey, count(*) AS n_rows FROM (SELECT o_custkey + o_orderkey % 7 * 40 AS o_custkey"
     " FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey",
     "related_tables": _fk(
-        STAR_TABLES,
+        TABLES,
         "SELECT DISTINCT 'references' AS relation, parent_table AS table_name FROM edges"
         " WHERE child_table = 'orders' AND name_match UNION SELECT 'referenced_by', child_table FROM edges"
         " WHERE parent_table = 'orders' AND name_match",
     ),
     "is_pii_column": _cases(f"{_pii(NAME)} AS is_pii"),
     "column_entity": with_views(
-        f"SELECT case_id, column_name, column_entity FROM column_cases JOIN {_entity_join()} USING (case_id)"
+        f"SELECT case_id, column_name, column_entity FROM all_cases JOIN {_entity_join()} USING (case_id)",
+        ALL_CASES,
     ),
     "name_columns": _cases(f"{_person(NAME)} AS is_person"),
     "address_columns": _cases(
@@ -524,8 +545,8 @@ ANSWERS: dict[str, str] = {
     ),
     "dob_columns": _cases(f"{_birth(NAME)} AS is_birth"),
     "scan_policy": _cases(
-        "data_type, scan_policy, CASE WHEN scan_policy = 'truncate_scan' THEN 512 ELSE 0 END AS max_scan_length",
-        f"(SELECT *, {_policy(NAME, 'upper(data_type)')} AS scan_policy FROM column_cases)",
+        "data_type, scan_policy",
+        f"(SELECT *, {_policy(NAME, 'upper(data_type)')} AS scan_policy FROM all_cases)",
     ),
     "column_hints_typed": _typed_hints(),
     "column_hints_untyped": _cases(
@@ -534,14 +555,19 @@ ANSWERS: dict[str, str] = {
     ),
     "name_hint_match": _cases(
         "name_hint, CASE WHEN name_hint = '' THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS name_hint_score",
-        f"(SELECT *, {_hint()} AS name_hint FROM column_cases)",
+        f"(SELECT *, {_hint()} AS name_hint FROM all_cases)",
     ),
     "query_log_audit": _audit(),
     "query_log_lint": _lint(),
-    **{key: _detect(key.removeprefix("detect_")) for key in DETECT if key != "detect_person"},
-    "detect_person": with_views(f"SELECT {SPAN_COLUMNS} FROM ({duck.email('corpus')}) WHERE false"),
+    **{key: _detect(key.removeprefix("detect_")) for key in DETECT},
     "analyze_text": _analyze(0.5),
     "analyze_column": _analyze_column(),
+    "analyze_column_named": with_views(
+        "SELECT column_name, entity, hits, n_values, score, rank FROM found UNION ALL SELECT * FROM (VALUES"
+        " ('cont_firstname', 'PERSON', NULL, NULL, 0.85, 1), ('cont_email', 'EMAIL_ADDRESS', NULL, NULL, 0.85, 1),"
+        " ('cont_phone', 'PHONE_NUMBER', NULL, NULL, 0.85, 1))",
+        f"vals AS ({_contact_values([c for c in CONTACT_VALUES if c.startswith('ref_')])}), " + _column_hits("vals"),
+    ),
     "entity_filter": _entity_filter(),
     "min_confidence": _analyze(0.1),
     "entity_profile": _profile(),
@@ -560,8 +586,8 @@ ANSWERS: dict[str, str] = {
     "treat_custom": _contacts(
         "'email_address:' || upper(cont_email[1:2])", "'credit_card:' || upper(ref_card[1:2])"
     ),
-    "anonymise_text": _anonymised("safe", REDACTED, "'redacted'", None),
-    "anonymise_text_reference": _anonymised("reference", REDACTED, "'redacted'", 512),
+    "anonymise_text": _anonymised("safe", REDACTED, "'redacted'"),
+    "anonymise_text_reference": _anonymised("reference", REDACTED, "'redacted'"),
     "anonymise_value": with_views(
         f"SELECT cont_id, {_mask('cont_email')} AS cont_email, {_hashed('cont_phone')} AS cont_phone,"
         " '<redacted: UK_NINO>' AS ref_nino, 'masked' AS treatment FROM contacts"
@@ -572,8 +598,15 @@ ANSWERS: dict[str, str] = {
     " FROM pages",
     "treat_deny": "SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '<access denied>' END AS c_name, c_nationkey,"
     " CASE WHEN c_acctbal IS NOT NULL THEN '<access denied>' END AS c_acctbal, c_mktsegment FROM customer",
-    "operator_map": _anonymised("safe", MIXED_REPLACEMENT, MIXED_KIND, None),
+    "operator_map": _anonymised("safe", MIXED_REPLACEMENT, MIXED_KIND),
     "process_table": _treated_rows(),
+    "process_table_late_hits": with_views(
+        "SELECT cont_id, CASE WHEN (SELECT max(cont_id) FROM contacts) > 1000 THEN '<redacted: EMAIL_ADDRESS>'"
+        " ELSE 'none' END AS remark FROM contacts"
+    ),
+    "process_table_nested": with_views(
+        "SELECT cont_id, '<redacted: EMAIL_ADDRESS>' AS payload, cont_id % 7 AS n FROM contacts"
+    ),
     "column_report": _report(),
     "static_policy": _report(denied=("cont_email",), forced=("ref_card",)),
     "name_vs_value": _report(strong=True),

@@ -6,6 +6,7 @@ through ``try_strptime``, offsets are sums over list slices, extents are ranked
 
 from __future__ import annotations
 
+# --- fixed values: patterns ---------------------------------------------------------------------
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 EMAIL = rf"[a-zA-Z0-9.!#$%&''*+/=?^_{{|}}~-]+@{LABEL}(?:\.{LABEL})+"
@@ -158,7 +159,9 @@ def ipv6(source: str, mode: str = "reference") -> str:
     rest = r"regexp_extract(text[length(split_part(text, '::/', 1)) + 4:], '^[0-9]+')"
     no_named = f"NOT contains(text, '{fe80}') AND NOT contains(text, '{any128}')"
     parts = [
-        one_span(source, *this, *before("::1"), "'::1'", loop),
+        spans(f"(SELECT src, id, text FROM {source} WHERE {loop})", "::1", *this)
+        if mode == "safe"
+        else one_span(source, *this, *before("::1"), "'::1'", loop),
         shaped,
         one_span(left, *this, *before(fe80), f"'{fe80}'", f"contains(text, '{fe80}')"),
         one_span(
@@ -233,6 +236,18 @@ def kept_ctes(merged_name: str) -> str:
         ON s.src = kept.src AND s.id = kept.id AND s."start" >= kept.k.e GROUP BY kept.src, kept.id)"""
 
 
+def joined_ctes(merged_name: str, source: str) -> str:
+    """CTE ``kept``: the unions of overlapping spans, named by the best score, then the longest."""
+    by = """PARTITION BY src, id ORDER BY "start", -"end\""""
+    return f"""reached AS (SELECT *, CASE WHEN "start" < max("end") OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        THEN 0 ELSE 1 END AS fresh FROM {merged_name}),
+      numbered AS (SELECT *, sum(fresh) OVER ({by} ROWS UNBOUNDED PRECEDING) AS grp FROM reached),
+      united AS (SELECT src, id, min("start") AS s, max("end") AS e, min(cstart) AS c, max(cstart + length(match)) AS ce,
+        arg_max(entity, struct_pack(a := score, b := "end" - "start", d := entity)) AS en FROM numbered GROUP BY src, id, grp),
+      kept AS (SELECT u.src, u.id, struct_pack(s := u.s, e := u.e, c := u.c, m := t.text[u.c + 1:u.ce], en := u.en) AS k
+        FROM united u JOIN {source} t ON t.src = u.src AND t.id = u.id)"""
+
+
 def spliced(source: str, replacement: str) -> str:
     """(src, id, text) with each kept span replaced; ``m`` and ``en`` name the match and its entity."""
     return f"""SELECT t.src, t.id, CASE WHEN x.body IS NULL THEN t.text

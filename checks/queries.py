@@ -19,7 +19,7 @@ from veilspark.operators import querylog as Q
 from veilspark.plans import reads, tables as P
 from veilspark.session import shared_folder
 from veilspark.sources import guard, writes
-from veilspark.sources.tables import footer_tables, scan_table, scan_tables, spread
+from veilspark.sources.tables import footer_tables, scan_table, scan_tables
 from veilspark.streaming import treat as S
 
 from .views import CONTACT_VALUES, CONTACTS, frame, view
@@ -32,7 +32,6 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-STAR_TABLES = TABLES[:7]
 COMPOSITES = {"lineitem": [["l_orderkey", "l_linenumber"]], "conversations": [["conv_id", "turn"]]}
 RULES = {
     "quantity_positive": "l_quantity > 0",
@@ -50,7 +49,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(view(spark, folder, "corpus"), "src", "id")
+    return view(spark, folder, "corpus")
 
 
 def _spans(df: DataFrame) -> DataFrame:
@@ -67,7 +66,7 @@ def guarded_select(spark: SparkSession, folder: str) -> DataFrame:
     return guard.guarded_select(
         spark,
         "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
-        max_rows=5000,
+        max_rows=1000,
         order_by=["o_totalprice", "o_orderkey"],
     )
 
@@ -123,7 +122,7 @@ def table_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orders_changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    orders = frame(spark, folder, "orders").drop("o_orderdate")
+    orders = frame(spark, folder, "orders")
     fresh = orders.filter("o_orderstatus = 'P'")
     return orders, fresh
 
@@ -136,8 +135,8 @@ def write_insert(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_update(spark: SparkSession, folder: str) -> DataFrame:
     orders, _ = _orders_changes(spark, folder)
-    assign = {"o_orderstatus": "'X'", "o_totalprice": "o_totalprice * 2"}
-    return writes.update(orders, assign, "o_custkey < :top", {"top": 100}).rows
+    assign = {"o_orderstatus": ":new", "o_totalprice": "o_totalprice * :times"}
+    return writes.update(orders, assign, "o_custkey < :top", {"top": 100, "new": "X", "times": 2}).rows
 
 
 def write_delete(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,27 +167,40 @@ def write_preview(spark: SparkSession, folder: str) -> DataFrame:
     return first
 
 
+def _committed(op: str, spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader finds after the commit, and the count that the commit gave."""
+    orders, fresh = _orders_changes(spark, folder)
+    source = frame(spark, folder, "customer").selectExpr("c_custkey * 20 AS o_orderkey", "c_acctbal AS o_totalprice")
+    change = {
+        "insert": lambda: writes.insert(orders, fresh.selectExpr("o_orderkey + 10000000 AS o_orderkey", "o_totalprice")),
+        "update": lambda: writes.update(orders, {"o_orderstatus": ":new"}, "o_custkey < :top", {"top": 100, "new": "X"}),
+        "delete": lambda: writes.delete(orders, "nullif(o_orderstatus, 'O') = 'F'"),
+        "merge": lambda: writes.merge(orders, source, ["o_orderkey"]),
+    }[op]()
+    path = f"{shared_folder(spark, 'commit')}/orders"
+    done = writes.commit(change, path).first()
+    return spark.read.parquet(path).withColumn("rows_affected", F.lit(done["rows_affected"]))
+
+
 # --- catalog and keys ---------------------------------------------------------------------------
 def table_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return C.table_inventory(footer_tables(spark, folder, TABLES))
 
 
 def column_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return C.column_catalog(scan_tables(spark, folder, TABLES)).select(
+    return C.column_catalog(scan_tables(spark, folder, TABLES), lengths=True).select(
         "table_name", "position", "column_name", "data_type", "nullable", "n_rows", "n_nulls",
-        "min_length", "max_length", "scan_policy", "max_scan_length",
+        "min_length", "max_length", "scan_policy",
     )
 
 
 def search_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return C.search_tables(C.table_inventory(footer_tables(spark, folder, TABLES)), "er")
+    return C.search_tables(C.names_catalog(scan_tables(spark, folder, TABLES)), "er")
 
 
 def search_columns(spark: SparkSession, folder: str) -> DataFrame:
-    catalog = C.column_catalog(scan_tables(spark, folder, TABLES), classified=False)
-    return C.search_columns(catalog, "key", 4).select(
-        "table_name", "position", "column_name", "data_type", "n_rows"
-    )
+    catalog = C.names_catalog(scan_tables(spark, folder, TABLES))
+    return C.search_columns(catalog, "key", 4).select("table_name", "position", "column_name", "data_type")
 
 
 def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,19 +225,27 @@ def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def related_tables(spark: SparkSession, folder: str) -> DataFrame:
-    edges = K.fk_discovery(footer_tables(spark, folder, STAR_TABLES)).filter("name_match")
+    edges = K.fk_discovery(footer_tables(spark, folder, TABLES)).filter("name_match")
     return K.related_tables(edges, "orders")
 
 
 # --- column names and statements ----------------------------------------------------------------
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The made cases, and under negative numbers every column of the tables."""
+    real = C.names_catalog(scan_tables(spark, folder, TABLES))
+    number = F.expr(f"-100 * array_position(array({', '.join(repr(t) for t in TABLES)}), table_name) - position")
+    real = real.select(number.cast("long").alias("case_id"), "column_name", "data_type")
+    return view(spark, folder, "column_cases").unionByName(real)
+
+
 def _classified(spark: SparkSession, folder: str, *columns: str, typed: bool = True) -> DataFrame:
-    cases = view(spark, folder, "column_cases")
+    cases = _cases(spark, folder)
     classes = N.classify(cases, data_type="data_type" if typed else None)
     return classes.select("case_id", "column_name", *columns)
 
 
 def address_columns(spark: SparkSession, folder: str) -> DataFrame:
-    cases = view(spark, folder, "column_cases")
+    cases = _cases(spark, folder)
     strict = N.is_address_column("column_name", strict=True)
     return cases.selectExpr(
         "case_id",
@@ -263,12 +283,16 @@ def entity_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def analyze_column(spark: SparkSession, folder: str) -> DataFrame:
-    contacts = spread(view(spark, folder, "contacts"), "cont_id")
+    contacts = view(spark, folder, "contacts")
     return D.analyze_columns(contacts, CONTACT_VALUES)
 
 
+def analyze_column_named(spark: SparkSession, folder: str) -> DataFrame:
+    return D.analyze_columns(view(spark, folder, "contacts"), CONTACT_VALUES, use_names=True)
+
+
 def entity_profile(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(scan_table(spark, "documents", folder, ["doc_id", "text", "source", "lang"]), "doc_id")
+    documents = scan_table(spark, "documents", folder, ["doc_id", "text", "source", "lang"])
     return D.entity_profile(documents, "text", ["source", "lang"], cube=True)
 
 
@@ -344,25 +368,47 @@ def treat_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 def treat_strip_binary(spark: SparkSession, folder: str) -> DataFrame:
     pages = frame(spark, folder, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("body"))
-    return P.treat_table(pages, P.decide(pages, sample=20, order_by=["page_id"]))
+    return P.treat_table(pages, P.decide(pages))
 
 
 def treat_deny(spark: SparkSession, folder: str) -> DataFrame:
     customers = frame(spark, folder, "customer")
     policies = {"c_name": P.ColumnPolicy("deny"), "c_acctbal": P.ColumnPolicy("deny")}
-    return P.treat_table(customers, P.decide(customers, policies=policies, order_by=["c_custkey"]))
+    return P.treat_table(customers, P.decide(customers, policies=policies))
 
 
 # --- whole tables -------------------------------------------------------------------------------
 def process_table(spark: SparkSession, folder: str) -> DataFrame:
     contacts = view(spark, folder, "contacts")
-    treated, _ = P.process_table(contacts, order_by=["cont_id"])
+    treated, _ = P.process_table(contacts)
     return treated
 
 
+def process_table_late_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """A column whose first personal data stands after a thousand rows."""
+    contacts = view(spark, folder, "contacts")
+    remark = F.expr("CASE WHEN cont_id > 1000 THEN cont_email ELSE 'none' END").alias("remark")
+    return P.process_table(contacts.select("cont_id", remark))[0]
+
+
+def process_table_nested(spark: SparkSession, folder: str) -> DataFrame:
+    contacts = view(spark, folder, "contacts")
+    payload = F.expr("named_struct('mail', cont_email, 'tags', array('a', 'b'))").alias("payload")
+    plain = F.expr("named_struct('n', cont_id % 7)").alias("plain")
+    treated, _ = P.process_table(contacts.select("cont_id", payload, plain))
+    return treated.select("cont_id", "payload", F.col("plain.n").alias("n"))
+
+
+def _treated_query(sql: str, spark: SparkSession, folder: str) -> DataFrame:
+    contacts = view(spark, folder, "contacts")
+    contacts.createOrReplaceTempView("contacts")
+    frame(spark, folder, "customer").createOrReplaceTempView("customer")
+    return reads.treated_select(spark, sql, order_by=["cont_id"], tables={"contacts": contacts})[0]
+
+
 def _report(spark: SparkSession, folder: str, **options) -> DataFrame:
     contacts = view(spark, folder, "contacts")
-    _, report = P.process_table(contacts, order_by=["cont_id"], **options)
+    _, report = P.process_table(contacts, **options)
     return report.withColumn("entities", F.concat_ws(",", "entities"))
 
 
@@ -376,7 +422,7 @@ def name_vs_value(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def treat_stream(spark: SparkSession, folder: str) -> DataFrame:
-    decisions = P.decide(view(spark, folder, "contacts"), order_by=["cont_id"])
+    decisions = P.decide(view(spark, folder, "contacts"))
     schema = scan_table(spark, "customer", folder).schema
     customers = S.read_files(spark, folder, schema, name_filter="customer.parquet")
     contacts = spark.sql(CONTACTS.replace("FROM customer", "FROM {customer}"), customer=customers)
@@ -389,11 +435,11 @@ def treat_stream(spark: SparkSession, folder: str) -> DataFrame:
 def token_join(spark: SparkSession, folder: str) -> DataFrame:
     hashed = R.TreatmentMap(R.hash_with(HASH_KEY))
     contacts = view(spark, folder, "contacts").select("cont_id", "cont_email")
-    left, _ = P.process_table(contacts, order_by=["cont_id"], treatments=hashed)
+    left, _ = P.process_table(contacts, treatments=hashed)
     customers = frame(spark, folder, "customer").selectExpr(
         "lower(replace(c_name, '#', '.')) || '@example.com' AS email", "c_nationkey", "c_mktsegment"
     )
-    right, _ = P.process_table(customers, order_by=["email"], treatments=hashed)
+    right, _ = P.process_table(customers, treatments=hashed)
     joined = reads.token_join(left, right.withColumnRenamed("email", "cont_email"), ["cont_email"])
     return joined.groupBy("c_nationkey", "c_mktsegment").agg(
         F.count(F.lit(1)).alias("n_contacts"), F.min("cont_email").alias("first_token")
@@ -413,7 +459,6 @@ DETECT = {
     "detect_dob": "DATE_OF_BIRTH",
     "detect_ssn": "US_SSN",
     "detect_passport": "PASSPORT_NUMBER",
-    "detect_person": "PERSON",
 }
 
 QUERIES: dict[str, Query] = {
@@ -421,6 +466,14 @@ QUERIES: dict[str, Query] = {
     "guarded_select": guarded_select,
     "bind_params": bind_params,
     "treated_select": treated_select,
+    "treated_select_alias": partial(
+        _treated_query, "SELECT cont_id, cont_email AS e, cont_firstname AS f, upper(cont_phone) AS p FROM contacts"
+    ),
+    "treated_select_join": partial(
+        _treated_query,
+        "WITH named AS (SELECT c_custkey AS k, c_name AS who, c_nationkey FROM customer) SELECT c.cont_id,"
+        " c.cont_email AS buyer, n.who AS w, n.c_nationkey FROM contacts c JOIN named n ON n.k = c.cont_id",
+    ),
     "token_roundtrip": token_roundtrip,
     "table_sample": table_sample,
     "write_insert": write_insert,
@@ -428,6 +481,7 @@ QUERIES: dict[str, Query] = {
     "write_delete": write_delete,
     "write_merge": write_merge,
     "write_preview": write_preview,
+    **{f"write_commit_{op}": partial(_committed, op) for op in ("insert", "update", "delete", "merge")},
     "table_inventory": table_inventory,
     "column_catalog": column_catalog,
     "search_tables": search_tables,
@@ -443,7 +497,7 @@ QUERIES: dict[str, Query] = {
     "name_columns": lambda s, d: _classified(s, d, "is_person", typed=False),
     "address_columns": address_columns,
     "dob_columns": lambda s, d: _classified(s, d, "is_birth", typed=False),
-    "scan_policy": lambda s, d: _classified(s, d, "data_type", "scan_policy", "max_scan_length"),
+    "scan_policy": lambda s, d: _classified(s, d, "data_type", "scan_policy"),
     "column_hints_typed": lambda s, d: _classified(s, d, "data_type", "hint_policy", "hint_entity"),
     "column_hints_untyped": lambda s, d: _classified(s, d, "hint_policy", "hint_entity", typed=False),
     "name_hint_match": lambda s, d: _classified(s, d, "name_hint", "name_hint_score", typed=False),
@@ -452,6 +506,7 @@ QUERIES: dict[str, Query] = {
     **{key: partial(detect_entity, entity) for key, entity in DETECT.items()},
     "analyze_text": analyze_text,
     "analyze_column": analyze_column,
+    "analyze_column_named": analyze_column_named,
     "entity_filter": entity_filter,
     "min_confidence": min_confidence,
     "entity_profile": entity_profile,
@@ -462,16 +517,18 @@ QUERIES: dict[str, Query] = {
     "detokenise": detokenise,
     "treat_replace": partial(_treated_contacts, R.replace()),
     "treat_custom": treat_custom,
-    "anonymise_text": lambda s, d: _anonymised(s, d, max_bytes=None, mode=SAFE),
+    "anonymise_text": lambda s, d: _anonymised(s, d, mode=SAFE),
     "anonymise_text_reference": lambda s, d: _anonymised(s, d, mode=REFERENCE),
     "anonymise_value": anonymise_value,
     "treat_truncate": treat_truncate,
     "treat_strip_binary": treat_strip_binary,
     "treat_deny": treat_deny,
     "operator_map": lambda s, d: _anonymised(
-        s, d, max_bytes=None, treatments=R.TreatmentMap.from_config("redact", MIXED, HASH_KEY)
+        s, d, treatments=R.TreatmentMap.from_config("redact", MIXED, HASH_KEY)
     ),
     "process_table": process_table,
+    "process_table_late_hits": process_table_late_hits,
+    "process_table_nested": process_table_nested,
     "column_report": _report,
     "static_policy": static_policy,
     "name_vs_value": name_vs_value,

@@ -19,7 +19,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - {"treat_stream"}))
+@pytest.mark.parametrize("key", sorted(set(QUERIES)))
 def test_no_python_and_no_cross_join(spark, folder, key):
     plan = plan_of(QUERIES[key](spark, folder))
     for bad in ("PythonUDF", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -79,12 +79,9 @@ def test_settled_columns_are_not_scanned(spark, folder):
     assert "cont_email" not in plan_of(hits) and "c_acctbal" not in plan_of(hits)
 
 
-def test_keys_read_open_columns_only(spark, folder, monkeypatch):
-    monkeypatch.setattr(K, "_LOOK_ROWS", 100)
-    plan = plan_of(K.candidate_keys({"orders": scan_table(spark, "orders", folder)}))
-    (schema,) = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
-    assert "o_orderkey" in schema
-    assert not re.search("o_custkey|o_orderstatus|o_orderdate|o_orderpriority", schema)
+def test_sketches_read_their_columns_only(spark, folder):
+    plan = plan_of(K.sketched(scan_table(spark, "orders", folder), ["o_orderkey", "o_totalprice"]))
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_orderkey:bigint,o_totalprice:double"}
 
 
 def test_filter_reaches_the_scan_through_treatment(spark, folder):

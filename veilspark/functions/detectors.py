@@ -158,7 +158,8 @@ def _ipv6(text: str, mode: str) -> str:
     found = let(addresses, "found", f"if(size(found) > 0, found, {special})")
     has_loopback = f"contains({text}, '::1') AND rlike({text}, {quoted(P.IPV6_LOOPBACK)})"
     if mode == SAFE:
-        return f"if({has_loopback}, concat({loopback}, {found}), {found})"
+        every = regex_spans(text, "::1", *this)
+        return f"if({has_loopback}, concat({every}, {found}), {found})"
     return f"if({has_loopback}, {loopback}, {found})"
 
 

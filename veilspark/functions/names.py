@@ -43,10 +43,12 @@ PERSON_ENDINGS = (
     "MIDDLE_INITIAL", "FULLNAME", "FULL_NAME", "PREFERREDNAME", "PREFERRED_NAME", "KNOWNNAME",
     "KNOWN_NAME", "INITIALS",
 )
-# words before _NAME which make it a technical name; only as the whole column name
-TECHNICAL_WORDS = (
-    "FILE", "TABLE", "SCHEMA", "COLUMN", "INDEX", "OBJECT", "ROLE", "TYPE", "PROC", "FUNC", "EVENT",
-    "CLASS", "HOST", "SERVER", "DB", "APP", "QUEUE", "TOPIC",
+# technical names: whole column names that end in _NAME but name no person. Those without an underscore
+# (FILENAME, HOSTNAME, USERNAME and the like) do not end in _NAME and need no entry.
+TECHNICAL_NAMES = (
+    "FILE_NAME", "TABLE_NAME", "SCHEMA_NAME", "COLUMN_NAME", "INDEX_NAME", "OBJECT_NAME", "ROLE_NAME", "TYPE_NAME",
+    "PROC_NAME", "FUNC_NAME", "EVENT_NAME", "CLASS_NAME", "HOST_NAME", "SERVER_NAME", "DB_NAME", "APP_NAME",
+    "QUEUE_NAME", "TOPIC_NAME",
 )
 ADDRESS_ENDINGS = (
     "ADDRESSLINE1", "ADDRESSLINE2", "ADDRESSLINE3", "ADDRESS_LINE1", "ADDRESS_LINE2", "ADDRESS_LINE3",
@@ -81,9 +83,7 @@ HINT_SCORE = 0.85
 
 # --- fixed values: scan policies ----------------------------------------------------------------
 SAFE, NAME_ONLY, FULL = "safe", "name_only", "full"
-OPAQUE, STRIP, TRUNCATE_SCAN, DEFAULT = "opaque", "strip", "truncate_scan", "default"
-LARGE_TEXT_BYTES = 4000
-MAX_SCAN_LENGTH = 512
+STRIP, TRUNCATE_SCAN = "strip", "truncate_scan"
 
 
 def _any(words) -> str:
@@ -111,7 +111,7 @@ def is_person_column(name: str) -> str:
     return (
         rf"({n} IN ({', '.join(repr(w) for w in PERSON_EXACT)})"
         rf" OR rlike({n}, r'(?:{_any(PERSON_ENDINGS)})\z')"
-        rf" OR (endswith({n}, '_NAME') AND NOT rlike({n}, r'\A(?:{_any(TECHNICAL_WORDS)})_NAME\z')))"
+        rf" OR (endswith({n}, '_NAME') AND {n} NOT IN ({', '.join(repr(w) for w in TECHNICAL_NAMES)})))"
     )
 
 
@@ -140,22 +140,18 @@ def type_class(data_type: str) -> str:
       ELSE 'other' END"""
 
 
-def scan_policy(person: str, address: str, birth: str, kind: str, max_length: str = "0") -> str:
-    """The name decides first, then the type class ``kind`` and, for text, its longest value."""
+def scan_policy(person: str, address: str, birth: str, kind: str) -> str:
+    """The name decides first, then the type class ``kind``. Large and structured types are ``truncate_scan``, which
+    names the class only: their values are scanned whole."""
     return f"""CASE
       WHEN {person} OR {address} OR {birth} THEN '{NAME_ONLY}'
       WHEN {kind} IN ('numeric', 'boolean', 'interval') THEN '{SAFE}'
       WHEN {kind} = 'binary' THEN '{STRIP}'
       WHEN {kind} = 'date' THEN '{NAME_ONLY}'
       WHEN {kind} IN ('large_text', 'structured') THEN '{TRUNCATE_SCAN}'
-      WHEN {kind} = 'text' AND coalesce({max_length}, 0) > {LARGE_TEXT_BYTES} THEN '{TRUNCATE_SCAN}'
       ELSE '{FULL}' END"""
 
 
-def max_scan_length(policy: str) -> str:
-    return f"if({policy} = '{TRUNCATE_SCAN}', {MAX_SCAN_LENGTH}, 0)"
-
-
 def hint_policy_typed(policy: str, kind: str) -> str:
     """Policy of a result column when its type is known: a number is safe whatever its name."""
     return f"if({kind} = 'numeric', '{SAFE}', {policy})"
@@ -191,7 +187,6 @@ def classify(
     columns: DataFrame,
     name: str = "column_name",
     data_type: str | None = "data_type",
-    max_length: str = "0",
     strict: bool = False,
 ) -> DataFrame:
     """Add every class to a table of columns; the name rules are evaluated once per column.
@@ -216,10 +211,9 @@ def classify(
             f"{hint_policy_untyped(*flags)} AS hint_policy",
             f"{hint_entity_untyped(*flags)} AS hint_entity",
         )
-    with_policy = scored.withColumn("scan_policy", F.expr(scan_policy(*flags, "type_class", max_length)))
+    with_policy = scored.withColumn("scan_policy", F.expr(scan_policy(*flags, "type_class")))
     return with_policy.selectExpr(
         "*",
-        f"{max_scan_length('scan_policy')} AS max_scan_length",
         f"{hint_policy_typed('scan_policy', 'type_class')} AS hint_policy",
         f"{hint_entity_typed(*flags, 'type_class', name)} AS hint_entity",
     )

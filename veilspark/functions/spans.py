@@ -158,3 +158,38 @@ def cut_overlaps(spans: str) -> str:
           'match', s.match))))),
       acc -> acc.out)"""
     return f"if(size({spans}) <= {_FEW}, {few}, {rows})"
+
+
+def _highest(array: str) -> str:
+    """Running maxima of an array of whole numbers that is not empty."""
+    one = lambda items: f"""aggregate({items}, named_struct('top', -1, 'out', {_INTS}), (acc, v) -> named_struct(
+      'top', greatest(acc.top, v), 'out', concat(acc.out, array(greatest(acc.top, v)))), acc -> acc.out)"""
+    bases = f"""aggregate(tops, named_struct('top', -1, 'out', {_INTS}), (acc, c) -> named_struct(
+      'top', greatest(acc.top, element_at(c, -1)), 'out', concat(acc.out, array(acc.top))), acc -> acc.out)"""
+    many = let(
+        _chunked(array, one("chunk")),
+        "tops",
+        f"flatten(zip_with(tops, {bases}, (c, b) -> transform(c, v -> greatest(b, v))))",
+    )
+    return f"if(size({array}) <= {_FEW}, {one(array)}, {many})"
+
+
+def join_overlaps(spans: str) -> str:
+    """Unite sorted spans that overlap: one extent each, with the entity of the best score, then the longest.
+
+    Gives what ``cut_overlaps`` gives, less ``match``. ``spans`` is the name of a bound array.
+    """
+    none = "CAST(array() AS array<struct<prev:int,entity:string,start:int,end:int>>)"
+    # a group begins where no earlier span reaches; ``reach`` is the furthest end up to each span
+    firsts = f"""filter(transform({spans}, (s, i) -> if(i > 0 AND s.start < get(reach, i - 1), -1, i)), i -> i >= 0)"""
+    best = f"""array_max(transform(slice({spans}, f + 1, stop - f), s ->
+      named_struct('score', s.score, 'size', s.end - s.start, 'entity', s.entity))).entity"""
+    group = let(
+        f"coalesce(get(firsts, n + 1), size({spans}))",
+        "stop",
+        f"""named_struct('prev', if(f = 0, 0, get(reach, f - 1)), 'entity', {best},
+          'start', {spans}[f].start, 'end', get(reach, stop - 1))""",
+    )
+    groups = let(firsts, "firsts", f"transform(firsts, (f, n) -> {group})")
+    ends = let(f"transform({spans}, s -> s.end)", "ends", _highest("ends"))
+    return f"if(size({spans}) = 0, {none}, {let(ends, 'reach', groups)})"

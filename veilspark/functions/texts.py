@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .detectors import SAFE, Detector, analyze_sql
-from .spans import EMPTY, cut_overlaps, let
+from .spans import EMPTY, cut_overlaps, join_overlaps, let
 from .treatments import (
     NONE,
     TRUNCATED_AND_REDACTED,
@@ -18,29 +18,28 @@ from .treatments import (
     truncated_text,
 )
 
-RESULT_SET_BYTES = 512  # fixed value: longest text treated span by span in a result set
-
 
 def anonymise_text(
     text: str,
     treatments: TreatmentMap | None = None,
     detectors: Iterable[Detector] | None = None,
     min_score: float = P.MIN_SCORE,
-    max_bytes: int | None = RESULT_SET_BYTES,
+    withhold_over: int | None = None,
     mode: str = SAFE,
 ) -> Column:
     """``struct<text, report>`` for the string column named ``text``.
 
-    Spans are replaced left to right; one that starts inside the last replaced span is skipped. A text
-    without personal data stays as it is. A longer text than ``max_bytes`` with any hit, wherever the
-    hit stands, is withheld whole; ``max_bytes=None`` (for corpora) treats texts of any length.
+    In safe mode overlapping spans are replaced as one, from the first start to the last end, named by the best
+    score, then the longest. In reference mode spans are replaced left to right, and one that starts inside the last
+    replaced span is skipped. A text without personal data stays as it is. Texts of any length are treated; with
+    ``withhold_over``, a text of more bytes with any hit is withheld whole instead.
     """
     treatments = treatments or TreatmentMap()
     found = F.expr(
         let(
             analyze_sql(text, detectors, min_score, mode),
             "sp",
-            f"named_struct('spans', sp, 'kept', {cut_overlaps('sp')})",
+            f"named_struct('spans', sp, 'kept', {join_overlaps('sp') if mode == SAFE else cut_overlaps('sp')})",
         )
     )
     original = F.col(text)
@@ -50,11 +49,12 @@ def anonymise_text(
         spans, kept, raw = x["found"]["spans"], x["found"]["kept"], x["raw"]
         untouched = F.size(spans) == 0
         size = F.octet_length(x["text"])
-        too_long = F.lit(False) if max_bytes is None else size > max_bytes
+        too_long = F.lit(False) if withhold_over is None else size > withhold_over
 
         def piece(s: Column) -> Column:
             gap = F.substring(raw, s["prev"] + F.lit(1), s["start"] - s["prev"]).cast("string")
-            return F.concat(gap, treatments.apply(s["match"], s["entity"]))
+            covered = F.substring(raw, s["start"] + F.lit(1), s["end"] - s["start"]).cast("string")
+            return F.concat(gap, treatments.apply(covered, s["entity"]))
 
         last = F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
         tail = F.substring(raw, last + F.lit(1), size - last).cast("string")
@@ -76,7 +76,7 @@ def anonymise_text(
             .otherwise("anonymised")
             .alias("treatment_reason"),
             F.when(withheld, size).otherwise(0).alias("original_length"),
-            F.when(withheld, F.lit(max_bytes or 0)).otherwise(0).alias("truncated_at"),
+            F.when(withheld, F.lit(withhold_over or 0)).otherwise(0).alias("truncated_at"),
         )
         treated = (
             F.when(untouched, x["text"]).when(too_long, TRUNCATED_REDACTED).otherwise(spliced)

@@ -5,24 +5,29 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
 
-# fixed values: rows per listing
-TABLE_LIST_ROWS = 100
-TABLE_SEARCH_ROWS = 20
-COLUMN_SEARCH_TABLES = 50
+
+def quoted(name: str) -> str:
+    """A column name as SQL, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """A string as a SQL literal, whatever characters it holds."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_inventory(tables: Mapping[str, DataFrame], limit: int | None = TABLE_LIST_ROWS) -> DataFrame:
-    """Rows, columns and share of nulls per table, sorted by name, cut to ``limit`` tables.
+def table_inventory(tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Rows, columns and share of nulls per table; of the first ``limit`` tables by name, if given.
 
     Each table is one scan with counters only. The cut takes names before anything is read.
     """
@@ -31,9 +36,9 @@ def table_inventory(tables: Mapping[str, DataFrame], limit: int | None = TABLE_L
     def one(name: str) -> DataFrame:
         df = tables[name]
         width = len(df.columns)
-        filled = " + ".join(f"count(`{c}`)" for c in df.columns) or "0"
+        filled = " + ".join(f"count({quoted(c)})" for c in df.columns) or "0"
         return df.selectExpr(
-            f"'{name}' AS table_name",
+            f"{text_literal(name)} AS table_name",
             "count(1) AS n_rows",
             f"{width} AS n_columns",
             f"if(count(1) = 0, 0.0D, 1 - ({filled}) / (count(1) * {width})) AS null_share",
@@ -43,11 +48,12 @@ def table_inventory(tables: Mapping[str, DataFrame], limit: int | None = TABLE_L
 
 
 def column_catalog(
-    tables: Mapping[str, DataFrame], distinct: str | None = None, classified: bool = True
+    tables: Mapping[str, DataFrame], distinct: str | None = None, classified: bool = True, lengths: bool = False
 ) -> DataFrame:
     """One row per column: place, type, nullability, nulls, shortest and longest value, classes.
 
-    One aggregate per table, then one row of counters is turned into one row per column.
+    One aggregate per table, then one row of counters is turned into one row per column. Lengths are null unless
+    ``lengths`` asks for them: they read every text, the other counters need Parquet footers alone.
     ``distinct="approx"`` adds a sketch-based distinct count in the same scan; ``"exact"`` an exact one,
     which shuffles the values of every column.
     """
@@ -57,16 +63,17 @@ def column_catalog(
         df = tables[name]
         aggs, rows = ["count(1) AS n"], []
         for i, field in enumerate(df.schema.fields):
-            text = isinstance(field.dataType, (T.StringType, T.BinaryType))
-            aggs.append(f"count(`{field.name}`) AS filled{i}")
+            column = quoted(field.name)
+            text = lengths and isinstance(field.dataType, (T.StringType, T.BinaryType))
+            aggs.append(f"count({column}) AS filled{i}")
             if text:
-                aggs.append(f"min(octet_length(`{field.name}`)) AS min{i}")
-                aggs.append(f"max(octet_length(`{field.name}`)) AS max{i}")
+                aggs.append(f"min(octet_length({column})) AS min{i}")
+                aggs.append(f"max(octet_length({column})) AS max{i}")
             if counter:
-                aggs.append(f"{counter}`{field.name}`) AS distinct{i}")
+                aggs.append(f"{counter}{column}) AS distinct{i}")
             rows.append(
-                f"""named_struct('table_name', '{name}', 'position', {i + 1}, 'column_name', '{field.name}',
-                  'data_type', '{field.dataType.simpleString()}',
+                f"""named_struct('table_name', {text_literal(name)}, 'position', {i + 1},
+                  'column_name', {text_literal(field.name)}, 'data_type', {text_literal(field.dataType.simpleString())},
                   'nullable', {str(field.nullable).lower()}, 'n_rows', n, 'n_nulls', n - filled{i},
                   'min_length', {f"min{i}" if text else "CAST(NULL AS int)"},
                   'max_length', {f"max{i}" if text else "CAST(NULL AS int)"}
@@ -80,7 +87,7 @@ def column_catalog(
 
 
 def names_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Table and column names and types alone; reads no data."""
+    """Table and column names and types alone; reads no data. This is what a search by name needs."""
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (name, i + 1, f.name, f.dataType.simpleString(), f.nullable)
@@ -93,8 +100,7 @@ def names_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def classify_columns(catalog: DataFrame) -> DataFrame:
     """Add scan policy, scan length, entity and hint to a catalog of columns."""
-    longest = "max_length" if "max_length" in catalog.columns else "0"
-    return N.classify(catalog, max_length=longest)
+    return N.classify(catalog)
 
 
 def describe_table(catalog: DataFrame, edges: DataFrame, table: str) -> DataFrame:
@@ -122,24 +128,20 @@ def describe_table(catalog: DataFrame, edges: DataFrame, table: str) -> DataFram
     )
 
 
-def search_tables(inventory: DataFrame, term: str, limit: int = TABLE_SEARCH_ROWS) -> DataFrame:
-    """Tables whose name holds ``term``, whatever the case; the term is taken literally."""
-    return (
-        inventory.filter(F.upper("table_name").contains(term.upper()))
-        .orderBy("table_name")
-        .limit(limit)
-    )
-
-
-def search_columns(catalog: DataFrame, term: str, limit: int = COLUMN_SEARCH_TABLES) -> DataFrame:
-    """Columns whose name holds ``term``: of the first ``limit`` tables, at most ``limit * 10`` in all.
+def search_tables(catalog: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Tables of a catalog or inventory whose name holds ``term``, whatever the case; the term is taken literally.
 
-    Both limits follow (table, position). The row cap goes first: it bounds what is ranked by table.
+    With ``limit``, the first so many by name.
     """
-    first = (
-        catalog.filter(F.upper("column_name").contains(term.upper()))
-        .orderBy("table_name", "position")
-        .limit(limit * 10)
-    )
-    place = F.dense_rank().over(Window.orderBy("table_name"))
-    return first.withColumn("_table", place).filter(F.col("_table") <= limit).drop("_table")
+    found = catalog.filter(F.upper("table_name").contains(term.upper()))
+    if "column_name" in catalog.columns:
+        found = found.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
+    return found if limit is None else found.orderBy("table_name").limit(limit)
+
+
+def search_columns(catalog: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Columns whose name holds ``term``; with ``limit``, those of the first so many tables by name."""
+    found = catalog.filter(F.upper("column_name").contains(term.upper()))
+    if limit is None:
+        return found
+    return found.join(found.select("table_name").distinct().orderBy("table_name").limit(limit), "table_name", "left_semi")

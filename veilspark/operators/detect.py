@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import patterns as P
 from ..functions.detectors import (
     REFERENCE,
@@ -147,13 +148,27 @@ def analyze_columns(
     detectors: Iterable[Detector] | None = None,
     min_score: float = P.MIN_SCORE,
     boost: bool = True,
+    use_names: bool = False,
 ) -> DataFrame:
     """Entities found in the values of string columns, with the boost for frequent ones.
 
+    With ``use_names`` a column whose name says what it holds is settled by that: its one row has the entity, the
+    score of a name, and neither hits nor values, as none are read.
+
     An entity found in at least half of a column's values (integer division) is lifted to score 0.80;
     this is how weak patterns come to count. The result is small and has for each column the entities
     in order of their first place.
     """
+    if use_names:
+        spark = df.sparkSession
+        named = N.classify(spark.createDataFrame([(c,) for c in columns], "column_name string"), data_type=None)
+        known = named.filter("name_hint != ''").selectExpr(
+            "column_name", "name_hint AS entity", "CAST(NULL AS bigint) AS hits", "CAST(NULL AS bigint) AS n_values",
+            "name_hint_score AS score", "1 AS rank",
+        )
+        settled = {r["column_name"] for r in known.select("column_name").collect()}  # columns at most
+        rest = [c for c in columns if c not in settled]
+        return known.unionByName(analyze_columns(df, rest, detectors, min_score, boost)) if rest else known
     per_column = Window.partitionBy("column_name")
     boosted: Column = F.col("score")
     if boost:

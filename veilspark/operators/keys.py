@@ -1,22 +1,39 @@
-"""Keys, foreign keys and rules, measured from the data."""
+"""Keys, foreign keys and rules, measured from the data.
+
+Statistics are taken table by table, by independent jobs from a bounded pool, so that time and plans grow with
+the tables asked for and not with their product. What comes to the driver is one row per column.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import _union
+from .catalog import _union, quoted
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _PREFIX = 64  # texts are compared by their first characters for ranges, and by digest when longer
-
-
-_LOOK_ROWS = 20_000  # rows of a table looked at for a repeated value
+_SKETCH_ERROR = 0.05  # relative standard deviation of the distinct-count sketch
+_SKETCH_MARGIN = 6  # standard deviations below its values at which a column is no key
+_WORKERS = 8  # tables whose statistics are taken at a time
+
+# types of columns that can refer to each other, and how their values compare
+_KINDS = (
+    ("int", _INTEGRAL),
+    ("text", (T.StringType,)),
+    ("date", (T.DateType,)),
+    ("timestamp", (T.TimestampType, T.TimestampNTZType)),
+    ("decimal", (T.DecimalType,)),
+    ("boolean", (T.BooleanType,)),
+    ("nested", _NESTED),
+)
 
 
 @dataclass(frozen=True)
@@ -37,61 +54,65 @@ class ColumnRange:
             return True
         return self.high - self.low + 1 >= self.n_filled
 
-    def may_lie_in(self, other: ColumnRange) -> bool:
-        if self.kind != other.kind or self.low is None or other.low is None:
-            return False
-        return self.low >= other.low and self.high <= other.high
+
+def _kind(data_type: T.DataType) -> str:
+    return next((name for name, types in _KINDS if isinstance(data_type, types)), "other")
+
+
+def _session(tables: Mapping[str, DataFrame]) -> SparkSession:
+    return next(iter(tables.values())).sparkSession
+
+
+def _per_table(spark: SparkSession, work: Callable, names: Sequence) -> list:
+    """``work`` of each name, some at a time; each job carries the caller's session settings."""
+    if not names:
+        return []
+    with ThreadPoolExecutor(min(_WORKERS, len(names))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), names))
 
 
 def column_ranges(tables: Mapping[str, DataFrame]) -> list[ColumnRange]:
     """Row and value counts of all columns, and ranges of whole numbers.
 
-    One row per column comes to the driver. Over ``footer_tables`` no data is read for it.
+    One row per table comes to the driver. Over ``footer_tables`` no data is read for it.
     """
 
-    def one(name: str) -> DataFrame:
+    def one(name: str) -> list[ColumnRange]:
         df = tables[name]
-        aggs, rows = ["count(1) AS n"], []
+        aggs = ["count(1) AS n"]
         for i, f in enumerate(df.schema.fields):
-            c, kind, low, high = f"`{f.name}`", "other", "CAST(NULL AS bigint)", "CAST(NULL AS bigint)"
+            c = quoted(f.name)
             aggs.append(f"count({c}) AS filled{i}")
             if isinstance(f.dataType, _INTEGRAL):
-                kind, low, high = "int", f"CAST(low{i} AS bigint)", f"CAST(high{i} AS bigint)"
                 aggs += [f"min({c}) AS low{i}", f"max({c}) AS high{i}"]
-            elif isinstance(f.dataType, T.StringType):
-                kind = "text"
-            elif isinstance(f.dataType, _NESTED):
-                kind = "nested"
-            rows.append(
-                f"""named_struct('table', '{name}', 'column', '{f.name}', 'kind', '{kind}', 'n', n,
-                  'filled', filled{i}, 'low', {low}, 'high', {high})"""
-            )
-        return df.selectExpr(*aggs).selectExpr(f"array({', '.join(rows)}) AS columns")
+        r = df.selectExpr(*aggs).first().asDict()
+        return [
+            ColumnRange(name, f.name, _kind(f.dataType), r["n"], r[f"filled{i}"], r.get(f"low{i}"), r.get(f"high{i}"))
+            for i, f in enumerate(df.schema.fields)
+        ]
 
-    found = _union([one(name) for name in sorted(tables)]).selectExpr("inline(columns)").collect()
-    return [ColumnRange(r.table, r.column, r.kind, r.n, r.filled, r.low, r.high) for r in found]
+    return [r for rows in _per_table(_session(tables), one, sorted(tables)) for r in rows]
 
 
 def with_text_ranges(
     tables: Mapping[str, DataFrame], ranges: Sequence[ColumnRange]
 ) -> list[ColumnRange]:
     """The same with ranges of text columns; reads the text columns once."""
-
-    def one(name: str, columns: Sequence[str]) -> DataFrame:
-        aggs, rows = [], []
-        for i, c in enumerate(columns):
-            aggs += [f"min(left(`{c}`, {_PREFIX})) AS low{i}", f"max(left(`{c}`, {_PREFIX})) AS high{i}"]
-            rows.append(f"named_struct('table', '{name}', 'column', '{c}', 'low', low{i}, 'high', high{i})")
-        return tables[name].selectExpr(*aggs).selectExpr(f"array({', '.join(rows)}) AS columns")
-
     texts: dict[str, list[str]] = {}
     for r in ranges:
         if r.kind == "text":
             texts.setdefault(r.table, []).append(r.column)
-    if not texts:
-        return list(ranges)
-    found = _union([one(t, columns) for t, columns in texts.items()]).selectExpr("inline(columns)").collect()
-    ends = {(r.table, r.column): (r.low, r.high) for r in found}
+
+    def one(name: str) -> dict:
+        aggs = []
+        for i, c in enumerate(texts[name]):
+            aggs += [f"min(left({quoted(c)}, {_PREFIX})) AS low{i}", f"max(left({quoted(c)}, {_PREFIX})) AS high{i}"]
+        r = tables[name].selectExpr(*aggs).first()
+        return {(name, c): (r[f"low{i}"], r[f"high{i}"]) for i, c in enumerate(texts[name])}
+
+    ends: dict = {}
+    for found in _per_table(_session(tables), one, list(texts)):
+        ends |= found
     return [
         replace(r, low=ends[r.table, r.column][0], high=ends[r.table, r.column][1]) if r.kind == "text" else r
         for r in ranges
@@ -100,40 +121,25 @@ def with_text_ranges(
 
 def _compared(column: str, data_type: T.DataType) -> str:
     """An expression that is equal for equal values only: long texts stand for themselves by SHA-256."""
-    c = f"`{column}`"
+    c = quoted(column)
     if isinstance(data_type, T.StringType):
         return f"if(octet_length({c}) > {_PREFIX}, concat('sha256:', sha2({c}, 256)), {c})"
     return c
 
 
-def repeated_columns(
-    tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], rows: int = _LOOK_ROWS
-) -> set[tuple[str, str]]:
-    """Columns that hold one value twice among the first ``rows`` rows of their table.
+def sketched(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of estimated distinct counts, ``d0`` for the first column and so on; reads these columns only."""
+    return df.selectExpr(*[f"approx_count_distinct({quoted(c)}, {_SKETCH_ERROR}) AS d{i}" for i, c in enumerate(columns)])
 
-    A repeat proves that the column is no key, so the exact count over the table is not needed. Among
-    20,000 values a repeat is likely for up to some 10**8 distinct ones. Columns not named here may or may
-    not be keys.
-    """
-    parts = []
-    for name, chosen in columns.items():
-        if not chosen:
-            continue
-        types = {f.name: f.dataType for f in tables[name].schema.fields}
-        first = tables[name].selectExpr(
-            *[f"{_compared(c, types[c])} AS c{i}" for i, c in enumerate(chosen)]
-        ).limit(rows)
-        # the rows are few: sets of them need no further shuffle, as distinct counts would
-        counts = [f"size(collect_set(c{i})) < count(c{i}) AS r{i}" for i in range(len(chosen))]
-        flags = [
-            f"named_struct('table', '{name}', 'column', '{c}', 'repeats', r{i})"
-            for i, c in enumerate(chosen)
-        ]
-        parts.append(first.selectExpr(*counts).selectExpr(f"array({', '.join(flags)}) AS columns"))
-    if not parts:
-        return set()
-    found = _union(parts).selectExpr("inline(columns)").filter("repeats").collect()
-    return {(r.table, r.column) for r in found}
+
+_KEY_TYPE = (
+    "table_name string, columns string, n_rows bigint, n_nulls bigint, is_unique boolean, kind string"
+)
+
+
+def _key_row(table: str, columns: str, rows: int, filled: int, unique: bool) -> tuple:
+    kind = ("PRIMARY KEY" if rows == filled else "UNIQUE") if unique else ""
+    return (table, columns, rows, rows - filled, unique, kind)
 
 
 def candidate_keys(
@@ -144,58 +150,45 @@ def candidate_keys(
     """Which columns, and which given column groups, identify a row.
 
     ``kind`` is PRIMARY KEY (all values differ, none is null), UNIQUE (all that are not null differ) or
-    empty. Two proofs spare most columns the exact count: a whole-number column with fewer possible
-    values than rows, and a value seen twice in a first look, cannot be keys; a short table is settled by
-    the look. The rest of a table is counted in one pass, pre-aggregated before the shuffle, with long
-    texts shuffled as digests.
+    empty. Whole-number columns with fewer possible values than rows are no keys. Of the others one pass takes a
+    sketch of the distinct count; a column that the sketch puts six standard deviations below its values is no
+    key. What is left is counted exactly, each column by an aggregate of its own, pre-aggregated before the
+    shuffle, with long texts shuffled as digests.
     """
     ranges = column_ranges(tables) if ranges is None else ranges
-    open_columns = {
-        name: [r.column for r in ranges if r.table == name and r.kind != "nested" and r.may_be_unique()]
-        for name in sorted(tables)
-    }
-    repeated = repeated_columns(tables, open_columns)
-    settled, parts = [], []
-    for name in sorted(tables):
-        types = {f.name: f.dataType for f in tables[name].schema.fields}
-        aggs, rows = ["count(1) AS n"], []
-        for r in (r for r in ranges if r.table == name and r.kind != "nested"):
-            nulls = r.n_rows - r.n_filled
-            if r.column not in open_columns[name] or (name, r.column) in repeated:
-                settled.append((name, r.column, r.n_rows, nulls, False, ""))
-                continue
-            if r.n_rows <= _LOOK_ROWS:  # the look saw the whole table
-                kind = "UNIQUE" if nulls else "PRIMARY KEY"
-                settled.append((name, r.column, r.n_rows, nulls, True, kind))
-                continue
-            # rows and nulls are known from the ranges: the second scan reads open columns only
-            aggs.append(f"count(DISTINCT {_compared(r.column, types[r.column])}) AS distinct{len(rows)}")
-            rows.append(_key_row(name, r.column, f"{r.n_rows}L", f"{r.n_filled}L", len(rows)))
+    by_table: dict[str, list[ColumnRange]] = {}
+    for r in ranges:
+        if r.kind != "nested":
+            by_table.setdefault(r.table, []).append(r)
+
+    def exact(df: DataFrame, columns: Sequence[str]) -> tuple[int, int]:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        filled = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns)
+        values = [f"{_compared(c, types[c])} AS c{i}" for i, c in enumerate(columns)]
+        distinct = ", ".join(f"c{i}" for i in range(len(columns)))
+        r = df.filter(filled).selectExpr(*values).selectExpr("count(1) AS n", f"count(DISTINCT {distinct}) AS d").first()
+        return r["n"], r["d"]
+
+    def one(name: str) -> list[tuple]:
+        df, out = tables[name], []
+        own = by_table.get(name, [])
+        open_ = [r for r in own if r.may_be_unique()]
+        seen = sketched(df, [r.column for r in open_]).first() if open_ else None
+        left = {r.column for i, r in enumerate(open_) if seen[f"d{i}"] >= r.n_filled * (1 - _SKETCH_MARGIN * _SKETCH_ERROR)}
+        for r in own:
+            if r.column in left:
+                filled, distinct = exact(df, [r.column])
+                out.append(_key_row(name, r.column, r.n_rows, filled, filled == distinct))
+            else:
+                out.append(_key_row(name, r.column, r.n_rows, r.n_filled, False))
         for group in (composites or {}).get(name, ()):
-            filled = " AND ".join(f"`{c}` IS NOT NULL" for c in group)
-            compared = ", ".join(_compared(c, types[c]) for c in group)
-            aggs.append(f"count_if({filled}) AS filled{len(rows)}")
-            aggs.append(f"count(DISTINCT {compared}) AS distinct{len(rows)}")
-            rows.append(_key_row(name, ",".join(group), "n", f"filled{len(rows)}", len(rows)))
-        if rows:
-            counted = tables[name].selectExpr(*aggs)
-            parts.append(counted.selectExpr(f"array({', '.join(rows)}) AS columns"))
-    spark = next(iter(tables.values())).sparkSession
-    known = spark.createDataFrame(settled, _KEY_TYPE)
-    return known.unionByName(_union(parts).selectExpr("inline(columns)")) if parts else known
-
-
-_KEY_TYPE = (
-    "table_name string, columns string, n_rows bigint, n_nulls bigint, is_unique boolean, kind string"
-)
+            filled, distinct = exact(df, group)
+            n_rows = own[0].n_rows if own else df.count()
+            out.append(_key_row(name, ",".join(group), n_rows, filled, filled == distinct))
+        return out
 
-
-def _key_row(table: str, columns: str, rows: str, filled: str, place: int) -> str:
-    unique = f"(distinct{place} = {filled})"
-    return f"""named_struct('table_name', '{table}', 'columns', '{columns}', 'n_rows', {rows},
-      'n_nulls', {rows} - {filled}, 'is_unique', {unique},
-      'kind', CASE WHEN {unique} AND {rows} = {filled} THEN 'PRIMARY KEY'
-        WHEN {unique} THEN 'UNIQUE' ELSE '' END)"""
+    found = [row for rows in _per_table(_session(tables), one, sorted(tables)) for row in rows]
+    return _session(tables).createDataFrame(found, _KEY_TYPE)
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -230,117 +223,90 @@ def _bare(column: str) -> str:
     return column.split("_", 1)[-1].lower()
 
 
+_EDGE_TYPE = (
+    "child_table string, child_column string, parent_table string, parent_column string,"
+    " n_values bigint, n_matched bigint, coverage double, name_match boolean"
+)
+_COLUMN_TYPE = "id int, table string, column string, kind string, low string, high string, name string, is_key boolean"
+
+
 def fk_discovery(
     tables: Mapping[str, DataFrame],
     min_coverage: float = 1.0,
     ranges: Sequence[ColumnRange] | None = None,
     keys: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Child columns all of whose values occur in a key column of another table.
-
-    Candidates are cut by type, by key-ness of the parent and (for full coverage) by value range before
-    any data is compared. Then every candidate column of a type is read once, and one shuffle brings
-    equal values together, pre-aggregated to one bit per column: a value held by a third of all rows
-    crosses the network once per task. The distinct bit patterns are few, and each tells for every
-    candidate pair whether its values are matched. Small key spaces give chance matches, so the result
-    has coverage and likeness of the names rather than a plain yes.
+    """Child columns all of whose values occur in a key column, of another table or of their own.
+
+    Parents are columns with PRIMARY KEY or UNIQUE values; whole numbers, texts, dates, timestamps, decimals and
+    booleans are compared, each with their kind. Candidate pairs come from a join of the table of columns with
+    itself, on kind and (for full coverage of numbers and texts) on range. Then every column of a pair is read
+    once, and one shuffle a kind brings equal values together, pre-aggregated to one row per value and column: a
+    value held by a third of all rows crosses the network once per task. Values that the same columns hold are
+    counted together, and these counts meet the candidate pairs in a join. Small key spaces give chance matches, so
+    the result has coverage and likeness of the names rather than a plain yes. Composite keys are not looked for.
     """
+    spark = _session(tables)
     ranges = column_ranges(tables) if ranges is None else ranges
     if keys is None:
-        unique = candidate_keys(tables, ranges=ranges).filter(F.col("kind") == "PRIMARY KEY").collect()
+        unique = candidate_keys(tables, ranges=ranges).filter("is_unique").collect()
         keys = [(r.table_name, r.columns) for r in unique]
     known = set(keys)
+    ranges = [r for r in ranges if r.n_filled and r.kind not in ("nested", "other")]
     if any(r.kind == "text" and (r.table, r.column) in known for r in ranges):
         ranges = with_text_ranges(tables, ranges)
-    parents = [r for r in ranges if (r.table, r.column) in known]
+    sized = [
+        (i, r.table, r.column, r.kind, *(_sortable(x) if r.kind in ("int", "text") else "" for x in (r.low, r.high)),
+         _bare(r.column), (r.table, r.column) in known)
+        for i, r in enumerate(ranges)
+    ]
+    columns = spark.createDataFrame(sized, _COLUMN_TYPE)
+    inside = "c.low >= p.low AND c.high <= p.high" if min_coverage >= 1.0 else "true"
+    pairs = columns.alias("c").join(
+        columns.filter("is_key").alias("p"), F.expr(f"c.kind = p.kind AND c.id != p.id AND {inside}")
+    )
+    pairs = pairs.selectExpr(
+        "c.id AS child", "p.id AS parent", "c.table AS child_table", "c.column AS child_column",
+        "p.table AS parent_table", "p.column AS parent_column", "c.name = p.name AS name_match",
+    )
+    # one row per column comes to the driver: which of them are in a pair and are read
+    used = {r["id"] for r in pairs.selectExpr("inline(array(struct(child AS id), struct(parent AS id)))").distinct().collect()}
     parts = []
-    for kind in ("int", "text"):
-        pairs = [
-            (c, p)
-            for p in parents
-            for c in ranges
-            if c.kind == p.kind == kind
-            and c.table != p.table
-            and c.n_filled > 0
-            and (min_coverage < 1.0 or c.may_lie_in(p))
-        ]
-        if pairs:
-            parts.append(_coverage(tables, pairs, kind))
+    for kind in dict.fromkeys(r.kind for i, r in enumerate(ranges) if i in used):
+        by_table: dict[str, list[str]] = {}
+        for i, r in enumerate(ranges):
+            if i in used and r.kind == kind:
+                by_table.setdefault(r.table, []).append(f"struct({i} AS id, {_value(r)} AS value)")
+        values = _union([tables[t].selectExpr(f"inline(array({', '.join(v)}))") for t, v in by_table.items()])
+        held = values.filter("value IS NOT NULL").distinct().groupBy("value").agg(F.sort_array(F.collect_list("id")).alias("held"))
+        parts.append(held.groupBy("held").agg(F.count(F.lit(1)).alias("n")))
     if not parts:
-        spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], _EDGE_TYPE)
-    return _union(parts).filter(F.col("coverage") >= min_coverage)
-
-
-_EDGE_TYPE = (
-    "child_table string, child_column string, parent_table string, parent_column string,"
-    " n_values bigint, n_matched bigint, coverage double, name_match boolean"
-)
-_WORD = 60  # columns per bit word
-
-
-def _coverage(
-    tables: Mapping[str, DataFrame], pairs: Sequence[tuple[ColumnRange, ColumnRange]], kind: str
-) -> DataFrame:
-    places = {r: i for i, r in enumerate(dict.fromkeys(r for pair in pairs for r in pair))}
-    words = (len(places) + _WORD - 1) // _WORD
+    counts = _union(parts).select("n", "held", F.explode("held").alias("child")).join(pairs, "child")
+    names = ["child_table", "child_column", "parent_table", "parent_column"]
+    matched = F.sum(F.when(F.array_contains("held", F.col("parent")), F.col("n")).otherwise(0))
+    return (
+        counts.groupBy(*names, "name_match")
+        .agg(F.sum("n").alias("n_values"), matched.alias("n_matched"))
+        .withColumn("coverage", F.col("n_matched") / F.col("n_values"))
+        .filter(F.col("coverage") >= min_coverage)
+        .select(*names, "n_values", "n_matched", "coverage", "name_match")
+    )
 
-    def bits(r: ColumnRange) -> list[int]:
-        return [1 << (places[r] % _WORD) if places[r] // _WORD == w else 0 for w in range(words)]
 
-    by_table: dict[str, list[ColumnRange]] = {}
-    for r in places:
-        by_table.setdefault(r.table, []).append(r)
-
-    def marked(r: ColumnRange) -> str:
-        words_sql = "".join(f", 'w{w}', {b}L" for w, b in enumerate(bits(r)))
-        value = f"CAST(`{r.column}` AS bigint)" if kind == "int" else _compared(r.column, T.StringType())
-        return f"named_struct('value', {value}{words_sql})"
-
-    values = _union(
-        [
-            tables[name].selectExpr(f"inline(array({', '.join(marked(r) for r in columns)}))")
-            for name, columns in by_table.items()
-        ]
-    ).filter("value IS NOT NULL")
-    word_names = [f"w{w}" for w in range(words)]
-    patterns = (
-        values.groupBy("value")
-        .agg(*[F.bit_or(w).alias(w) for w in word_names])
-        .groupBy(*word_names)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _sortable(end: int | str | None) -> str | None:
+    """An end of a range as text in the same order."""
+    return f"{end + (1 << 63):020d}" if isinstance(end, int) else end
 
-    def candidate(c: ColumnRange, p: ColumnRange) -> str:
-        return f"""named_struct('child_table', '{c.table}', 'child_column', '{c.column}',
-          'parent_table', '{p.table}', 'parent_column', '{p.column}',
-          'name_match', {str(_bare(c.column) == _bare(p.column)).lower()},
-          'child_word', {places[c] // _WORD}, 'child_bit', {1 << places[c] % _WORD}L,
-          'parent_word', {places[p] // _WORD}, 'parent_bit', {1 << places[p] % _WORD}L)"""
 
-    # a bit pattern stands for all values held by the same columns; each is laid against the candidates
-    held = f"array({', '.join(word_names)})"
-    candidates = f"array({', '.join(candidate(c, p) for c, p in pairs)})"
-    return (
-        patterns.selectExpr(
-            "n",
-            f"{held} AS held",
-            f"inline(filter({candidates}, x -> {held}[x.child_word] & x.child_bit != 0))",
-        )
-        .selectExpr("*", "held[parent_word] & parent_bit != 0 AS matched")
-        .groupBy("child_table", "child_column", "parent_table", "parent_column", "name_match")
-        .agg(F.sum("n").alias("n_values"), F.expr("sum(if(matched, n, 0))").alias("n_matched"))
-        .select(
-            "child_table",
-            "child_column",
-            "parent_table",
-            "parent_column",
-            "n_values",
-            "n_matched",
-            (F.col("n_matched") / F.col("n_values")).alias("coverage"),
-            "name_match",
-        )
-    )
+def _value(r: ColumnRange) -> str:
+    if r.kind == "int":
+        return f"CAST({quoted(r.column)} AS bigint)"
+    if r.kind == "decimal":
+        return f"CAST({quoted(r.column)} AS decimal(38, 18))"
+    if r.kind == "timestamp":
+        return f"CAST({quoted(r.column)} AS timestamp_ntz)"
+    return _compared(r.column, T.StringType()) if r.kind == "text" else quoted(r.column)
 
 
 def fk_violations(

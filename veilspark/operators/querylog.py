@@ -14,6 +14,7 @@ ADVICE_STAR = "Consider selecting only needed columns instead of SELECT *"
 ADVICE_LIKE = "Leading wildcards in LIKE predicates prevent index usage"
 ADVICE_IN = "Consider using EXISTS instead of IN with subqueries for better performance"
 ADVICE_OR = "OR conditions may prevent index usage. Consider UNION ALL of separated queries"
+ADVICE_JOINS = ("Query joins ", " tables - consider reviewing join order and conditions")  # around their number
 
 
 def _upper_trimmed(sql: Column) -> Column:
@@ -72,9 +73,9 @@ def advice(sql: Column) -> Column:
             F.when(
                 n_joins > 2,
                 F.concat(
-                    F.lit("Query joins "),
+                    F.lit(ADVICE_JOINS[0]),
                     (n_joins + 1).cast("int").cast("string"),
-                    F.lit(" tables - consider reviewing join order and conditions"),
+                    F.lit(ADVICE_JOINS[1]),
                 ),
             ),
         )

@@ -21,6 +21,48 @@ def open_token(spark: SparkSession, token: str, key: bytes) -> str:
     return row["value"]
 
 
+def lineage(df: DataFrame) -> dict[str, list[str]]:
+    """Names of the columns that each column of a query comes from, the nearest first, from its analyzed plan.
+
+    Aliases are followed through joins, subqueries, views, common table expressions and aggregates. A column that is
+    not renamed has its own name; columns computed without a source, and those behind a union, have no more names.
+    """
+    made: dict[int, list[tuple[int, str]]] = {}
+
+    def references(expression) -> list[tuple[int, str]]:
+        found = expression.references().toSeq()
+        return [(found.apply(i).exprId().id(), found.apply(i).name()) for i in range(found.size())]
+
+    def visit(node) -> None:
+        expressions = node.expressions()
+        for i in range(expressions.size()):
+            e = expressions.apply(i)
+            if e.getClass().getSimpleName() == "Alias":
+                made[e.exprId().id()] = references(e.child())
+        for part in (node.children(), node.innerChildren()):
+            for i in range(part.size()):
+                child = part.apply(i)
+                if hasattr(child, "expressions"):
+                    visit(child)
+
+    plan = df._jdf.queryExecution().analyzed()
+    visit(plan)
+
+    out = plan.output()
+    found: dict[str, list[str]] = {}
+    for i in range(out.size()):
+        name = out.apply(i).name()
+        names: list[str] = []
+        level, seen = {out.apply(i).exprId().id()}, set()
+        while level:
+            seen |= level
+            nearest = sorted({x for number in level for x in made.get(number, ())}, key=lambda x: x[1])
+            names += [n for _, n in nearest if n not in names]
+            level = {number for number, _ in nearest} - seen
+        found[name] = names or [name]
+    return found
+
+
 def treated_select(
     spark: SparkSession,
     sql: str,
@@ -33,9 +75,10 @@ def treated_select(
 ) -> tuple[DataFrame, DataFrame]:
     """A guarded read whose rows are treated: (rows, column report).
 
-    If the statement reads one of ``tables``, result columns of the same name take their scan policy
-    from its types; for other statements only the names count. With ``token_key``, parameters that are
-    tokens are opened first, so a token from an earlier result can be used as a filter.
+    Every result column is judged by its own name, by the names of the columns it comes from (also through aliases
+    and joins), and by all its values in the result. If the statement reads one of ``tables``, result columns of the
+    same name take their scan policy from its types. With ``token_key``, parameters that are tokens are opened
+    first, so a token from an earlier result can be used as a filter.
     """
     bound = dict(params or {})
     if token_key is not None:
@@ -43,13 +86,17 @@ def treated_select(
             k: open_token(spark, v, token_key) if isinstance(v, str) and v.startswith(TOKEN_PREFIX) else v
             for k, v in bound.items()
         }
-    # at most 1000 rows: kept, as they are read for the decisions and for the result
-    rows = guarded_select(spark, sql, bound, max_rows, order_by).persist()
+    rows = guarded_select(spark, sql, bound, max_rows, order_by)
+    names = lineage(rows)
+    # at most 1000 rows: taken once, as they are read for the decisions and for the result
+    rows = spark.createDataFrame(rows.toArrow(), rows.schema)
     known = {name.upper(): df for name, df in (tables or {}).items()}
     source = known.get(query_table(sql))
-    hints = column_hints(rows, typed=False) if source is None else column_hints(source)
-    first = [order_by[0]] if order_by else None
-    return process_table(rows, hints=hints, **{"order_by": first, **options})
+    hints = None
+    if source is not None:
+        own, types = column_hints(source), dict(source.dtypes)
+        hints = {c: own[c] for c, kind in rows.dtypes if types.get(c) == kind}
+    return process_table(rows, **{"hints": hints, "also_named": names, **options})
 
 
 def token_filter(df: DataFrame, column: str, token: Column | str, key: bytes) -> DataFrame:
@@ -63,5 +110,17 @@ def token_filter(df: DataFrame, column: str, token: Column | str, key: bytes) ->
 
 
 def token_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join two treated tables on token or hash columns; clear values are not needed."""
-    return left.join(right, list(on), how)
+    """Join two treated tables on token or hash columns; clear values are not needed.
+
+    Null and empty tokens stand for no value and match nothing. The right side must hold each key once, or the
+    job fails: a default value that fills a third of both tables would otherwise give all its pairs. Aggregate the
+    right side by the token first where it does not.
+    """
+    filled = " AND ".join(f"`{c}` IS NOT NULL AND `{c}` != ''" for c in on)
+    checked = right.filter(filled).groupBy(*on).agg(
+        *[F.first(c).alias(c) for c in right.columns if c not in on], F.count(F.lit(1)).alias("_held")
+    )
+    once = F.when(F.col("_held") == 1, True).otherwise(
+        F.raise_error(F.lit(f"several rows of the right side have one {', '.join(on)}")).cast("boolean")
+    )
+    return left.filter(filled).join(checked.filter(once).drop("_held"), list(on), how)

@@ -1,13 +1,15 @@
 """Treatment of whole tables: decide per column, then treat every row.
 
-The decision is one small job (a sample, or one pass that ends in columns x entities rows). The treatment
-is one projection without a shuffle, and the same projection serves a stream.
+The decision is one pass over the columns that need it, which ends in columns x entities rows; a sample is
+taken only where the caller asks for one. The treatment is one projection without a shuffle, and the same
+projection serves a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,26 @@ from ..functions.texts import anonymise_value
 from ..functions.treatments import ACCESS_DENIED, BINARY_REMOVED, NONE, STRIPPED, TreatmentMap
 from ..operators.detect import analyze_columns
 
-SAMPLE_ROWS = 20  # fixed value: rows looked at per decision
+SAMPLE_ROWS = 20  # fixed value: rows of a table sample
+
+# fixed values: why a column was treated
+REASON_DENIED = "access denied by policy"
+REASON_FORCED = "forced by policy"
+REASON_BINARY = "binary column"
+REASON_NAME = "pii from column name"
+REASON_VALUES = "pii detected in values"
+
+NULLED = "nulled"  # treatment of dates: a type that holds no note
 
 REPORT_TYPE = (
     "column_name string, data_type string, scan_policy string, detected boolean,"
-    " entities array<string>, confidence double, source string, treatment string, reason string"
+    " entities array<string>, confidence double, source string, treatment string, reason string,"
+    " sampled_rows bigint"
 )
 
+_NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
+_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @dataclass(frozen=True)
 class ColumnPolicy:
@@ -47,6 +62,7 @@ class ColumnDecision:
     source: str = "none"
     treatment: str = NONE
     reason: str = ""
+    sampled_rows: int | None = None  # rows that the decision looked at; None for all
 
 
 @dataclass(frozen=True)
@@ -72,14 +88,13 @@ def column_hints(df: DataFrame, typed: bool = True) -> dict[str, str]:
     return {r.column_name: r.hint_policy for r in rows}
 
 
-def with_json_text(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON text, so that their contents can be scanned and treated."""
-    nested = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
+def with_json_text(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Nested columns (those named, or all) as JSON text, so that their contents can be scanned and treated."""
+    chosen = {f.name for f in df.schema.fields if isinstance(f.dataType, _NESTED)}
+    chosen = chosen if columns is None else chosen & set(columns)
     return df.select(
         *[
-            F.to_json(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, nested)
-            else F.col(f"`{f.name}`")
+            F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.name in chosen else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
@@ -103,90 +118,99 @@ def decide(
     df: DataFrame,
     hints: Mapping[str, str] | None = None,
     policies: Mapping[str, ColumnPolicy] | None = None,
-    sample: int | None = SAMPLE_ROWS,
+    sample: int | None = None,
     order_by: Sequence[str] | None = None,
     treatments: TreatmentMap | None = None,
     detectors: Iterable[Detector] | None = None,
     min_score: float = P.MIN_SCORE,
     use_names: bool = True,
+    also_named: Mapping[str, Sequence[str]] | None = None,
 ) -> TableDecisions:
     """Decide each column by standing policy, then scan policy, then name, then values.
 
-    ``hints`` gives scan policies; a column missing there is safe. ``sample=None`` looks at all values.
-    Columns settled without their values are not read. ``use_names=False`` scans columns even when their
-    name says what they hold; the name then stands unless the values score higher.
+    All values count unless ``sample`` asks for the first rows by ``order_by`` only; the report then says so.
+    ``hints`` gives scan policies; a column missing there is judged by its own name and type. ``also_named`` gives
+    further names under which a column is judged, such as those of the columns it was selected from. A column whose
+    name says what it holds is not read; ``use_names=False`` scans it nevertheless, and the name then stands unless
+    the values score higher. Nested columns are scanned as JSON text.
     """
     treatments = treatments or TreatmentMap()
-    policies = policies or {}
-    classes = {r.column_name: r for r in _classes(df).collect()}
-    if hints is None:
-        hints = {c: r.hint_policy for c, r in classes.items()}
-    named = {c: r.name_hint for c, r in classes.items() if r.name_hint}
-    text_columns = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    policies, hints = policies or {}, hints or {}
+    aliases = {c: [n for n in names if n != c] for c, names in (also_named or {}).items()}
+    classes = _named_classes(df, aliases)
+    entity_of = {c: next((e for e, _ in rows if e), "") for c, rows in classes.items()}
+    # a hint may ask for less reading of a column, but not hide what its name says
+    own_policy = {c: rows[0][1] for c, rows in classes.items()}
+    policy_of = {c: hints.get(c, own_policy[c]) for c in df.columns}
+    readable = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, *_NESTED))}
 
     def unsettled(column: str) -> bool:
         policy = policies.get(column, ColumnPolicy())
-        if policy.access == "deny" or policy.forced or column not in text_columns:
+        if policy.access == "deny" or policy.forced or column not in readable:
             return False
-        if hints.get(column, N.SAFE) in (N.SAFE, N.STRIP, N.NAME_ONLY):
+        if policy_of[column] in (N.SAFE, N.STRIP):
             return False
-        return not (use_names and column in named)
+        return not (entity_of[column] and use_names)
 
     to_scan = [c for c in df.columns if unsettled(c)]
     found: dict[str, list] = {}
     if to_scan:
-        keys = [k for k in (order_by or df.columns[:1])]
-        rows = df if sample is None else table_sample(df.select(*dict.fromkeys([*keys, *to_scan])), keys, sample)
-        hits = analyze_columns(rows, to_scan, detectors, min_score, boost=use_names)
+        rows = df
+        if sample is not None:
+            keys = list(order_by or df.columns[:1])
+            rows = table_sample(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *to_scan])]), keys, sample)
+        hits = analyze_columns(with_json_text(rows, to_scan), to_scan, detectors, min_score, boost=use_names)
         # columns x entities rows at most
         for r in hits.orderBy("column_name", "rank").collect():
             found.setdefault(r.column_name, []).append(r)
 
     def one(f: T.StructField) -> ColumnDecision:
         column, kind = f.name, f.dataType.simpleString()
+        make = partial(ColumnDecision, column, kind)
         policy = policies.get(column, ColumnPolicy())
         if policy.access == "deny":
-            return ColumnDecision(
-                column, kind, N.SAFE, True, (), 0.0, "static_policy", STRIPPED, "access denied by policy"
-            )
+            return make(N.SAFE, True, (), 0.0, "static_policy", STRIPPED, REASON_DENIED)
         if policy.forced:
             done = treatments.of(P.PERSON).kind
-            return ColumnDecision(
-                column, kind, N.SAFE, True, (P.PERSON,), 1.0, "static_policy", done, "forced by policy"
-            )
-        scan = hints.get(column, N.SAFE)
-        if scan == N.SAFE:
-            return ColumnDecision(column, kind, scan)
+            return make(N.SAFE, True, (P.PERSON,), 1.0, "static_policy", done, REASON_FORCED)
+        scan = policy_of[column]
         if scan == N.STRIP:
-            return ColumnDecision(
-                column, kind, scan, True, (), 0.0, "opaque_type", STRIPPED, "binary column"
-            )
-        hits = found.get(column, [])
-        if column in named:
-            entity = named[column]
-            score, source = N.HINT_SCORE, "name_heuristic"
+            return make(scan, True, (), 0.0, "opaque_type", STRIPPED, REASON_BINARY)
+        hits, looked = found.get(column, []), sample if column in to_scan else None
+        named = entity_of[column] if column in readable or isinstance(f.dataType, _DATES) else ""
+        if named and scan != N.SAFE:
+            entity, score, source = named, N.HINT_SCORE, "name_heuristic"
             if hits and hits[0].score > score:
                 entity, score, source = hits[0].entity, hits[0].score, "value_scan"
-            done = treatments.of(entity).kind
-            return ColumnDecision(
-                column, kind, scan, True, (entity,), score, source, done, "pii from column name"
-            )
+            done = NULLED if isinstance(f.dataType, _DATES) else treatments.of(entity).kind
+            return make(scan, True, (entity,), score, source, done, REASON_NAME, looked)
         if not hits:
-            return ColumnDecision(column, kind, scan)
+            return make(scan, sampled_rows=looked)
         entities = tuple(r.entity for r in hits)
         done = treatments.of(entities[0]).kind
-        return ColumnDecision(
-            column, kind, scan, True, entities, hits[0].score, "value_scan", done, "pii detected in values"
-        )
+        return make(scan, True, entities, hits[0].score, "value_scan", done, REASON_VALUES, looked)
 
     return TableDecisions(tuple(one(f) for f in df.schema.fields), treatments)
 
 
+def _named_classes(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> dict[str, list[tuple[str, str]]]:
+    """(entity by name, scan policy) of each column under its own name, then under its further names."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(c, i, n, kinds[c]) for c in df.columns for i, n in enumerate([c, *aliases.get(c, ())])]
+    frame = df.sparkSession.createDataFrame(rows, "owner string, place int, column_name string, data_type string")
+    found: dict[str, list[tuple[str, str]]] = {}
+    # one row per column and name
+    for r in N.classify(frame).orderBy("owner", "place").collect():
+        found.setdefault(r.owner, []).append((r.hint_entity or r.name_hint, r.hint_policy))
+    return found
+
+
 def treat_table(df: DataFrame, decisions: TableDecisions) -> DataFrame:
     """Treat every row: a projection, for a table or a stream.
 
-    A text column is treated as its first entity, over the whole value. Nulls and other types pass. A
-    denied or binary column is overwritten by a note, whatever its type.
+    A text column is treated as its first entity, over the whole value; so is a nested column, which becomes JSON
+    text for that. Dates become null. Nulls and other types pass. A denied or binary column is overwritten by a
+    note, whatever its type.
     """
     by_name = {d.column: d for d in decisions.columns}
 
@@ -196,7 +220,13 @@ def treat_table(df: DataFrame, decisions: TableDecisions) -> DataFrame:
         if decision.treatment == STRIPPED:
             note = ACCESS_DENIED if decision.source == "static_policy" else BINARY_REMOVED
             return F.when(column.isNotNull(), F.lit(note)).alias(f.name)
-        if not decision.entities or not isinstance(f.dataType, T.StringType):
+        if not decision.entities:
+            return column
+        if isinstance(f.dataType, _DATES):
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        if isinstance(f.dataType, _NESTED):
+            column = F.to_json(column)
+        elif not isinstance(f.dataType, T.StringType):
             return column
         return anonymise_value(column, F.lit(decision.entities[0]), decisions.treatments).alias(f.name)
 
@@ -215,6 +245,7 @@ def column_report(spark: SparkSession, decisions: TableDecisions) -> DataFrame:
             d.source,
             d.treatment,
             d.reason,
+            d.sampled_rows,
         )
         for d in decisions.columns
     ]

@@ -8,8 +8,6 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SMALL_INPUT_BYTES = 1 << 30
-
 
 def scan_table(
     spark: SparkSession,
@@ -72,19 +70,3 @@ def list_tables(spark: SparkSession, folder: str) -> list[str]:
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     names = (PurePosixPath(status.getPath().toString()).name for status in found)
     return sorted(name[: -len(".parquet")] for name in names if name.endswith(".parquet"))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, *keys: str, below: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Give every core a share of a *small* input that comes in few pieces.
-
-    Scanning text costs far more time than moving it, and a small file may be a single row group, hence
-    a single task. Inputs estimated at ``below`` bytes or more have enough splits: they are left alone,
-    so no shuffle is added at scale. ``keys`` should be close to unique.
-    """
-    if estimated_bytes(df) >= below:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
