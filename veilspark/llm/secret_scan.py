@@ -179,12 +179,12 @@ class Formats:
 
 
 def infer(labelled: dict[int, list[str]], ordinary: list[str]) -> Formats:
-    """Formats from labelled strings per kind (at least 20) and ordinary runs. A run must gain as much as all but
-    one of twenty labelled strings, and one bit a character."""
+    """Formats from labelled strings per kind (at least 20) and ordinary runs. A run must gain half of what all but
+    one of twenty labelled strings gain, and one bit a character."""
     made = Formats({k: Automaton(v) for k, v in labelled.items() if len(v) >= 20}, Automaton(ordinary) if ordinary else None, {})
     for k in made.automata:
         gains = sorted(made.gain(k, s) for s in labelled[k])
-        made.least[k] = max(1.0, gains[len(gains) // 20])
+        made.least[k] = max(1.0, gains[len(gains) // 20] / 2)
     return made
 
 
