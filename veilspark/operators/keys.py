@@ -169,26 +169,29 @@ def candidate_keys(
         r = df.filter(filled).selectExpr(*values).selectExpr("count(1) AS n", f"count(DISTINCT {distinct}) AS d").first()
         return r["n"], r["d"]
 
-    def one(name: str) -> list[tuple]:
-        df, out = tables[name], []
-        own = by_table.get(name, [])
-        open_ = [r for r in own if r.may_be_unique()]
-        seen = sketched(df, [r.column for r in open_]).first() if open_ else None
-        left = {r.column for i, r in enumerate(open_) if seen[f"d{i}"] >= r.n_filled * (1 - _SKETCH_MARGIN * _SKETCH_ERROR)}
-        for r in own:
-            if r.column in left:
-                filled, distinct = exact(df, [r.column])
-                out.append(_key_row(name, r.column, r.n_rows, filled, filled == distinct))
-            else:
-                out.append(_key_row(name, r.column, r.n_rows, r.n_filled, False))
-        for group in (composites or {}).get(name, ()):
-            filled, distinct = exact(df, group)
-            n_rows = own[0].n_rows if own else df.count()
-            out.append(_key_row(name, ",".join(group), n_rows, filled, filled == distinct))
-        return out
-
-    found = [row for rows in _per_table(_session(tables), one, sorted(tables)) for row in rows]
-    return _session(tables).createDataFrame(found, _KEY_TYPE)
+    def open_columns(name: str) -> set[str]:
+        chosen = [r for r in by_table.get(name, []) if r.may_be_unique()]
+        if not chosen:
+            return set()
+        seen = sketched(tables[name], [r.column for r in chosen]).first()
+        far = 1 - _SKETCH_MARGIN * _SKETCH_ERROR
+        return {r.column for i, r in enumerate(chosen) if seen[f"d{i}"] >= r.n_filled * far}
+
+    names, spark = sorted(tables), _session(tables)
+    left = dict(zip(names, _per_table(spark, open_columns, names)))
+    groups = [(t, (r.column,)) for t in names for r in by_table.get(t, []) if r.column in left[t]]
+    groups += [(t, tuple(g)) for t in names for g in (composites or {}).get(t, ())]
+    counted = dict(zip(groups, _per_table(spark, lambda g: exact(tables[g[0]], g[1]), groups)))
+    found = []
+    for t in names:
+        n_rows = by_table[t][0].n_rows if t in by_table else 0
+        for r in by_table.get(t, []):
+            filled, distinct = counted.get((t, (r.column,)), (r.n_filled, -1))
+            found.append(_key_row(t, r.column, n_rows, filled, filled == distinct))
+        for g in (composites or {}).get(t, ()):
+            filled, distinct = counted[t, tuple(g)]
+            found.append(_key_row(t, ",".join(g), n_rows, filled, filled == distinct))
+    return spark.createDataFrame(found, _KEY_TYPE)
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
