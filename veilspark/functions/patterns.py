@@ -44,7 +44,6 @@ IPV4_CIDR = rf"{EDGE_L}(?:{_OCTET}\.){{3}}{_OCTET}/(?:[0-9]|[1-2][0-9]|3[0-2]){E
 IPV6 = rf"{EDGE_L}(?:[0-9a-fA-F]{{1,4}}:){{1,7}}[0-9a-fA-F]{{1,4}}(?:/[0-9]+)?{EDGE_R}"
 IPV6_LOOPBACK = rf"::1{EDGE_R}"
 IPV6_NETWORKS = ("fe80::/10", "::/128")
-IPV6_ANY_NETWORK = r"::/[0-9]+"
 
 DOB_NUMERIC = rf"{DIGIT_L}[0-9]?[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}{EDGE_R}"
 DOB_ISO = rf"{DIGIT_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{2}}{EDGE_R}"
@@ -85,7 +84,6 @@ DATE_OF_BIRTH = "DATE_OF_BIRTH"
 PERSON = "PERSON"
 US_SSN = "US_SSN"
 PASSPORT_NUMBER = "PASSPORT_NUMBER"
-DRIVER_LICENCE = "DRIVER_LICENCE"
 
 STRONG, MEDIUM, WEAK = 0.85, 0.5, 0.1
 BOOSTED = 0.80
