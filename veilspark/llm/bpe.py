@@ -268,7 +268,7 @@ def encode_documents(
         encoder = Encoder(shared.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES // 2):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 texts = [t or "" for t in piece["text"].to_pylist()]
                 ids = encoder.ids_texts(texts)
                 out = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-SLICE_BYTES = 4 << 20  # text bytes that a task works on at a time; a longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # text bytes that a task works on at a time; a longer text is a slice of its own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from .common import WordHasher, mix
 
@@ -110,30 +111,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def flat_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature numbers, values, row numbers) of the list columns ``ids`` and ``vals`` of a table."""
+    ids, vals = (rows[c].combine_chunks() for c in ("ids", "vals"))
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy()
+    flat = lambda x: x.flatten().to_numpy()
+    return flat(ids), flat(vals), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
 def train_linear(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4
-) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) of a softmax model from sparse rows and class probabilities, by Adam over all rows."""
+    ids: np.ndarray, values: np.ndarray, owner: np.ndarray, labels: np.ndarray,
+    steps: int = 200, rate: float = 0.1, ridge: float = 1e-4,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of a softmax model from flat sparse rows and class probabilities, by Adam over all rows."""
     n, classes = labels.shape
     weights, bias = np.zeros((classes, WIDTH)), np.log(labels.mean(axis=0) + 1e-6)
-    sizes = np.array([len(i) for i, _ in rows])
-    if not sizes.sum():
-        return weights, bias
-    ids, values = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
-    owner = np.repeat(np.arange(n), sizes)
     # a feature of few documents would only learn these by heart
     common = np.bincount(ids, minlength=WIDTH)[ids] >= min(LEAST_DOCUMENTS, n)
     ids, values, owner = ids[common], values[common], owner[common]
-    m, v = np.zeros((classes, WIDTH + 1)), np.zeros((classes, WIDTH + 1))
+    if not len(ids):
+        return weights, bias
+    used, ids = np.unique(ids, return_inverse=True)
+    own = np.zeros((classes, len(used)))
+    m, v = np.zeros((classes, len(used) + 1)), np.zeros((classes, len(used) + 1))
     for step in range(1, steps + 1):
-        z = np.stack([np.bincount(owner, weights[c][ids] * values, n) + bias[c] for c in range(classes)], axis=1)
+        z = np.stack([np.bincount(owner, own[c][ids] * values, n) + bias[c] for c in range(classes)], axis=1)
         off = (softmax(z) - labels) / n
         grad = np.stack(
-            [np.append(np.bincount(ids, values * off[owner, c], WIDTH) + ridge * weights[c], off[:, c].sum()) for c in range(classes)]
+            [np.append(np.bincount(ids, values * off[owner, c], len(used)) + ridge * own[c], off[:, c].sum()) for c in range(classes)]
         )
         m += 0.1 * (grad - m)
         v += 0.001 * (grad**2 - v)
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weights -= move[:, :-1]
+        own -= move[:, :-1]
         bias -= move[:, -1]
+    weights[:, used] = own
     return weights, bias

@@ -21,7 +21,7 @@ from .common import col, id_field, slices, table, utf8
 TRAINING_DOCUMENTS = 400  # expected per language: the bound of the labelled sample
 ORDER = 3
 MODEL_CELLS = 100_000_000  # a larger model does not fit a task; lower ``order`` for more languages
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18  # bytes scored at a time
 _PAD = 10  # the byte that stands before a text
 
 _LOWER = np.arange(256, dtype=np.uint8)

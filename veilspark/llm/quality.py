@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHasher, col, id_field, slices, table, utf8, written
-from .features import Words, logits, read_words, softmax, sparse_rows, train_linear
+from .features import Words, flat_rows, logits, read_words, softmax, sparse_rows, train_linear
 from .weak import reliabilities
 
 SAMPLE_DOCUMENTS = 3000  # expected number of documents that the scorer is trained on
@@ -86,14 +86,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
     labelled = written(src.mapInArrow(label, "votes string, ids array<int>, vals array<float>"), "votes")
     counts = {("", r["votes"]): r["count"] for r in labelled.groupBy("votes").count().collect()}  # 3**9 at most
     post = {k[1]: p for k, p in reliabilities(counts, _first_belief).items()}
-    rows = labelled.filter("ids IS NOT NULL AND size(ids) > 0").toPandas()
-    if not len(rows):
-        return post, None, None
     # rows come in any order; sums of floats should not
-    order = sorted(range(len(rows)), key=lambda i: (rows["votes"][i], len(rows["ids"][i]), bytes(np.asarray(rows["ids"][i]))))
-    good = np.array([post[rows["votes"][i]] for i in order])
-    sparse = [(np.asarray(rows["ids"][i]), np.asarray(rows["vals"][i])) for i in order]
-    return post, *train_linear(sparse, np.stack([1 - good, good], axis=1))
+    rows = labelled.filter("ids IS NOT NULL AND size(ids) > 0").orderBy("votes", F.xxhash64("ids", "vals")).toArrow()
+    if not rows.num_rows:
+        return post, None, None
+    good = np.array([post[v] for v in rows["votes"].to_pylist()])
+    return post, *train_linear(*flat_rows(rows), np.stack([1 - good, good], axis=1))
 
 
 def score_quality(
