@@ -252,6 +252,20 @@ def test_learned_spans_are_added(spark):
     assert got[1000].spans == "like_access:4:24" and got[1001].spans == "" and got[5].spans == "access:5:25"
 
 
+@pytest.mark.parametrize("others", [400, 0])
+def test_frequent_credentials_are_not_ordinary(spark, others):
+    """A third, and all, of the runs that no pattern finds are of one format."""
+    rng = random.Random(4)
+    key = lambda: "gk7Q" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789", k=24)) + "x1"
+    made = [(i, f"then the token={key()} and more words of 12 or 2024 here") for i in range(100)]
+    made += [(i, f"it was {key()} there") for i in range(1000, 1200)]
+    made += [(i, f"an-ordinary-hyphenated-word-of-{i} here") for i in range(2000, 2000 + others)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(df, secret_scan.learn_formats(df, "doc_id", "text")).collect()}
+    assert [got[i] for i in range(1000, 1200)] == ["like_assign:7:37"] * 200
+    assert {got[i] for i in range(2000, 2000 + others)} <= {""}
+
+
 def test_secrets_of_odd_rows(odd):
     formats = secret_scan.learn_formats(odd, "doc_id", "text")
     rows = secret_scan.find_secrets(odd, formats).collect()

@@ -3,7 +3,8 @@
 Credentials that the patterns find in a bounded sample are the labelled strings. Per kind they make a prefix tree
 with counts; states whose futures are statistically compatible (Hoeffding's bound on every symbol's share and on
 ending) are merged, which leaves a probabilistic automaton of the format. Every other credential-like run of
-characters in the corpus is scored by its likelihood under each automaton against that of ordinary runs.
+characters in the corpus is scored by its likelihood under each automaton against that of ordinary words. What is
+ordinary is learned from words too short to be a credential, so no candidate, however frequent, can pass for ordinary.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_field, slices, table, written
+from .common import col, id_field, slices, table, utf8, written
 
 # fixed values: the base patterns
 ASSIGN = re.compile(
@@ -34,6 +36,13 @@ SAMPLE_STRINGS = 400  # per kind
 LONGEST_LABEL = 64  # characters of a labelled string that the automaton learns from
 ALPHA = 0.05
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"  # of assigned values
+SHORTEST = 12  # characters of a credential; shorter words are ordinary
+WIDTH = len(ALPHABET) + 1
+UNKNOWN = 1 / 16  # share of ordinary characters that follow no rule
+_CODE = np.zeros(256, np.int64)
+_CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, WIDTH)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, credential) of the fixed patterns, in code points."""
@@ -160,17 +169,60 @@ class Automaton:
         return total - math.log2((s.ends + 0.5) / (s.passes + 0.5 * (self.symbols + 1)))
 
 
+def word_pairs(data: np.ndarray, starts: np.ndarray, longest: int = SHORTEST - 1) -> np.ndarray:
+    """How often each character follows each other one (or none) in the words of at most ``longest`` characters."""
+    code = _CODE[data]
+    solid = code > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1] | edge[1:-1]
+    end[:-1] &= ~solid[1:] | edge[1:-1]
+    sizes = np.flatnonzero(end) + 1 - np.flatnonzero(begin)
+    at = np.flatnonzero(solid)[np.repeat(sizes <= longest, sizes)]
+    before = np.where(begin[at], 0, code[at - 1])
+    return np.bincount(before * WIDTH + code[at], minlength=WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+
+
+class Ordinary:
+    """Likelihood of a word's characters, each given the one before it, from counts of pairs."""
+
+    def __init__(self, pairs: np.ndarray):
+        pairs = pairs.astype(float)[:, 1:]
+        prior = (WIDTH - 1) / 2  # half a count a character
+        one = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + prior)
+        two = (pairs + prior * one) / (pairs.sum(axis=1, keepdims=True) + prior)
+        costs = -np.log2((1 - UNKNOWN) * two + UNKNOWN / (WIDTH - 1))
+        self.costs = {a: dict(zip(ALPHABET, row)) for a, row in zip(["", *ALPHABET], costs.tolist())}
+        self.foreign = math.log2((WIDTH - 1) / UNKNOWN)  # characters that no credential has
+
+    @classmethod
+    def of(cls, words: Iterable[str]) -> Ordinary:
+        made = pa.array(list(words), pa.string())
+        return cls(word_pairs(*utf8(made), longest=1 << 62))
+
+    def bits(self, word: str) -> float:
+        """-log2 of the likelihood. Capitals alone are as ordinary as small letters."""
+        return min(self._bits(word), self._bits(word.lower())) if word.isupper() else self._bits(word)
+
+    def _bits(self, word: str) -> float:
+        before, total = "", 0.0
+        for c in word:
+            total += self.costs.get(before, {}).get(c, self.foreign)
+            before = c
+        return total
+
+
 @dataclass
 class Formats:
-    """Automata by kind, that of ordinary runs, and the gain in bits a character that a kind asks for."""
+    """Automata by kind, the model of ordinary words, and the gain in bits a character that a kind asks for."""
 
     automata: dict[int, Automaton]
-    ordinary: Automaton | None
+    ordinary: Ordinary
     least: dict[int, float]
 
     def gain(self, kind: int, word: str) -> float:
-        other = self.ordinary.bits(word) if self.ordinary else 6.0 * len(word)
-        return (other - self.automata[kind].bits(word)) / len(word)
+        return (self.ordinary.bits(word) - self.automata[kind].bits(word)) / len(word)
 
     def kind(self, word: str) -> int | None:
         """The kind whose format a run has, if any; the greater gain wins, then the kind listed first."""
@@ -178,10 +230,11 @@ class Formats:
         return min(fits)[1] if fits else None
 
 
-def infer(labelled: dict[int, list[str]], ordinary: list[str]) -> Formats:
-    """Formats from labelled strings per kind (at least 20) and ordinary runs. A run must gain half of what all but
+def infer(labelled: dict[int, list[str]], ordinary: Ordinary | list[str]) -> Formats:
+    """Formats from labelled strings per kind (at least 20) and ordinary words. A run must gain half of what all but
     one of twenty labelled strings gain, and one bit a character."""
-    made = Formats({k: Automaton(v) for k, v in labelled.items() if len(v) >= 20}, Automaton(ordinary) if ordinary else None, {})
+    known = ordinary if isinstance(ordinary, Ordinary) else Ordinary.of(ordinary)
+    made = Formats({k: Automaton(v) for k, v in labelled.items() if len(v) >= 20}, known, {})
     for k in made.automata:
         gains = sorted(made.gain(k, s) for s in labelled[k])
         made.least[k] = max(1.0, gains[len(gains) // 20] / 2)
@@ -198,25 +251,33 @@ def learn_formats(
     sample = src.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((WIDTH, WIDTH), np.int64)
         for batch in batches:
-            kinds, words = [], []
-            for text in batch["text"].to_pylist():
-                found = base_spans(text or "")
-                for _, kind, _, word in found:
-                    kinds.append(kind)
-                    words.append(word[:LONGEST_LABEL])
-                for _, _, word in runs(text or "", found):
-                    kinds.append(len(KINDS))
-                    words.append(word[:LONGEST_LABEL])
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "word": pa.array(words, pa.string())})
-
-    seen = written(sample.mapInArrow(label, "kind int, word string").distinct(), "labelled")
+            for piece in slices(batch):
+                kinds, words = [], []
+                for text in piece["text"].to_pylist():
+                    for _, kind, _, word in base_spans(text or ""):
+                        kinds.append(kind)
+                        words.append(word[:LONGEST_LABEL])
+                yield counted(kinds, words, [1] * len(words))
+                pairs += word_pairs(*utf8(piece["text"]))
+        places = np.flatnonzero(pairs)
+        yield counted([len(KINDS)] * len(places), map(str, places.tolist()), pairs.ravel()[places])
+
+    def counted(kinds, words, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
+
+    # labelled strings by kind, and last the pairs of characters in ordinary words
+    seen = sample.mapInArrow(label, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    seen = written(seen, "labelled")
     chosen = {
         k: [r["word"] for r in seen.filter(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()]
-        for k in range(len(KINDS) + 1)
+        for k in range(len(KINDS))
     }
-    ordinary = chosen.pop(len(KINDS))
-    return infer(chosen, ordinary)
+    pairs = np.zeros(WIDTH * WIDTH)
+    for r in seen.filter(F.col("kind") == len(KINDS)).collect():  # WIDTH ** 2 at most
+        pairs[int(r["word"])] = r["n"]
+    return infer(chosen, Ordinary(pairs.reshape(WIDTH, WIDTH)))
 
 
 def find_secrets(df: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
