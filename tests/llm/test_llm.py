@@ -266,6 +266,19 @@ def test_frequent_credentials_are_not_ordinary(spark, others):
     assert {got[i] for i in range(2000, 2000 + others)} <= {""}
 
 
+@pytest.mark.parametrize("labels", [1, 3, 19])
+def test_formats_of_rare_kinds(spark, labels):
+    """A kind with few labelled strings, in few of many documents, is learned from all of these."""
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    rare = [(i * 1000, f"then AKIA{key()} and more") for i in range(1, labels + 1)] + [(7, f"see ASIA{key()} end")]
+    many = spark.range(30_000).selectExpr("id + 100000 doc_id", "concat('some words of an-ordinary-hyphenated-line number ', id) text")
+    df = spark.createDataFrame(rare, "doc_id long, text string").union(many)
+    formats = secret_scan.learn_formats(df, "doc_id", "text")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(df, formats).filter("spans != ''").collect()}
+    assert got == {7: "like_access:4:24"} | {i * 1000: "access:5:25" for i in range(1, labels + 1)}
+
+
 def test_secrets_of_odd_rows(odd):
     formats = secret_scan.learn_formats(odd, "doc_id", "text")
     rows = secret_scan.find_secrets(odd, formats).collect()

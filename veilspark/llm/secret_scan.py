@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and formats learned by grammar inference.
 
-Credentials that the patterns find in a bounded sample are the labelled strings. Per kind they make a prefix tree
+Credentials that the patterns find in all documents are labelled strings; a bounded sample of distinct ones is learned. Per kind they make a prefix tree
 with counts; states whose futures are statistically compatible (Hoeffding's bound on every symbol's share and on
 ending) are merged, which leaves a probabilistic automaton of the format. Every other credential-like run of
 characters in the corpus is scored by its likelihood under each automaton against that of ordinary words. What is
@@ -31,7 +31,6 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-SAMPLE_DOCUMENTS = 20_000  # expected number of documents that labelled strings are taken from
 SAMPLE_STRINGS = 400  # per kind
 LONGEST_LABEL = 64  # characters of a labelled string that the automaton learns from
 ALPHA = 0.05
@@ -71,7 +70,11 @@ def runs(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[in
             yield s, e, word
 
 
-@dataclass
+def _class(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "+" if c else ""
+
+
+@dataclass(slots=True)
 class State:
     passes: int = 0
     ends: int = 0
@@ -96,10 +99,21 @@ class Automaton:
                 at = here.to[c]
                 self.states[at].passes += 1
             self.states[at].ends += 1
-        self.symbols = len({c for s in self.states for c in s.counts}) + 1
+        self._share = self._shares()
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
 
+    def _shares(self) -> dict[str, float]:
+        """Share of each character, and of ending (''), by its class: what the strings say of characters not seen."""
+        total, seen = 0, dict.fromkeys(map(_class, ["", *ALPHABET]), 0)
+        for s in self.states:
+            total += s.passes
+            seen[""] += s.ends
+            for c, n in s.counts.items():
+                seen[_class(c)] += n
+        sizes = {k: sum(_class(c) == k for c in ["", *ALPHABET]) for k in seen}
+        return {c: (seen[_class(c)] + 1) / (total + len(seen)) / sizes[_class(c)] for c in ["", *ALPHABET]}
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 > 0 < n2 and abs(f1 / n1 - f2 / n2) > self._bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
@@ -155,18 +169,22 @@ class Automaton:
         self.states = kept
 
     def bits(self, text: str) -> float:
-        """-log2 of the likelihood of ``text``. Symbols new to a state cost a smoothed share and lead to its most
-        frequent successor."""
+        """-log2 of the likelihood of ``text``. Half a count a character of the alphabet is spread by the shares of
+        classes, so that few strings tell a format too. Symbols new to a state lead to its most frequent successor."""
         at, total = 0, 0.0
         for c in text:
             s = self.states[at]
-            total -= math.log2((s.counts.get(c, 0) + 0.5) / (s.passes + 0.5 * (self.symbols + 1)))
+            total -= math.log2(self._smooth(s.counts.get(c, 0), s, c))
             if c in s.to:
                 at = s.to[c]
             elif s.to:
                 at = s.to[max(s.counts, key=lambda k: (s.counts[k], k))]
         s = self.states[at]
-        return total - math.log2((s.ends + 0.5) / (s.passes + 0.5 * (self.symbols + 1)))
+        return total - math.log2(self._smooth(s.ends, s, ""))
+
+    def _smooth(self, n: int, s: State, c: str) -> float:
+        prior = len(ALPHABET) / 2
+        return (n + prior * self._share.get(c, 1e-6)) / (s.passes + prior)
 
 
 def word_pairs(data: np.ndarray, starts: np.ndarray, longest: int = SHORTEST - 1) -> np.ndarray:
@@ -231,24 +249,21 @@ class Formats:
 
 
 def infer(labelled: dict[int, list[str]], ordinary: Ordinary | list[str]) -> Formats:
-    """Formats from labelled strings per kind (at least 20) and ordinary words. A run must gain half of what all but
-    one of twenty labelled strings gain, and one bit a character."""
+    """Formats from labelled strings per kind and ordinary words. Strings shorter than any candidate teach nothing.
+    A run must gain half of what all but one of twenty labelled strings gain, and one bit a character."""
     known = ordinary if isinstance(ordinary, Ordinary) else Ordinary.of(ordinary)
-    made = Formats({k: Automaton(v) for k, v in labelled.items() if len(v) >= 20}, known, {})
+    strings = {k: long for k, v in labelled.items() if (long := [s for s in v if len(s) >= SHORTEST])}
+    made = Formats({k: Automaton(v) for k, v in strings.items()}, known, {})
     for k in made.automata:
-        gains = sorted(made.gain(k, s) for s in labelled[k])
+        gains = sorted(made.gain(k, s) for s in strings[k])
         made.least[k] = max(1.0, gains[len(gains) // 20] / 2)
     return made
 
 
-def learn_formats(
-    df: DataFrame, id_col: str, text_col: str, documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS
-) -> Formats:
-    """Formats learned from the credentials in about ``documents`` documents, chosen by a hash, and of these
-    from ``strings`` distinct ones per kind."""
-    src = df.select(col(text_col).cast("string").alias("text"), F.xxhash64(col(id_col), col(text_col)).alias("h"))
-    share = min(1.0, documents / max(1, df.count()))
-    sample = src.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("text")
+def learn_formats(df: DataFrame, id_col: str, text_col: str, strings: int = SAMPLE_STRINGS) -> Formats:
+    """Formats learned from the credentials in all documents: per kind from ``strings`` distinct ones, chosen by a
+    hash, or from all if there are fewer."""
+    src = df.select(col(text_col).cast("string").alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((WIDTH, WIDTH), np.int64)
@@ -268,7 +283,7 @@ def learn_formats(
         return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
 
     # labelled strings by kind, and last the pairs of characters in ordinary words
-    seen = sample.mapInArrow(label, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    seen = src.mapInArrow(label, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     seen = written(seen, "labelled")
     chosen = {
         k: [r["word"] for r in seen.filter(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()]
