@@ -279,6 +279,31 @@ def test_formats_of_rare_kinds(spark, labels):
     assert got == {7: "like_access:4:24"} | {i * 1000: "access:5:25" for i in range(1, labels + 1)}
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [[(BASE62, 13)], [(BASE62[:52], 20)], [("0123456789", 14)], [(BASE62, 10), (".", 1), (BASE62, 11), (".", 1), (BASE62, 8)],
+     [(BASE62[26:52], 70), (BASE62, 30)], [(BASE62, 500)]],
+)
+def test_learned_formats_of_any_shape(spark, shape):
+    """Short, all-letter, all-digit, dotted and long credentials are found whole, also in paths and before full stops."""
+    rng = random.Random(6)
+    key = lambda: "".join("".join(rng.choices(chars, k=n)) for chars, n in shape)
+    size = sum(n for _, n in shape)
+    made = [(i, f"then token={key()} and more ordinary words, e.g. well-known ones. Ça va.") for i in range(100)]
+    made += [(i, f"é was {key()}. There") for i in range(200, 250)]
+    made += [(i, "an-ordinary-hyphenated-word at www.example.com/internationalisation/index.html. MISUNDERSTANDING") for i in range(300, 320)]
+    made += [(400, f"see {key()}, then deadbeefdeadbeef.{key()} end")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(df, secret_scan.learn_formats(df, "doc_id", "text")).collect()}
+    found = [got[i] == f"like_assign:6:{6 + size}" for i in range(200, 250)]
+    assert sum(found) >= 48
+    assert {got[i] for i in range(300, 320)} == {""}
+    assert got[400] == f"like_assign:4:{4 + size},hex:{11 + size}:{27 + size}" + ("" if "." in [c for c, _ in shape] else f",like_assign:{28 + size}:{28 + 2 * size}")
+
+
 def test_secrets_of_odd_rows(odd):
     formats = secret_scan.learn_formats(odd, "doc_id", "text")
     rows = secret_scan.find_secrets(odd, formats).collect()

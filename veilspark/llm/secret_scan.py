@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+SEPARATORS = "./="  # in the order in which a run that has no format is taken apart
 SAMPLE_STRINGS = 400  # per kind
-LONGEST_LABEL = 64  # characters of a labelled string that the automaton learns from
+SAMPLE_CHARACTERS = 200_000  # of the sampled strings of a kind together; strings are taken whole or not at all
 ALPHA = 0.05
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"  # of assigned values
@@ -56,20 +59,6 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def runs(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Credential-like runs that no base span touches: with a digit and a letter."""
-    ends = sorted((s, e) for s, _, e, _ in taken)
-    at, far = 0, 0
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        while at < len(ends) and ends[at][0] < e:
-            far = max(far, ends[at][1])
-            at += 1
-        word = m.group()
-        if far <= s and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
-            yield s, e, word
-
-
 def _class(c: str) -> str:
     return "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "+" if c else ""
 
@@ -90,7 +79,7 @@ class Automaton:
         for s in sorted(strings):
             at = 0
             self.states[0].passes += 1
-            for c in s[:LONGEST_LABEL]:
+            for c in s:
                 here = self.states[at]
                 here.counts[c] = here.counts.get(c, 0) + 1
                 if c not in here.to:
@@ -102,6 +91,9 @@ class Automaton:
         self._share = self._shares()
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
+        # per state, by character: what it costs and where it leads; "" stands for characters that no credential has
+        self._rows = [{c: self._move(s, c) for c in ["", *ALPHABET, *s.counts]} for s in self.states]
+        self._ends = [-math.log2(self._smooth(s.ends, s, "")) for s in self.states]
 
     def _shares(self) -> dict[str, float]:
         """Share of each character, and of ending (''), by its class: what the strings say of characters not seen."""
@@ -173,19 +165,21 @@ class Automaton:
         classes, so that few strings tell a format too. Symbols new to a state lead to its most frequent successor."""
         at, total = 0, 0.0
         for c in text:
-            s = self.states[at]
-            total -= math.log2(self._smooth(s.counts.get(c, 0), s, c))
-            if c in s.to:
-                at = s.to[c]
-            elif s.to:
-                at = s.to[max(s.counts, key=lambda k: (s.counts[k], k))]
-        s = self.states[at]
-        return total - math.log2(self._smooth(s.ends, s, ""))
-
-    def _smooth(self, n: int, s: State, c: str) -> float:
+            row = self._rows[at]
+            cost, at = row.get(c) or row[""]
+            total += cost
+        return total + self._ends[at]
+
+    def _smooth(self, n: int, s: State, c: str | None) -> float:
         prior = len(ALPHABET) / 2
         return (n + prior * self._share.get(c, 1e-6)) / (s.passes + prior)
 
+    def _move(self, s: State, c: str) -> tuple[float, int]:
+        to = s.to.get(c)
+        if to is None:
+            to = s.to[max(s.counts, key=lambda k: (s.counts[k], k))] if s.to else self.states.index(s)
+        return -math.log2(self._smooth(s.counts.get(c, 0), s, c or None)), to
+
 
 def word_pairs(data: np.ndarray, starts: np.ndarray, longest: int = SHORTEST - 1) -> np.ndarray:
     """How often each character follows each other one (or none) in the words of at most ``longest`` characters."""
@@ -244,8 +238,37 @@ class Formats:
 
     def kind(self, word: str) -> int | None:
         """The kind whose format a run has, if any; the greater gain wins, then the kind listed first."""
-        fits = [(-(g := self.gain(k, word)), k) for k in sorted(self.automata) if self.gain(k, word) >= self.least[k]]
-        return min(fits)[1] if fits else None
+        other = self.ordinary.bits(word)
+        gains = {k: (other - a.bits(word)) / len(word) for k, a in self.automata.items()}
+        return min(((-g, k) for k, g in gains.items() if g >= self.least[k]), default=(0, None))[1]
+
+    def spans(self, text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, int]]:
+        """(start, kind, end) of runs with a learned format that no base span touches. Dots around a run are no part
+        of it. A run without a format, or that a base span touches, is taken apart at its separators."""
+        if not self.automata:
+            return
+        starts, far = [t[0] for t in taken], list(accumulate((t[2] for t in taken), max))
+        for m in RUN.finditer(text):
+            open_ = [m.span()]
+            while open_:
+                s, e = open_.pop()
+                word = text[s:e]
+                if word[0] == "." or word[-1] == ".":
+                    inner = word.strip(".")
+                    if len(inner) >= SHORTEST:
+                        s += len(word) - len(word.lstrip("."))
+                        e, word = s + len(inner), inner
+                before = bisect_left(starts, e)
+                if not (before and far[before - 1] > s) and (k := self.kind(word)) is not None:
+                    yield s, k, e
+                    continue
+                for c in SEPARATORS:
+                    if c in word:
+                        for part in word.split(c):
+                            if len(part) >= SHORTEST:
+                                open_.append((s, s + len(part)))
+                            s += len(part) + 1
+                        break
 
 
 def infer(labelled: dict[int, list[str]], ordinary: Ordinary | list[str]) -> Formats:
@@ -262,7 +285,8 @@ def infer(labelled: dict[int, list[str]], ordinary: Ordinary | list[str]) -> For
 
 def learn_formats(df: DataFrame, id_col: str, text_col: str, strings: int = SAMPLE_STRINGS) -> Formats:
     """Formats learned from the credentials in all documents: per kind from ``strings`` distinct ones, chosen by a
-    hash, or from all if there are fewer."""
+    hash, or from all if there are fewer. Longer samples than ``SAMPLE_CHARACTERS`` end at the last string that fits,
+    and a string that is longer alone is not learned from."""
     src = df.select(col(text_col).cast("string").alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +297,7 @@ def learn_formats(df: DataFrame, id_col: str, text_col: str, strings: int = SAMP
                 for text in piece["text"].to_pylist():
                     for _, kind, _, word in base_spans(text or ""):
                         kinds.append(kind)
-                        words.append(word[:LONGEST_LABEL])
+                        words.append(word)
                 yield counted(kinds, words, [1] * len(words))
                 pairs += word_pairs(*utf8(piece["text"]))
         places = np.flatnonzero(pairs)
@@ -285,10 +309,13 @@ def learn_formats(df: DataFrame, id_col: str, text_col: str, strings: int = SAMP
     # labelled strings by kind, and last the pairs of characters in ordinary words
     seen = src.mapInArrow(label, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     seen = written(seen, "labelled")
-    chosen = {
-        k: [r["word"] for r in seen.filter(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()]
-        for k in range(len(KINDS))
-    }
+    chosen = {}
+    for k in range(len(KINDS)):
+        some = seen.filter((F.col("kind") == k) & (F.length("word") <= SAMPLE_CHARACTERS)).select("word")
+        some = some.orderBy(F.xxhash64("word"), "word").limit(strings)
+        sizes = [r[0] for r in some.select(F.length("word")).collect()]
+        fits = sum(n <= SAMPLE_CHARACTERS for n in accumulate(sizes))
+        chosen[k] = [r["word"] for r in some.limit(fits).collect()]
     pairs = np.zeros(WIDTH * WIDTH)
     for r in seen.filter(F.col("kind") == len(KINDS)).collect():  # WIDTH ** 2 at most
         pairs[int(r["word"])] = r["n"]
@@ -298,8 +325,8 @@ def learn_formats(df: DataFrame, id_col: str, text_col: str, strings: int = SAMP
 def find_secrets(df: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Counts and digest are of the fixed patterns; ``spans`` also has runs with a learned format, named
-    ``like_<kind>``. Spans are ``kind:start:end`` in code points, by start, then kind as listed, joined by commas.
+    Counts and digest are of the fixed patterns; ``spans`` also has runs of 12 or more
+    characters with a learned format, named ``like_<kind>``. Spans are ``kind:start:end`` in code points, by start, then kind as listed, joined by commas.
     Null and empty texts have none. Repeated rows and null ids give a row each; other columns are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(formats)
@@ -318,7 +345,7 @@ def find_secrets(df: DataFrame, formats: Formats, id_col: str = "doc_id", text_c
                     for k in range(3):
                         counts[k].append(sum(b[1] == k for b in base))
                     digests.append(hashlib.sha256(spell(base).encode()).hexdigest())
-                    more = [(s, k + 3, e) for s, e, w in runs(text or "", found) if (k := known.kind(w)) is not None]
+                    more = [(s, k + 3, e) for s, k, e in known.spans(text or "", found)]
                     all_spans.append(spell(sorted(base + more)))
                 yield pa.RecordBatch.from_arrays(
                     [piece["id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(all_spans, pa.string())],
