@@ -121,6 +121,43 @@ def test_near_copies_in_a_large_group(spark):
         assert got == brute_components(made, k, 80)
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    """Each text of a repeated id has near copies of its own, as one of two and in groups; in both row orders."""
+    rng = random.Random(8)
+
+    def near(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"z{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    long, short = [f"a{i}" for i in range(1000)], [f"b{i}" for i in range(104)]
+    rows = [(5, " ".join(long)), (5, " ".join(short)), (7, near(long, 3)), (8, near(short, 1)), (9, "alone and by itself here")]
+    groups = [[f"g{g}w{i}" for i in range(60 * (g + 1))] for g in range(8)]
+    rows += [(100 + rng.randrange(300), near(rng.choice(groups), rng.randrange(8))) for _ in range(150)]
+    # rows as documents of their own, and rows of one id linked
+    texts = {n: t for n, (_, t) in enumerate(rows)}
+    group = {n: c for n, (_, c, _) in brute_components(texts, 5, 80).items()}
+    while True:
+        least_of_id, least_of_group = {}, {}
+        for n, (i, _) in enumerate(rows):
+            least_of_id[i] = min(least_of_id.get(i, n), group[n])
+        for n, (i, _) in enumerate(rows):
+            least_of_group[group[n]] = min(least_of_group.get(group[n], 10**9), least_of_id[i])
+        merged = {n: least_of_group[group[n]] for n in group}
+        if merged == group:
+            break
+        group = merged
+    ids = {}
+    for n, (i, _) in enumerate(rows):
+        ids.setdefault(group[n], set()).add(i)
+    want = sorted({(i, min(ids[group[n]])) for n, (i, _) in enumerate(rows)})
+    assert {c for i, c in want if i in (5, 7, 8)} == {5} and len({c for _, c in want}) > 3
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert sorted({(r.doc_id, r.component_id) for r in dedup.near_duplicates(df).collect()}) == want
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))

@@ -5,7 +5,8 @@ least hash that it has seen, earlier rounds first; rounds go on until no bin is
 rounds fills bin by bin, so that every coordinate is filled after ``2 * BINS`` rounds at the latest. Coordinates
 agree as often as the sets' similarity says, with the concentration of independent samples.
 
-Documents with equal sets are one class. Classes that share a band meet in a bucket, and only links that can
+Documents with equal sets are one class, named by its least id and, where one id names several classes, by ``part``
+(else 0). Classes that share a band meet in a bucket, and only links that can
 still join two components are looked for: each bucket compares all its members with two of them, the links found
 are followed to components, and then members of one bucket in different components are compared with each other.
 So no pair of a bucket is passed over, and pairs inside a component are not compared again. A pair passes on
@@ -127,11 +128,18 @@ def _set_table(df: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(*utf8(piece["text"]), k, hasher)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
+                k1 = np.array([s.sum() for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [piece["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "grams"]
+                    [piece["id"], pa.array(k1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["id", "k1", "grams"],
                 )
 
-    return df.mapInArrow(run, f"id {id_field(df, 'id')}, grams array<bigint>")
+    return df.mapInArrow(run, f"id {id_field(df, 'id')}, k1 bigint, grams array<bigint>")
+
+
+def _set_of(id_col: str, part: str, sets: str):
+    """Joins a class with its set."""
+    return F.expr(f"{id_col} = {sets}.id AND ({part} = 0 OR {part} = {sets}.k1)")
 
 
 def _plausible(percent: int) -> str:
@@ -159,7 +167,7 @@ class _Verifier:
         self.sets: DataFrame | None = None
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(id, grams) of the documents asked for so far and of ``ids``."""
+        """(id, k1, grams) of all rows of the documents asked for so far and of ``ids``."""
         if self.sets is None:
             # the texts are shuffled once here, at any size: what is asked for grows with the corpus
             self.sets = written(_set_table(self.docs.join(ids.hint("merge"), "id", "left_semi"), self.k), "sets")
@@ -173,10 +181,8 @@ class _Verifier:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         sets = self.sets_of(ids)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b"
-        )
-        return both.filter(_linked("x", "y", self.percent)).select("a", "b").distinct()
+        both = pairs.join(sets.alias("x"), _set_of("a", "ap", "x")).join(sets.alias("y"), _set_of("b", "bp", "y"))
+        return both.filter(_linked("x.grams", "y.grams", self.percent)).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -197,29 +203,36 @@ def near_duplicates(
         usable.groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bits", "bands")).alias("s")).select("k1", "k2", "s.*"),
         "classes",
     )
-    facts = written(classes.groupBy("id").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "facts")
-    rows = classes.select("id", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("id").alias("h"), "id")
+    many = written(classes.groupBy("id").agg(F.count("*").alias("many")).filter("many > 1"), "many")
+    parted = classes.join(many, "id", "left").withColumn("part", F.expr("if(many IS NULL, 0L, k1)"))
+    facts = written(parted.select("id", "part", "n", "bits"), "facts")
+    rows = parted.select("id", "part", F.explode("bands").alias("band"))
+    order = F.struct(F.xxhash64("id").alias("h"), "id", "part")
     ends = rows.groupBy("band").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("members"))
-    ends = ends.filter("members > 1").select("band", F.col("lo.id").alias("c1"), F.col("hi.id").alias("c2"))
+    ends = ends.filter("members > 1").selectExpr("band", "lo.id c1", "lo.part p1", "hi.id c2", "hi.part p2")
     buckets = written(rows.join(ends, "band"), "buckets")
 
-    stars = buckets.select("id", F.explode(F.array("c1", "c2")).alias("c")).filter("id != c")
-    stars = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    side = lambda name, part: facts.select(F.col("id").alias(name), F.struct("n", "bits").alias(part))
-    stars = stars.join(side("a", "l"), "a").join(side("b", "r"), "b").filter(_plausible(percent)).select("a", "b")
+    # classes of one id are one node: they need no link, but each has links of its own
+    stars = buckets.selectExpr("id", "part", "inline(array(struct(c1 AS c, p1 AS p), struct(c2 AS c, p2 AS p)))").filter("id != c")
+    stars = stars.selectExpr("least(id, c) a", "if(id < c, part, p) ap", "greatest(id, c) b", "if(id < c, p, part) bp").distinct()
+    side = lambda x, xp, at: facts.select(F.col("id").alias(x), F.col("part").alias(xp), F.struct("n", "bits").alias(at))
+    stars = stars.join(side("a", "ap", "l"), ["a", "ap"]).join(side("b", "bp", "r"), ["b", "bp"])
+    stars = stars.filter(_plausible(percent)).select("a", "ap", "b", "bp")
     confirm = _Verifier(docs, k, percent)
     links = written(confirm(written(stars, "pairs")).union(_repeated_ids(classes, usable)), "links")
     first = components(links)
 
     # Members of one bucket in different components, centres apart: those with a plausible partner bring their
     # sets, and the join itself compares them, so that only links come out of it.
-    open_ = written(_mixed(buckets.filter("id != c1 AND id != c2"), first).join(facts, "id"), "open")
+    inner = buckets.filter("NOT (id = c1 AND part = p1) AND NOT (id = c2 AND part = p2)")
+    open_ = written(_mixed(inner, first).join(facts, ["id", "part"]), "open")
     meet = f"l.band = r.band AND l.component != r.component AND {_plausible(percent)}"
     open_ = written(open_.alias("l").join(open_.alias("r"), F.expr(meet), "left_semi"), "open")
     if not open_.isEmpty():
-        own = open_.groupBy("id").agg(F.collect_list("band").alias("bands"))  # BANDS at most
-        open_ = open_.join(own, "id").join(confirm.sets_of(own.select("id")), "id")
+        own = open_.groupBy("id", "part").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+        sets = confirm.sets_of(own.select("id").distinct())
+        open_ = open_.join(own, ["id", "part"]).alias("o").join(sets.alias("s"), _set_of("o.id", "o.part", "s"))
+        open_ = open_.select("o.*", "s.grams")
         # a pair that meets in several buckets is compared in the first
         first_meeting = "l.band = array_min(array_intersect(l.bands, r.bands))"
         exact = f"{meet} AND l.component < r.component AND {first_meeting} AND {_linked('l.grams', 'r.grams', percent)}"
@@ -239,9 +252,9 @@ def near_duplicates(
 
 
 def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
-    """(band, id, component) of the members of buckets with more than one component."""
-    own = members.select("band", "id").join(named.withColumnRenamed("node", "id"), "id", "left")
-    own = own.select("band", "id", F.coalesce("component", "id").alias("component"))
+    """(band, id, part, component) of the members of buckets with more than one component."""
+    own = members.select("band", "id", "part").join(named.withColumnRenamed("node", "id"), "id", "left")
+    own = own.select("band", "id", "part", F.coalesce("component", "id").alias("component"))
     ends = own.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
     return own.join(ends.select("band"), "band")
 
