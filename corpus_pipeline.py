@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from veilspark.llm import bpe, dedup, language, mixing, pii
 from veilspark.llm.common import table, written
 
-# Token shares of the domains in the mix. The total is set so that good documents gain a tenth: their rates are
-# over 1, and none of them is lost to rounding.
+# Token shares of the domains in the mix. The total is set so that good documents gain a tenth. Documents
+# that are likeliest good have rates of 1 at least, so that none of them is lost to rounding.
 WEIGHTS = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
 GAIN = 1.1
 NEAR_PERCENT = 80

@@ -476,6 +476,17 @@ def test_rates_against_plain_projected_gradient(spark):
     assert np.allclose(got, want) and np.abs((got * t) @ p - goal).max() < 1e-6 * t.sum() and (got >= 0).all()
 
 
+def test_mixing_keeps_the_whole_domain(spark, monkeypatch):
+    """Documents that are likeliest of the whole domain stay, however much else is in them."""
+    rows = [(i, 100, [0.52 + 0.48 * (i % 50) / 50, 0.48 - 0.48 * (i % 50) / 50]) for i in range(300)] + [(i, 100, [0.1, 0.9]) for i in range(300, 900)]
+    members = spark.createDataFrame(rows, "id long, n_tokens long, p array<double>")
+    monkeypatch.setattr(mixing, "memberships", lambda *a: members)
+    docs = members.selectExpr("id doc_id", "'x' text")
+    got = mixing.mix_to_targets(docs, (["good", "poor"], None, None), {"good": 0.9, "poor": 0.1}, whole="good", factor=1.1).collect()
+    assert all(r.rate >= 1 and r.copies >= 1 for r in got if r.doc_id < 300)
+    assert sum(r.copies for r in got if r.doc_id >= 300) < 600
+
+
 def test_mixing_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, "a"), (8, "b"), (None, "c"), (6, None)], "doc_id long, domain string")
     model = mixing.train(odd, labels)

@@ -78,23 +78,23 @@ def memberships(df: DataFrame, model: tuple, id_col: str = "doc_id", text_col: s
     return src.mapInArrow(run, f"id {id_field(src, 'id')}, n_tokens bigint, p array<double>")
 
 
-def rate_of(steps: list[np.ndarray]) -> str:
-    """SQL of the rate that a posterior ``p`` has after the steps."""
+def rate_of(steps: list[np.ndarray], least: str = "0.0D") -> str:
+    """SQL of the rate that a posterior ``p`` has after the steps; ``least`` is the SQL of its lower bound."""
     rate = "1.0D"
     if steps:
         moves = ", ".join("array(" + ", ".join(f"{x:.17g}D" for x in s) + ")" for s in steps)
         along = "aggregate(zip_with(p, s, (a, b) -> a * b), 0.0D, (t, x) -> t + x)"
-        rate = f"aggregate(array({moves}), 1.0D, (r, s) -> greatest(0.0D, r - {along}))"
+        rate = f"aggregate(array({moves}), 1.0D, (r, s) -> greatest({least}, r - {along}))"
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps that bring the expected tokens of each domain to ``targets``."""
+def fit_rates(members: DataFrame, targets: list[float], most: int = STEPS, close: float = CLOSE, least: str = "0.0D") -> list[np.ndarray]:
+    """The steps that bring the expected tokens of each domain to ``targets``, rates being ``least`` (SQL) or more."""
     d = len(targets)
     goal, total = np.array(targets), max(1.0, float(sum(targets)))
     steps: list[np.ndarray] = []
     for _ in range(most):
-        rows = members.withColumn("r", F.expr(rate_of(steps)))
+        rows = members.withColumn("r", F.expr(rate_of(steps, least)))
         mass = [F.sum(F.expr(f"r * n_tokens * p[{i}]")).alias(f"s{i}") for i in range(d)]
         moments = [F.sum(F.expr(f"if(r > 0, n_tokens * p[{i}] * p[{j}], 0.0D)")).alias(f"m{i}_{j}") for i in range(d) for j in range(d)]
         got = rows.agg(*mass, *moments).first()
@@ -116,7 +116,8 @@ def mix_to_targets(
     """One row per input row: id, n_tokens, posteriors by domain, rate, copies.
 
     Targets are ``weights`` (of the model's domains; missing ones are 0) as shares of a total. The total is that of
-    the corpus; with ``whole``, that which gives this domain ``factor`` times the expected tokens it has now.
+    the corpus; with ``whole``, that which gives this domain ``factor`` times the expected tokens it has now, and
+    documents that are likeliest of it have a rate of 1 at least.
     ``copies`` is the rate rounded down or up, up with the probability of its fraction, by a hash of id and text
     length. Null and empty texts have no tokens and weigh nothing; their rate follows from the posterior of no
     words. Where targets cannot be met by nonnegative rates, the rates are those nearest in least squares that
@@ -137,13 +138,15 @@ def mix_to_targets(
         raise ValueError(f"no weight for any of the domains {domains}")
     shares = shares / shares.sum()
     total = sum(now)
+    least = "0.0D"
     if whole is not None:
         at = domains.index(whole)
         total = factor * now[at] / shares[at]
-    steps = fit_rates(members, list(shares * total))
+        least = f"if(p[{at}] = array_max(p), 1.0D, 0.0D)"
+    steps = fit_rates(members, list(shares * total), least=least)
     names = ", ".join(f"'{d}'" for d in domains)
     chance = F.pmod(F.xxhash64("id", "n_tokens"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return members.withColumn("rate", F.expr(rate_of(steps))).select(
+    return members.withColumn("rate", F.expr(rate_of(steps, least))).select(
         F.col("id").alias(id_col), "n_tokens", F.expr(f"map_from_arrays(array({names}), p)").alias("domains"), "rate",
         (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"),
     )
