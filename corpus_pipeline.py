@@ -26,9 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id. Rows with a null id stay."""
-    gone = dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("NOT kept").select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    """One row of each group of near copies, that with the least id; a null id comes after all others. Rows are
+    compared by their texts, also those that repeat an id or have none."""
+    rows = written(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    named = dedup.near_duplicates(rows, "row_", percent=NEAR_PERCENT).select("row_", "component_id")
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_")
+    kept = rows.select("row_", "doc_id").join(named, "row_").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(kept.select(F.col("first.row_").alias("row_")), "row_", "left_semi").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -659,6 +659,15 @@ def test_pipeline_stage_by_stage(spark, folder, texts):
         assert r.ids == library.encode(text_of[r.doc_id], add_special_tokens=False).ids
 
 
+def test_pipeline_drops_copies_with_repeated_and_null_ids(spark, folder):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, text), (5, text), (5, text), (5, other), (None, other), (None, "only here"), (None, "only here"), (6, text), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, text), (5, other), (None, "only here"), (7, None)], key=str)
+
+
 def test_pipeline_of_odd_rows(spark, folder, odd, tmp_path):
     odd = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, rows in (("odd", odd), ("empty", odd.limit(0))):
