@@ -44,7 +44,7 @@ def laid_out(spark, folder: str, cores: int) -> str:
     return out
 
 
-def main() -> None:
+def main() -> int:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     keys = sys.argv[1:] or HEADLINE
@@ -60,15 +60,21 @@ def main() -> None:
     tables = laid_out(spark, folder, int(cpus) if cpus.isdigit() else 8)
     times: dict[str, float] = {}
     built: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for key in keys:
         runs = []
-        for _ in range(2):
-            begin = time.perf_counter()
-            df = QUERIES[key](spark, tables)
-            df._jdf.queryExecution().executedPlan()
-            build = time.perf_counter() - begin
-            df.write.format("noop").mode("overwrite").save()
-            runs.append((time.perf_counter() - begin, build))
+        try:
+            for _ in range(2):
+                begin = time.perf_counter()
+                df = QUERIES[key](spark, tables)
+                df._jdf.queryExecution().executedPlan()
+                build = time.perf_counter() - begin
+                df.write.format("noop").mode("overwrite").save()
+                runs.append((time.perf_counter() - begin, build))
+        except Exception as error:  # noqa: BLE001 - a broken query must not cost the figures of the others
+            failed[key] = f"{type(error).__name__}: {str(error)[:200]}"
+            print(key, failed[key], file=sys.stderr, flush=True)
+            continue
         times[key], built[key] = (round(x, 3) for x in min(runs))
         print(key, [[round(x, 2) for x in r] for r in runs], file=sys.stderr, flush=True)
     spark.stop()
@@ -81,11 +87,13 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "build": built,
+                **({"failed": failed} if failed else {}),
                 "sf": float(scale) if scale.replace(".", "").isdigit() else scale,
             }
         )
     )
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -357,3 +357,27 @@ def test_footer_counts_read_no_pages(spark, folder):
     plain = scan_tables(spark, folder, ["lineitem", "embeddings"])
     assert rows_of(C.table_inventory(tables)) == rows_of(C.table_inventory(plain))
     assert sorted(K.column_ranges(tables), key=str) == sorted(K.column_ranges(plain), key=str)
+
+
+# --- tables as Spark writes them ----------------------------------------------------------------
+def test_footer_jobs_on_long_texts_nulls_and_empty_files(spark, tmp_path):
+    """A writer leaves statistics out of a footer where texts are long; the jobs must give the same anyhow."""
+    rows = [(i, i % 7, "x" * n + str(i), None) for i, n in enumerate([10, 2000, 5000, 5000] * 5)]
+    kind = "k long, r long, body string, none string"
+    made = spark.createDataFrame(rows, kind)
+    made.repartition(3).write.parquet(str(tmp_path / "texts.parquet"))
+    made.filter("k < 0").write.parquet(str(tmp_path / "empty.parquet"))
+    made.filter("k < 7").select("k", "r", "none").coalesce(1).write.parquet(str(tmp_path / "plain.parquet"))
+    names = ["texts", "empty", "plain"]
+    whole, plain = footer_tables(spark, str(tmp_path), names), scan_tables(spark, str(tmp_path), names)
+    assert whole["texts"].sparkSession is spark and whole["plain"].sparkSession is not spark
+    assert rows_of(C.table_inventory(whole)) == rows_of(C.table_inventory(plain))
+    assert rows_of(C.table_inventory(whole)) == [("empty", 0, 4, 0.0), ("plain", 7, 3, 1 / 3), ("texts", 20, 4, 0.25)]
+    keys = rows_of(K.candidate_keys(whole))
+    assert keys == rows_of(K.candidate_keys(plain)) and ("texts", "body", 20, 0, True, "PRIMARY KEY") in keys
+    edges = K.fk_discovery(whole).filter("name_match")
+    assert rows_of(edges) == rows_of(K.fk_discovery(plain).filter("name_match"))
+    assert [(r.child_table, r.child_column, r.parent_table) for r in edges.filter("parent_table = 'texts'").collect()] == [
+        ("plain", "k", "texts")
+    ]
+    assert rows_of(K.related_tables(edges, "plain")) == [("references", "texts")]

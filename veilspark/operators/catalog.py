@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
-
-
-def quoted(name: str) -> str:
-    """A column name as SQL, whatever characters it holds."""
-    return "`" + name.replace("`", "``") + "`"
+from ..sources.tables import quoted
 
 
 def text_literal(value: str) -> str:

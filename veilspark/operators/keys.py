@@ -7,22 +7,20 @@ the tables asked for and not with their product. What comes to the driver is one
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import _union, quoted
+from ..sources.tables import per_table, quoted
+from .catalog import _union
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _PREFIX = 64  # texts are compared by their first characters for ranges, and by digest when longer
 _SKETCH_ERROR = 0.05  # relative standard deviation of the distinct-count sketch
 _SKETCH_MARGIN = 6  # standard deviations below its values at which a column is no key
-_WORKERS = 8  # tables whose statistics are taken at a time
 
 # types of columns that can refer to each other, and how their values compare
 _KINDS = (
@@ -63,14 +61,6 @@ def _session(tables: Mapping[str, DataFrame]) -> SparkSession:
     return next(iter(tables.values())).sparkSession
 
 
-def _per_table(spark: SparkSession, work: Callable, names: Sequence) -> list:
-    """``work`` of each name, some at a time; each job carries the caller's session settings."""
-    if not names:
-        return []
-    with ThreadPoolExecutor(min(_WORKERS, len(names))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), names))
-
-
 def column_ranges(tables: Mapping[str, DataFrame]) -> list[ColumnRange]:
     """Row and value counts of all columns, and ranges of whole numbers.
 
@@ -91,7 +81,7 @@ def column_ranges(tables: Mapping[str, DataFrame]) -> list[ColumnRange]:
             for i, f in enumerate(df.schema.fields)
         ]
 
-    return [r for rows in _per_table(_session(tables), one, sorted(tables)) for r in rows]
+    return [r for rows in per_table(_session(tables), one, sorted(tables)) for r in rows]
 
 
 def with_text_ranges(
@@ -111,7 +101,7 @@ def with_text_ranges(
         return {(name, c): (r[f"low{i}"], r[f"high{i}"]) for i, c in enumerate(texts[name])}
 
     ends: dict = {}
-    for found in _per_table(_session(tables), one, list(texts)):
+    for found in per_table(_session(tables), one, list(texts)):
         ends |= found
     return [
         replace(r, low=ends[r.table, r.column][0], high=ends[r.table, r.column][1]) if r.kind == "text" else r
@@ -178,10 +168,10 @@ def candidate_keys(
         return {r.column for i, r in enumerate(chosen) if seen[f"d{i}"] >= r.n_filled * far}
 
     names, spark = sorted(tables), _session(tables)
-    left = dict(zip(names, _per_table(spark, open_columns, names)))
+    left = dict(zip(names, per_table(spark, open_columns, names)))
     groups = [(t, (r.column,)) for t in names for r in by_table.get(t, []) if r.column in left[t]]
     groups += [(t, tuple(g)) for t in names for g in (composites or {}).get(t, ())]
-    counted = dict(zip(groups, _per_table(spark, lambda g: exact(tables[g[0]], g[1]), groups)))
+    counted = dict(zip(groups, per_table(spark, lambda g: exact(tables[g[0]], g[1]), groups)))
     found = []
     for t in names:
         n_rows = by_table[t][0].n_rows if t in by_table else 0
