@@ -513,10 +513,7 @@ ANSWERS: dict[str, str] = {
     "table_inventory": _inventory(),
     "column_catalog": _catalog_with_policy(),
     "search_tables": f"SELECT table_name, n_columns::BIGINT AS n_columns FROM ({_inventory()}) WHERE table_name ILIKE '%er%'",
-    "search_columns": f"""SELECT table_name, position, column_name, data_type FROM (
-        SELECT *, dense_rank() OVER (ORDER BY table_name) AS nth FROM (
-          SELECT * FROM ({_catalog()}) WHERE column_name ILIKE '%key%'))
-      WHERE nth <= 4""",
+    "search_columns": f"SELECT table_name, position, column_name, data_type FROM ({_catalog()}) WHERE column_name ILIKE '%key%'",
     "candidate_keys": _candidate_keys(),
     "key_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem"
     " GROUP BY ALL HAVING count(*) > 1",

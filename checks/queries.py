@@ -200,7 +200,7 @@ def search_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_columns(spark: SparkSession, folder: str) -> DataFrame:
     catalog = C.names_catalog(scan_tables(spark, folder, TABLES))
-    return C.search_columns(catalog, "key", 4).select("table_name", "position", "column_name", "data_type")
+    return C.search_columns(catalog, "key").select("table_name", "position", "column_name", "data_type")
 
 
 def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
