@@ -380,4 +380,4 @@ def test_footer_jobs_on_long_texts_nulls_and_empty_files(spark, tmp_path):
     assert [(r.child_table, r.child_column, r.parent_table) for r in edges.filter("parent_table = 'texts'").collect()] == [
         ("plain", "k", "texts")
     ]
-    assert rows_of(K.related_tables(edges, "plain")) == [("references", "texts")]
+    assert rows_of(K.related_tables(edges, "plain")) == [("referenced_by", "texts"), ("references", "texts")]
