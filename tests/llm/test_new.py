@@ -8,8 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from veilspark.llm import runs
-from veilspark.llm.common import table
+from veilspark.llm import packing, runs
+from veilspark.llm.common import table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id int, n int, runs int, lang_ int"
 LONG = "word " * 40_000 + "x" * 50_000
@@ -127,3 +127,115 @@ def test_runs_on_odd_rows(spark, odd):
     assert len(runs.with_planted_runs(odd).collect()) == odd.count()
     with pytest.raises(ValueError):
         runs.periodic_runs(odd, least=5)
+
+
+# --- 12 -----------------------------------------------------------------------------------------
+def cut_by_library(texts, size=1024):
+    """(id, piece) -> (start, length, checksum), with ids from the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    out = {}
+    for i, text in texts.items():
+        ids = encoder.encode(text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % size or size
+        cuts = [0, first, *range(first + size, len(ids) + 1, size)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            out[i, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    return out
+
+
+def best_fit_one_by_one(lengths, size=1024):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        able = [g for g in gaps if g >= length]
+        if able:
+            gaps.remove(min(able))
+        gaps.append((min(able) if able else size) - length)
+    return len(gaps)
+
+
+def check_places(rows, size=1024):
+    """Every sequence is filled from 0 on without a gap; returns how many there are."""
+    by_sequence = {}
+    for sequence, offset, length in rows:
+        by_sequence.setdefault(sequence, []).append((offset, length))
+    for parts in by_sequence.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= size
+    return len(by_sequence)
+
+
+def test_packing_of_all_documents(spark, folder):
+    texts = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
+    got = packing.op12_packing(spark, folder).collect()
+    want = cut_by_library(texts)
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    n = check_places((r.sequence_id, r.offset, r.length) for r in got)
+    assert -(-sum(r.length for r in got) // 1024) <= n <= best_fit_one_by_one([r.length for r in got])
+
+
+def test_plans_lose_nothing_and_fill_what_can_be_filled():
+    rng = random.Random(2)
+    for _ in range(200):
+        size = rng.randrange(1, 60)
+        lengths = [rng.randrange(1, size + 1) for _ in range(rng.randrange(0, 60))]
+        counts = [lengths.count(x) for x in range(size + 1)]
+        plan = packing.plan_packing(counts)
+        used = [0] * (size + 1)
+        for pattern, times in plan:
+            assert times > 0 and sum(x * n for x, n in pattern.items()) <= size
+            for x, n in pattern.items():
+                used[x] += n * times
+        assert used == counts
+        assert sum(t for _, t in plan) <= best_fit_one_by_one(lengths, size)
+    # complements of one, two and three lengths, each as often as the counts allow
+    assert sorted(t for _, t in packing.plan_packing(np.bincount([700] * 5 + [324] * 5, minlength=1025))) == [5]
+    assert sum(t for _, t in packing.plan_packing(np.bincount([1000] * 8 + [10, 14] * 8, minlength=1025))) == 8
+    assert sum(t for _, t in packing.plan_packing(np.bincount([900] * 8 + [20, 44, 60] * 8, minlength=1025))) == 8
+
+
+def test_sum_index_counts_sums():
+    rng = random.Random(3)
+    counts = np.array([0] + [rng.randrange(3) for _ in range(30)])
+    index = packing.SumIndex(counts)
+    while index.one.any():
+        fresh = packing.SumIndex(index.left)
+        assert (index.one == fresh.one).all() and (index.two == fresh.two).all() and (index.three == fresh.three).all()
+        for gap in range(1, 31):
+            found = index.exact(packing.Counter(), gap)
+            assert found is None or (sum(found) == gap and all(index.left[x] >= found.count(x) for x in found))
+        x = rng.choice(np.flatnonzero(index.one).tolist())
+        index.take(packing.Counter([x]), 1)
+
+
+def test_packing_in_buckets_and_on_odd_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    rows = [(i, 1 + (i * i) % 90 if i % 3 else 40, "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, len int, `offset` string")
+    got = packing.pack(df, "len", 100).collect()
+    assert sorted((r.k, r.len) for r in got) == [(k, n) for k, n, _ in rows]
+    assert check_places(((r.sequence_id, r.offset, r.len) for r in got), 100) <= best_fit_one_by_one([n for _, n, _ in rows], 100)
+    cut = packing.cut_documents(odd)
+    placed = packing.pack(cut).collect()
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    want = cut_by_library(texts)
+    assert {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in placed} == want
+    assert len(placed) == len(want) + 1  # document 5 is there twice
+    check_places((r.sequence_id, r.offset, r.length) for r in placed)
+    whole = packing.sequences(packing.pack(cut)).collect()
+    assert all(len(r.ids) == 4 * r.n_tokens <= 4096 for r in whole)
+    assert sum(r.n_tokens for r in whole) == sum(r.length for r in placed)
+    assert packing.pack(cut.filter("false")).collect() == []
+    with pytest.raises(ValueError):
+        packing.pack(df, "len", 50)
+
+
+def test_packing_of_texts_the_fast_engine_gives_up(spark):
+    texts = {1: "\n" * 1_200_000 + "a", 2: "a<|endoftext|>b", 3: "x" * 30_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in packing.cut_documents(df).collect()}
+    assert got == cut_by_library(texts)

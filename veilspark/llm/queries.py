@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, mixing, neighbours, pii, quality, runs, secret_scan, urls
+from . import bpe, dedup, fingerprint, language, mixing, neighbours, packing, pii, quality, runs, secret_scan, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_url_filters": urls.op10_url_filters,
     "op11_runs": runs.op11_runs,
+    "op12_packing": packing.op12_packing,
 }
 
 SQL = {
