@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from veilspark.llm import packing, runs
+from checks.compare import compare
+from veilspark.llm import packing, phrases, runs
 from veilspark.llm.common import table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id int, n int, runs int, lang_ int"
@@ -206,10 +208,10 @@ def test_sum_index_counts_sums():
         fresh = packing.SumIndex(index.left)
         assert (index.one == fresh.one).all() and (index.two == fresh.two).all() and (index.three == fresh.three).all()
         for gap in range(1, 31):
-            found = index.exact(packing.Counter(), gap)
+            found = index.exact(Counter(), gap)
             assert found is None or (sum(found) == gap and all(index.left[x] >= found.count(x) for x in found))
         x = rng.choice(np.flatnonzero(index.one).tolist())
-        index.take(packing.Counter([x]), 1)
+        index.take(Counter([x]), 1)
 
 
 def test_packing_in_buckets_and_on_odd_rows(spark, odd, monkeypatch):
@@ -239,3 +241,75 @@ def test_packing_of_texts_the_fast_engine_gives_up(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {(r.doc_id, r.piece): (r.start, r.length, zlib.crc32(r.ids)) for r in packing.cut_documents(df).collect()}
     assert got == cut_by_library(texts)
+
+
+# --- 13 -----------------------------------------------------------------------------------------
+def brute_phrases(rows, least, longest, top, covered=50):
+    counts, sizes = {}, Counter()
+    for lang, text in rows:
+        lang, text = lang or "und", (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            sizes[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    key = (lang, *words[i : i + k])
+                    counts[key] = counts.get(key, 0) + 1
+    found = {key: a for key, a in counts.items() if len(key) > 2 and a >= least}
+    out = {}
+    for key, a in found.items():
+        lang, *words = key
+        inside = any(
+            other[0] == lang and len(other) > len(key) and 100 * b >= covered * a
+            and any(other[i : i + len(words)] == tuple(words) for i in range(1, len(other)))
+            for other, b in found.items()
+        )
+        if not inside:
+            cuts = [(counts[lang, *words[:k]], counts[lang, *words[k:]]) for k in range(1, len(words))]
+            score, k = min((10**6 * a * a // (l * r), k) for k, (l, r) in enumerate(cuts))
+            out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), *cuts[k]))
+    return sorted(
+        (lang, i + 1, p.decode(), -a, l, r, sizes[lang], -score)
+        for lang, group in out.items()
+        for i, (score, a, p, l, r) in enumerate(sorted(group)[:top])
+    )
+
+
+def test_phrases_of_all_documents(spark, folder, duck):
+    same, message, _ = compare(spark, duck, folder, "op13", phrases.op13_phrases, phrases.SQL)
+    assert same, message
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_phrases_against_brute_force(spark, monkeypatch, broadcast):
+    """With groups sent to all tasks and joined by a shuffle; several lengths, limits and buckets of numbers."""
+    monkeypatch.setattr(phrases, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(phrases, "NUMBERED_ROWS", 7)
+    monkeypatch.setattr(phrases, "_FLUSH", 50)
+    rng = random.Random(4)
+    vocabulary = ["the", "The", "a", "of", "\u00e9t\u00e9", "\U0001f600", "x" * 50, "New", "york", "city"]
+    rows = []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(30))
+        words += ["new", "York", "city"] * (i % 3)
+        rows.append((rng.choice(["en", "de", None, "und"]), "".join(w + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".\n", "\x0b"]) for w in words)))
+    rows += [("en", None), (None, ""), ("fr", " . ,"), ("en", "the of " * 3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for least, longest, top in ((10, 3, 2000), (3, 4, 5), (1, 2, 10)):
+        got = sorted(map(tuple, phrases.phrase_collocations(df, least=least, longest=longest, top=top).collect()))
+        assert got == brute_phrases(rows, least, longest, top)
+
+
+def test_phrases_on_odd_rows(spark, odd):
+    assert phrases.phrase_collocations(odd.filter("false")).collect() == []
+    assert phrases.phrase_collocations(odd.filter("doc_id = 8")).collect() == []
+    got = sorted(map(tuple, phrases.phrase_collocations(odd, least=2).collect()))
+    assert got == brute_phrases([(r.lang, r.text) for r in odd.collect()], 2, 3, 2000)
+
+
+def test_hot_scores_are_exact(spark):
+    """Products of counts pass 64 bits: 10**6 * a * a with a in the ten thousands of millions."""
+    big = 30_000_000_011
+    made = spark.sql(f"SELECT CAST({big}L AS bigint) AS n, array(CAST({big + 7}L AS bigint)) AS heads, array(CAST({big + 9}L AS bigint)) AS tails")
+    got = made.withColumn("k", phrases.F.lit(0)).selectExpr(f"{phrases.CUT}.score AS s").first().s
+    assert got == 10**6 * big * big // ((big + 7) * (big + 9))

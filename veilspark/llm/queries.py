@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, fingerprint, language, mixing, neighbours, packing, pii, quality, runs, secret_scan, urls
+from . import bpe, dedup, fingerprint, language, mixing, neighbours, packing, phrases, pii, quality, runs, secret_scan, urls
 
 QUERIES = {
     "op1_near_dedup": dedup.op1_near_dedup,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_url_filters": urls.op10_url_filters,
     "op11_runs": runs.op11_runs,
     "op12_packing": packing.op12_packing,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 SQL = {
     "op8_fingerprints": fingerprint.SQL,
     "op10_url_filters": urls.SQL,
+    "op13_phrases": phrases.SQL,
 }
