@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
 from . import duck, expected as N, expected as Q
-from .queries import COMPOSITES, DETECT, HASH_KEY, RULES, TABLES, TOKEN_KEY
+from .queries import COMPOSITES, DETECT, HASH_KEY, PAIR_TABLES, PAIR_VIEWS, RULES, TABLES, TOKEN_KEY
 from .views import CONTACT_VALUES, with_views
 
 SPAN_COLUMNS = 'src, id, entity, "start", "end", match, score, recognizer'
@@ -172,6 +174,90 @@ def _fk(tables, select: str = "SELECT * FROM edges") -> str:
     return f"WITH {ctes}, edges AS ({body}) {select}"
 
 
+_KEYED = {"int": "i", "bigint": "i", "string": "s", "timestamp_ntz": "d"}
+
+
+def _unique_sets(table: str, columns, widths) -> str:
+    """(t, c, w, filled, n): the sets of columns of these widths that are unique where filled, and hold no smaller one."""
+
+    def one(group) -> str:
+        value = group[0] if len(group) == 1 else f"({', '.join(group)})"
+        filled = " AND ".join(f"{c} IS NOT NULL" for c in group)
+        return (
+            f"SELECT '{table}' AS t, [{', '.join(repr(c) for c in group)}] AS c, {len(group)} AS w, count(*) AS n,"
+            f" count(*) FILTER ({filled}) AS filled FROM {table} HAVING count(*) FILTER ({filled}) > 0 AND"
+            f" count(DISTINCT {value}) FILTER ({filled}) = count(*) FILTER ({filled})"
+        )
+
+    return _union(one(g) for w in range(1, max(widths) + 1) for g in combinations(columns, w))
+
+
+def _minimal(sets: str) -> str:
+    return (
+        f"SELECT * FROM ({sets}) x WHERE w > 1 AND NOT EXISTS (SELECT 1 FROM ({sets}) y WHERE y.t = x.t AND y.w < x.w"
+        " AND list_has_all(x.c, y.c))"
+    )
+
+
+def _composite_keys() -> str:
+    parts = [
+        (t, [c for c, k in COLUMNS[t] if k in _KEYED])
+        for t in TABLES
+    ]
+    sets = _union(_unique_sets(t, columns, (2, 3)) for t, columns in parts if columns)
+    return f"""WITH sets AS MATERIALIZED ({sets})
+      SELECT t AS table_name, array_to_string(c, ',') AS columns, CAST(w AS INTEGER) AS width, n AS n_rows, n - filled AS n_nulls,
+        CASE WHEN n = filled THEN 'PRIMARY KEY' ELSE 'UNIQUE' END AS kind FROM ({_minimal("SELECT * FROM sets")})"""
+
+
+def _fk_candidates() -> str:
+    columns = [(t, c, _KEYED[k]) for t in TABLES for c, k in COLUMNS[t] if k in _KEYED]
+
+    def one(t: str, c: str, k: str) -> str:
+        low, high = (f"{f}({c if k == 'i' else f'{c}[1:64]'})" if k in "is" else "NULL" for f in ("min", "max"))
+        i = [f"CAST({x} AS BIGINT)" if k == "i" else "NULL" for x in (low, high)]
+        s = [f"CAST({x} AS VARCHAR)" if k == "s" else "''" for x in (low, high)]
+        return (
+            f"SELECT '{t}' AS t, '{c}' AS c, '{k}' AS k, {i[0]} AS li, {i[1]} AS hi, encode({s[0]}) AS ls, encode({s[1]}) AS hs,"
+            f" count({c}) = count(DISTINCT {c}) AS u FROM {t} HAVING count({c}) > 0"
+        )
+
+    return f"""WITH cols AS MATERIALIZED ({_union(one(*x) for x in columns)})
+      SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column FROM cols a JOIN cols b
+        ON a.k = b.k AND b.u AND (a.t <> b.t OR a.c <> b.c)
+          AND (a.k <> 'i' OR (a.li >= b.li AND a.hi <= b.hi)) AND (a.k <> 's' OR (a.ls >= b.ls AND a.hs <= b.hs))"""
+
+
+def _composite_fks() -> str:
+    """Every pair of columns of every table against every key of two columns, column by column of one kind."""
+    kinds = {c: k for t in COLUMNS for c, k in COLUMNS[t]} | {"r_orderkey": "bigint", "r_line": "int", "r_supplier": "bigint"}
+    kinds |= {"a_turn": "bigint", "a_conv": "bigint", "a_role": "string"}
+    kind = {c: _KEYED.get(k) for c, k in kinds.items()}
+    tables = {t: list(c) for t, c in PAIR_TABLES.items()} | {
+        "returned": ["r_orderkey", "r_line", "r_supplier"], "answers": ["a_turn", "a_conv", "a_role"]
+    }
+    views = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in PAIR_VIEWS.items())
+    sets = _union(_unique_sets(t, columns, (2,)) for t, columns in tables.items())
+
+    def one(child, a, b, parent, x, y) -> str:
+        values = f"SELECT DISTINCT {a}, {b} FROM {child} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        return f"""SELECT '{child}' AS child_table, '{a},{b}' AS child_columns, '{parent}' AS parent_table, '{x},{y}' AS parent_columns,
+            (SELECT count(*) FROM ({values})) AS n_values,
+            (SELECT count(*) FROM ({values} INTERSECT SELECT {x}, {y} FROM {parent})) AS n_matched
+          WHERE EXISTS (SELECT 1 FROM keys WHERE t = '{parent}' AND c = ['{x}', '{y}'])"""
+
+    found = _union(
+        one(child, a, b, parent, x, y)
+        for parent, columns in tables.items()
+        for x, y in combinations(columns, 2)
+        for child, others in tables.items()
+        for a, b in permutations(others, 2)
+        if kind[a] == kind[x] and kind[b] == kind[y] and (child != parent or (a != x and b != y))
+    )
+    return f"""WITH {views}, sets AS MATERIALIZED ({sets}), keys AS MATERIALIZED ({_minimal("SELECT * FROM sets")}), found AS ({found})
+      SELECT *, n_matched::DOUBLE / n_values AS coverage FROM found WHERE n_values > 0 AND n_matched = n_values"""
+
+
 # --- columns ------------------------------------------------------------------------------------
 NAME = "upper(column_name)"
 REAL_CASES = ", ".join(
@@ -523,6 +609,9 @@ ANSWERS: dict[str, str] = {
         for name, rule in RULES.items()
     ),
     "fk_discovery": _fk(TABLES),
+    "composite_keys": _composite_keys(),
+    "fk_candidates": _fk_candidates(),
+    "composite_fks": _composite_fks(),
     "fk_violations": "SELECT o_custkey, count(*) AS n_rows FROM (SELECT o_custkey + o_orderkey % 7 * 40 AS o_custkey"
     " FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey",
     "related_tables": _fk(

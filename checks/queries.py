@@ -13,6 +13,7 @@ from veilspark.functions import texts as X
 from veilspark.functions import treatments as R
 from veilspark.functions.detectors import REFERENCE, SAFE, choose, regex_detector
 from veilspark.operators import catalog as C
+from veilspark.operators import composites as M
 from veilspark.operators import detect as D
 from veilspark.operators import keys as K
 from veilspark.operators import querylog as Q
@@ -33,6 +34,14 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 COMPOSITES = {"lineitem": [["l_orderkey", "l_linenumber"]], "conversations": [["conv_id", "turn"]]}
+PAIR_TABLES = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"),
+    "conversations": ("conv_id", "turn", "role"),
+}
+PAIR_VIEWS = {
+    "returned": "SELECT l_orderkey AS r_orderkey, l_linenumber AS r_line, l_suppkey AS r_supplier FROM lineitem WHERE l_returnflag = 'R'",
+    "answers": "SELECT turn AS a_turn, conv_id AS a_conv, role AS a_role FROM conversations WHERE role = 'assistant'",
+}
 RULES = {
     "quantity_positive": "l_quantity > 0",
     "discount_low": "l_discount <= 0.05",
@@ -219,6 +228,23 @@ def fk_discovery(spark: SparkSession, folder: str) -> DataFrame:
     return K.fk_discovery(footer_tables(spark, folder, TABLES))
 
 
+def composite_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return M.composite_keys(footer_tables(spark, folder, TABLES))
+
+
+def fk_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return K.fk_candidates(footer_tables(spark, folder, TABLES))
+
+
+def composite_fks(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of two columns, with two tables beside that refer to them."""
+    tables = {t: frame(spark, folder, t).select(*c) for t, c in PAIR_TABLES.items()}
+    for name, sql in PAIR_VIEWS.items():
+        source = sql.rsplit(" FROM ", 1)[1].split()[0]
+        tables[name] = spark.sql(sql.replace(f" FROM {source}", f" FROM {{{source}}}"), **{source: frame(spark, folder, source)})
+    return M.composite_fks(tables, max_width=2)
+
+
 def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
     orders = frame(spark, folder, "orders").withColumn("o_custkey", F.expr("o_custkey + o_orderkey % 7 * 40"))
     return K.fk_violations(orders, ["o_custkey"], frame(spark, folder, "customer"), ["c_custkey"])
@@ -490,6 +516,9 @@ QUERIES: dict[str, Query] = {
     "key_violations": key_violations,
     "check_violations": check_violations,
     "fk_discovery": fk_discovery,
+    "composite_keys": composite_keys,
+    "fk_candidates": fk_candidates,
+    "composite_fks": composite_fks,
     "fk_violations": fk_violations,
     "related_tables": related_tables,
     "is_pii_column": lambda s, d: _classified(s, d, "is_pii", typed=False),

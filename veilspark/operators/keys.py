@@ -6,6 +6,7 @@ the tables asked for and not with their product. What comes to the driver is one
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
 from ..sources.tables import per_table, quoted
 from .catalog import _union
 
@@ -220,7 +222,108 @@ _EDGE_TYPE = (
     "child_table string, child_column string, parent_table string, parent_column string,"
     " n_values bigint, n_matched bigint, coverage double, name_match boolean"
 )
-_COLUMN_TYPE = "id int, table string, column string, kind string, low string, high string, name string, is_key boolean"
+_COLUMN_TYPE = (
+    "id int, table string, column string, kind string, low string, high string, name string, is_key boolean,"
+    " low_bin int, high_bin int"
+)
+_BIN_LEVELS = 6  # bins of range ends: two to this power at most
+_BIN_COLUMNS = 32  # columns for each bin, below that power
+_SKETCH_SIZE = 10  # a column's sketch holds its two to this power least hashes
+
+
+def range_bins(ranges: Sequence[ColumnRange]) -> tuple[int, list[tuple[int, int]]]:
+    """How often the ends of ranges are halved into bins, and the bins of both ends of each column, kind by kind."""
+    levels = min(_BIN_LEVELS, (len(ranges) // _BIN_COLUMNS).bit_length())
+    cuts = {}
+    for kind in {r.kind for r in ranges}:
+        ends = sorted(x for r in ranges if r.kind == kind for x in (r.low, r.high) if x is not None)
+        cuts[kind] = [ends[i * len(ends) >> levels] for i in range(1, 1 << levels)] if ends else []
+
+    def place(kind: str, end: int | str | None) -> int:
+        return 0 if end is None else bisect_right(cuts[kind], end)
+
+    return levels, [(place(r.kind, r.low), place(r.kind, r.high)) for r in ranges]
+
+
+def candidate_pairs(columns: DataFrame, levels: int, within: bool = True) -> DataFrame:
+    """Pairs (child, parent) of columns of one kind whose parent is a key; ``within``: and whose range holds the child's.
+
+    A containment join without a loop over all pairs. A child's ends are a point in two rows of bins, and a parent's range
+    is the corner of points that it holds. A corner is a few dyadic blocks in each of the two rows; a point lies in one
+    block per size. Pairs meet in the one pair of blocks that holds the point and is part of the corner, so the join has as
+    many keys as there are blocks, and reads few pairs beside those that it gives.
+    """
+    if not within:
+        return columns.alias("c").join(columns.filter("is_key").alias("p"), F.expr("c.kind = p.kind AND c.id != p.id"))
+    size = 1 << levels
+
+    def holding(at: str) -> str:
+        return f"transform(sequence(0, {levels}), b -> (1 << ({levels} - b)) + ({at} >> b))"
+
+    def before(end: str) -> str:
+        blocks = f"transform(sequence(0, {levels}), b -> if(({end} >> b) & 1 = 1, (1 << ({levels} - b)) + ({end} >> b) - 1, NULL))"
+        return f"array_compact({blocks})"
+
+    def spread(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.selectExpr("*", f"explode({x}) AS x_block").selectExpr("*", f"explode({y}) AS y_block")
+
+    children = spread(columns, holding(f"({size - 1} - low_bin)"), holding("high_bin"))
+    parents = spread(columns.filter("is_key"), before(f"({size} - low_bin)"), before("(high_bin + 1)"))
+    same = "c.kind = p.kind AND c.x_block = p.x_block AND c.y_block = p.y_block"
+    return children.alias("c").join(
+        parents.alias("p"), F.expr(f"{same} AND c.id != p.id AND c.low >= p.low AND c.high <= p.high")
+    )
+
+
+def _union_values(tables: Mapping[str, DataFrame], parts: Mapping[str, Sequence[tuple[int, str]]]) -> DataFrame:
+    """(id, value) of numbered expressions over tables: each table is read once."""
+    return _union([tables[t].selectExpr(f"inline(array({', '.join(f'struct({i} AS id, {v} AS value)' for i, v in x)}))") for t, x in parts.items()])
+
+
+def sketches(tables: Mapping[str, DataFrame], parts: Mapping[str, Sequence[tuple[int, str]]]) -> DataFrame:
+    """(id, sketch): the least hashes of the values of numbered expressions, at most a fixed number of each.
+
+    One aggregate per table, merged before the shuffle; one row per expression, written to the shared folder."""
+
+    def one(name: str) -> DataFrame:
+        asked = parts[name]
+        aggs = [f"theta_sketch_agg({v}, {_SKETCH_SIZE}) AS s{i}" for i, v in asked]
+        return tables[name].selectExpr(*aggs).selectExpr(f"inline(array({', '.join(f'struct({i} AS id, s{i} AS sketch)' for i, _ in asked)}))")
+
+    spark = _session(tables)
+    path = f"{shared_folder(spark, 'sketches')}/sketches"
+    _union([one(name) for name in parts]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def not_refuted(pairs: DataFrame, sketched_values: DataFrame) -> DataFrame:
+    """The pairs (child, parent) that sketches do not rule out.
+
+    Below the smaller threshold of two sketches both hold all hashes of their values. A child's hash there that the parent
+    lacks is a value that the parent lacks: such a pair is out, and no true one is.
+    """
+    side = lambda x: sketched_values.select(F.col("id").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.join(side("child"), "child").join(side("parent"), "parent")
+    return both.filter("theta_sketch_estimate(theta_difference(child_sketch, parent_sketch)) = 0").drop("child_sketch", "parent_sketch")
+
+
+def _shared_values(values: DataFrame) -> DataFrame:
+    """(held, n): how many values are held by the same expressions. Values meet once, pre-aggregated to a row per value and id."""
+    held = values.filter("value IS NOT NULL").distinct().groupBy("value").agg(F.sort_array(F.collect_list("id")).alias("held"))
+    return held.groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _covered(counts: DataFrame, pairs: DataFrame, min_coverage: float) -> DataFrame:
+    """Pairs with counts of the child's values and of those that the parent has."""
+    met = counts.select("n", "held", F.explode("held").alias("child")).join(pairs, "child")
+    matched = F.sum(F.when(F.array_contains("held", F.col("parent")), F.col("n")).otherwise(0))
+    names = [c for c in pairs.columns if c not in ("child", "parent")]
+    return (
+        met.groupBy(*names)
+        .agg(F.sum("n").alias("n_values"), matched.alias("n_matched"))
+        .withColumn("coverage", F.col("n_matched") / F.col("n_values"))
+        .filter(F.col("coverage") >= min_coverage)
+    )
 
 
 def fk_discovery(
@@ -233,58 +336,79 @@ def fk_discovery(
 
     Parents are columns with PRIMARY KEY or UNIQUE values; whole numbers, texts, dates, timestamps, decimals and
     booleans are compared, each with their kind. Candidate pairs come from a join of the table of columns with
-    itself, on kind and (for full coverage of numbers and texts) on range. Then every column of a pair is read
+    itself on kind and (for full coverage of numbers and texts) on range. For full coverage, one aggregate per table sketches
+    the columns of the pairs, and pairs that the sketches refute are left out. Then every column of a pair that is left is read
     once, and one shuffle a kind brings equal values together, pre-aggregated to one row per value and column: a
     value held by a third of all rows crosses the network once per task. Values that the same columns hold are
     counted together, and these counts meet the candidate pairs in a join. Small key spaces give chance matches, so
-    the result has coverage and likeness of the names rather than a plain yes. Composite keys are not looked for.
+    the result has coverage and likeness of the names rather than a plain yes. ``composite_fks`` looks for keys of several
+    columns.
     """
     spark = _session(tables)
     ranges = column_ranges(tables) if ranges is None else ranges
     if keys is None:
         unique = candidate_keys(tables, ranges=ranges).filter("is_unique").collect()
         keys = [(r.table_name, r.columns) for r in unique]
-    known = set(keys)
+    ranges, pairs = _pairs(tables, ranges, set(keys), min_coverage)
+    # one row per column comes to the driver: which of them are in a pair and are read
+    used = _used(pairs)
+    parts = []
+    for kind in dict.fromkeys(r.kind for i, r in enumerate(ranges) if i in used):
+        parts.append(_shared_values(_union_values(tables, _by_table(ranges, {i for i in used if ranges[i].kind == kind}))))
+    if not parts:
+        return spark.createDataFrame([], _EDGE_TYPE)
+    names = ["child_table", "child_column", "parent_table", "parent_column"]
+    return _covered(_union(parts), pairs, min_coverage).select(*names, "n_values", "n_matched", "coverage", "name_match")
+
+
+def fk_candidates(
+    tables: Mapping[str, DataFrame], keys: Sequence[tuple[str, str]] | None = None, ranges: Sequence[ColumnRange] | None = None
+) -> DataFrame:
+    """The pairs of columns that ``fk_discovery`` would sketch: same kind, a key as parent, the child's range inside its own."""
+    ranges = column_ranges(tables) if ranges is None else ranges
+    if keys is None:
+        unique = candidate_keys(tables, ranges=ranges).filter("is_unique").collect()
+        keys = [(r.table_name, r.columns) for r in unique]
+    pairs = _pairs(tables, ranges, set(keys), 1.0, sketch=False)[1]
+    return pairs.select("child_table", "child_column", "parent_table", "parent_column")
+
+
+def _used(pairs: DataFrame) -> set[int]:
+    return {r["id"] for r in pairs.selectExpr("inline(array(struct(child AS id), struct(parent AS id)))").distinct().collect()}
+
+
+def _by_table(ranges: Sequence[ColumnRange], used: set[int], value: Callable[[ColumnRange], str] | None = None) -> dict[str, list[tuple[int, str]]]:
+    parts: dict[str, list[tuple[int, str]]] = {}
+    for i in sorted(used):
+        parts.setdefault(ranges[i].table, []).append((i, (value or _value)(ranges[i])))
+    return parts
+
+
+def _pairs(
+    tables: Mapping[str, DataFrame], ranges: Sequence[ColumnRange], known: set[tuple[str, str]], min_coverage: float, sketch: bool = True
+) -> tuple[list[ColumnRange], DataFrame]:
+    """Comparable columns, and the pairs of them with a parent among ``known`` that ranges and sketches leave."""
+    spark = _session(tables)
     ranges = [r for r in ranges if r.n_filled and r.kind not in ("nested", "other")]
     if any(r.kind == "text" and (r.table, r.column) in known for r in ranges):
         ranges = with_text_ranges(tables, ranges)
+    levels, bins = range_bins(ranges)
     sized = [
         (i, r.table, r.column, r.kind, *(_sortable(x) if r.kind in ("int", "text") else "" for x in (r.low, r.high)),
-         _bare(r.column), (r.table, r.column) in known)
+         _bare(r.column), (r.table, r.column) in known, *bins[i])
         for i, r in enumerate(ranges)
     ]
     columns = spark.createDataFrame(sized, _COLUMN_TYPE)
-    inside = "c.low >= p.low AND c.high <= p.high" if min_coverage >= 1.0 else "true"
-    pairs = columns.alias("c").join(
-        columns.filter("is_key").alias("p"), F.expr(f"c.kind = p.kind AND c.id != p.id AND {inside}")
-    )
-    pairs = pairs.selectExpr(
+    pairs = candidate_pairs(columns, levels, min_coverage >= 1.0).selectExpr(
         "c.id AS child", "p.id AS parent", "c.table AS child_table", "c.column AS child_column",
         "p.table AS parent_table", "p.column AS parent_column", "c.name = p.name AS name_match",
     )
-    # one row per column comes to the driver: which of them are in a pair and are read
-    used = {r["id"] for r in pairs.selectExpr("inline(array(struct(child AS id), struct(parent AS id)))").distinct().collect()}
-    parts = []
-    for kind in dict.fromkeys(r.kind for i, r in enumerate(ranges) if i in used):
-        by_table: dict[str, list[str]] = {}
-        for i, r in enumerate(ranges):
-            if i in used and r.kind == kind:
-                by_table.setdefault(r.table, []).append(f"struct({i} AS id, {_value(r)} AS value)")
-        values = _union([tables[t].selectExpr(f"inline(array({', '.join(v)}))") for t, v in by_table.items()])
-        held = values.filter("value IS NOT NULL").distinct().groupBy("value").agg(F.sort_array(F.collect_list("id")).alias("held"))
-        parts.append(held.groupBy("held").agg(F.count(F.lit(1)).alias("n")))
-    if not parts:
-        return spark.createDataFrame([], _EDGE_TYPE)
-    counts = _union(parts).select("n", "held", F.explode("held").alias("child")).join(pairs, "child")
-    names = ["child_table", "child_column", "parent_table", "parent_column"]
-    matched = F.sum(F.when(F.array_contains("held", F.col("parent")), F.col("n")).otherwise(0))
-    return (
-        counts.groupBy(*names, "name_match")
-        .agg(F.sum("n").alias("n_values"), matched.alias("n_matched"))
-        .withColumn("coverage", F.col("n_matched") / F.col("n_values"))
-        .filter(F.col("coverage") >= min_coverage)
-        .select(*names, "n_values", "n_matched", "coverage", "name_match")
-    )
+    if sketch and min_coverage >= 1.0 and (used := _used(pairs)):
+        left = not_refuted(pairs, sketches(tables, _by_table(ranges, used, _hashed)))
+        path = f"{shared_folder(spark, 'pairs')}/pairs"
+        left.write.parquet(path)
+        pairs = spark.read.parquet(path)
+    return ranges, pairs
 
 
 def _sortable(end: int | str | None) -> str | None:
@@ -302,6 +426,12 @@ def _value(r: ColumnRange) -> str:
     return _compared(r.column, T.StringType()) if r.kind == "text" else quoted(r.column)
 
 
+def _hashed(r: ColumnRange) -> str:
+    """The value as a whole number or a text, the types that sketches take."""
+    form = {"date": "unix_date({})", "timestamp": "unix_micros(CAST({} AS timestamp))", "boolean": "CAST({} AS int)", "decimal": "CAST({} AS string)"}
+    return form.get(r.kind, "{}").format(_value(r))
+
+
 def fk_violations(
     child: DataFrame, child_keys: Sequence[str], parent: DataFrame, parent_keys: Sequence[str]
 ) -> DataFrame:
