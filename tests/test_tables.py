@@ -1,11 +1,15 @@
 """Reads, writes, catalog, keys and streams on small tables."""
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
 from checks.views import view
 from veilspark.functions import names as N
 from veilspark.operators import catalog as C
+from veilspark.operators import composites as M
 from veilspark.operators import keys as K
 from veilspark.operators import querylog as Q
 from veilspark.plans import tables as P
@@ -381,3 +385,107 @@ def test_footer_jobs_on_long_texts_nulls_and_empty_files(spark, tmp_path):
         ("plain", "k", "texts")
     ]
     assert rows_of(K.related_tables(edges, "plain")) == [("referenced_by", "texts"), ("references", "texts")]
+
+
+# --- keys of several columns --------------------------------------------------------------------
+def brute_keys(rows, columns, widths=(2, 3)):
+    """The least groups of columns whose filled tuples differ, by trying all."""
+    found = []
+    for width in (1, *widths):
+        for group in combinations(range(len(columns)), width):
+            tuples = [t for t in (tuple(r[i] for i in group) for r in rows) if None not in t]
+            smaller = any(set(k) <= set(group) for k in found)
+            if tuples and len(set(tuples)) == len(tuples) and not smaller:
+                found.append(group)
+    return {",".join(columns[i] for i in g) for g in found if len(g) > 1}
+
+
+def test_composite_keys_against_brute_force(spark):
+    rng = random.Random(6)
+    for n, width, most in ((60, 6, 9), (200, 5, 30), (1, 3, 2), (40, 4, 4)):
+        columns = [f"c{i}" for i in range(width - 1)] + ["odd `name`"]
+        rows = [tuple(rng.randrange(most) if rng.random() < 0.95 else None for _ in columns) for _ in range(n)]
+        df = spark.createDataFrame(rows, ", ".join(f"`{c.replace('`', '``')}` int" for c in columns))
+        got = {r.columns for r in M.composite_keys({"t": df}).collect()}
+        assert got == brute_keys(rows, columns)
+    assert M.composite_keys({"t": df.filter("false")}).collect() == []
+
+
+def test_composite_keys_of_a_wide_table_end(spark):
+    """30 columns: what cannot be a key is refused by bounds, not by a pass each."""
+    columns = [f"id % {2 + i % 3} AS small{i}" for i in range(28)]
+    df = spark.range(5000).selectExpr("id div 50 AS a", "id % 50 AS b", *columns)
+    assert {r.columns for r in M.composite_keys({"t": df}).collect()} == {"a,b"}
+    lattice = M._Lattice(df, K.column_ranges({"t": df}), set())
+    assert lattice.keys(3) == [(("a", "b"), 5000)] and lattice.sketched < 30 + 28 * 27 // 2
+
+
+def test_composite_foreign_keys(spark):
+    parent = spark.createDataFrame([(i, j, f"{i}-{j}") for i in range(20) for j in range(10)], "a long, b int, c string")
+    rows = [(i % 20, i % 10, i % 7, "x") for i in range(0, 60, 3)] + [(3, None, 1, "x"), (None, 4, 1, "x")]
+    child = spark.createDataFrame(rows, "k int, l long, m int, t string")
+    edges = M.composite_fks({"p": parent, "c": child}, parents=[("p", ["a", "b"])])
+    got = {(r.child_table, r.child_columns): (r.n_values, r.n_matched) for r in edges.collect()}
+    pairs = {("k", "l"), ("k", "m"), ("l", "m"), ("m", "l"), ("l", "k"), ("m", "k")}
+    at = {"k": 0, "l": 1, "m": 2}
+    want = {}
+    for x, y in pairs:
+        tuples = {(r[at[x]], r[at[y]]) for r in rows if None not in (r[at[x]], r[at[y]])}
+        if all(0 <= p < 20 and 0 <= q < 10 for p, q in tuples):
+            want["c", f"{x},{y}"] = (len(tuples), len(tuples))
+    assert got == want
+    # part of the tuples only: each column alone is inside, together they are not
+    half = {"p": parent.filter("(a + b) % 2 = 0"), "c": child}
+    assert M.composite_fks(half, parents=[("p", ["a", "b"])]).filter("child_columns = 'k,m'").collect() == []
+    some = M.composite_fks(half, min_coverage=0.3, parents=[("p", ["a", "b"])]).filter("child_columns = 'k,m'").first()
+    assert 0.3 <= some.coverage < 1 and some.n_matched < some.n_values
+    assert M.composite_fks({"c": child.select("t")}).collect() == []
+
+
+def test_candidate_pairs_are_the_ones_that_ranges_allow(spark):
+    """The join over blocks of bins gives each pair once, and the same pairs as a loop; 5,000 columns end soon."""
+    rng = random.Random(9)
+
+    def made(n, spread):
+        out = []
+        for i in range(n):
+            kind = rng.choice(["int", "int", "text"])
+            low, high = sorted(rng.randrange(spread) for _ in range(2))
+            ends = (low, high) if kind == "int" else (f"w{low:05d}", f"w{high:05d}")
+            out.append((K.ColumnRange(f"t{i % 9}", f"c{i}", kind, 10, 10, *ends), i % 5 == 0))
+        return out
+
+    def pairs(columns):
+        levels, bins = K.range_bins([r for r, _ in columns])
+        rows = [(i, r.table, r.column, r.kind, K._sortable(r.low), K._sortable(r.high), r.column, key, *bins[i]) for i, (r, key) in enumerate(columns)]
+        return levels, K.candidate_pairs(spark.createDataFrame(rows, K._COLUMN_TYPE), levels).selectExpr("c.id AS c", "p.id AS p")
+
+    for n, spread in ((300, 50), (40, 1000), (600, 10**4)):
+        columns = made(n, spread)
+        want = [
+            (i, j) for i, (c, _) in enumerate(columns) for j, (p, key) in enumerate(columns)
+            if key and i != j and c.kind == p.kind and p.low <= c.low and c.high <= p.high
+        ]
+        levels, got = pairs(columns)
+        assert sorted(map(tuple, got.collect())) == want and levels == min(6, (n // 32).bit_length())
+    # narrow ranges: few pairs, though the kinds are two
+    narrow = [(K.ColumnRange("t", f"c{i}", "int", 9, 9, 10 * (i // 2), 10 * (i // 2) + i % 2), i % 2 == 1) for i in range(5000)]
+    assert pairs(narrow)[1].count() == 2500
+
+
+def test_sketches_refute_no_true_pair_and_keep_columns_unread(spark):
+    n = 20_000
+    p = spark.range(n).selectExpr("id AS k", "id * 2 AS even", "concat('v', id) AS name")
+    c = spark.range(5000).selectExpr("id * 3 AS inside", "id * 2 + 1 AS odd", "concat('v', id) AS label", "concat('w', id) AS other")
+    tables = {"p": p, "c": c}
+    known = {("p", "k"), ("p", "even"), ("p", "name")}
+    ranges, pairs = K._pairs(tables, K.column_ranges(tables), known, 1.0)
+    left = {(r.child_column, r.parent_column) for r in pairs.collect()}
+    assert left == {("inside", "k"), ("odd", "k"), ("label", "name")}  # 'other' is outside by range, odd in even by sketch
+    edges = {(r.child_column, r.parent_column) for r in K.fk_discovery(tables, keys=sorted(known)).collect()}
+    assert edges == left
+    used = K._used(pairs)
+    read = {ranges[i].column for i in used}
+    assert "even" not in read and "other" not in read
+    plan = K._union_values(tables, K._by_table(ranges, used))._jdf.queryExecution().optimizedPlan().toString()
+    assert "even" not in plan and "'w'" not in plan
