@@ -29,7 +29,9 @@ NUMBERED_ROWS = 1_000_000  # groups numbered together
 CUT = """struct((1000000BD * CAST(n AS decimal(19, 0)) * n)
   div (CAST(heads[k] AS decimal(19, 0)) * tails[size(tails) - 1 - k]) AS score,
   k AS k, heads[k] AS l, tails[size(tails) - 1 - k] AS r)"""
-_FLUSH = 1 << 21  # joined occurrences that a task counts at a time
+_FLUSH = 1 << 20  # joined occurrences that a task counts at a time
+_SLICE = 1 << 20  # text bytes that a task works on at a time
+_PLACES = 1 << 19  # places that a task joins at a time; a longer document is taken whole
 
 
 class _Cutter:
@@ -73,7 +75,7 @@ def _word_counts(src: DataFrame, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(salt)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=_SLICE):
                 hashes, at, data, first, after = cutter(part)
                 if not len(hashes):
                     continue
@@ -121,8 +123,8 @@ class _Lookup:
 
     @staticmethod
     def of(groups: DataFrame) -> _Lookup:
-        found = groups.select("key", "gid").toPandas()
-        return _Lookup(found["key"].to_numpy(np.int64), found["gid"].to_numpy(np.int64))
+        found = groups.select("key", "gid").toArrow()
+        return _Lookup(found["key"].to_numpy(), found["gid"].to_numpy())
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -135,8 +137,19 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch of documents so that each piece has about ``_PLACES`` places."""
+    ends = np.cumsum(batch["groups"].value_lengths().to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _PLACES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All places of a batch of documents in a row, and where each document begins."""
+    """All places of some documents in a row, and where each document begins."""
     lists = batch["groups"]
     at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     return lists.flatten().to_numpy(), at
@@ -161,7 +174,7 @@ def _occurrences(src: DataFrame, salt: int, groups: DataFrame, total: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(salt)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=_SLICE):
                 hashes, at, data, first, after = cutter(part)
                 found = lookup.value(hashes) if lookup else hashes
                 solid = np.ones(len(found), bool)
@@ -205,12 +218,13 @@ def _joined_counts(occurrences: DataFrame, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": keys[i : i + (1 << 17)], "n": n[i : i + (1 << 17)]})
 
         for batch in batches:
-            keys = _joined(*_flat(batch), total)
-            held.append(keys[keys >= 0])
-            size += len(held[-1])
-            if size >= _FLUSH:
-                yield from flush()
-                held, size = [], 0
+            for part in _parts(batch):
+                keys = _joined(*_flat(part), total)
+                held.append(keys[keys >= 0])
+                size += len(held[-1])
+                if size >= _FLUSH:
+                    yield from flush()
+                    held, size = [], 0
         if size:
             yield from flush()
 
@@ -223,18 +237,18 @@ def _extended(occurrences: DataFrame, total: int, groups: DataFrame, found: int)
         rows = occurrences.withColumn("row_", F.monotonically_increasing_id())
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                values, at = _flat(batch)
+            for part in (part for batch in batches for part in _parts(batch)):
+                values, at = _flat(part)
                 keys = _joined(values, at, total)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys, mask=keys < 0))
-                yield pa.RecordBatch.from_arrays([batch["row_"], lists], names=["row_", "keys"])
+                yield pa.RecordBatch.from_arrays([part["row_"], lists], names=["row_", "keys"])
 
         return _semi_joined(written(rows.mapInArrow(keyed, "row_ bigint, keys array<bigint>"), "joined"), groups)
     lookup = occurrences.sparkSession.sparkContext.broadcast(_Lookup.of(groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, at = _flat(batch)
+        for part in (part for batch in batches for part in _parts(batch)):
+            values, at = _flat(part)
             keys = _joined(values, at, total)
             some = keys >= 0
             keys[some] = lookup.value(keys[some])
