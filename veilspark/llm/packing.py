@@ -28,7 +28,7 @@ from .common import SLICE_BYTES, col, id_field, slices, table, tokenizer_path, w
 
 SIZE = 1024  # tokens of a sequence
 END_ID = 2  # the token after each document
-BUCKET_ROWS = 100_000  # rows that are numbered together
+BUCKET_ROWS = 10_000  # rows that are numbered together
 
 
 class SumIndex:
