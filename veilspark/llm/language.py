@@ -22,6 +22,7 @@ TRAINING_DOCUMENTS = 400  # expected per language: the bound of the labelled sam
 ORDER = 3
 MODEL_CELLS = 100_000_000  # a larger model does not fit a task; lower ``order`` for more languages
 _BLOCK = 1 << 18  # bytes scored at a time
+_KEEP_SLICE = 1 << 19  # text bytes that are judged at a time where whole rows are kept
 _PAD = 10  # the byte that stands before a text
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -209,17 +210,21 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
 
 def keep_identified(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose language is known with a score of ``least``, with all columns as they are."""
+    """The rows of ``df`` whose language is known with a score of ``least``, with all columns as they are.
+
+    Only the texts go through Python, and one bit for each comes back."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, text_col):
-                lang, score = _predict(shared.value, piece[text_col])
-                keep = pa.compute.and_(pa.compute.not_equal(lang, "und"), pa.compute.greater_equal(score, least))
-                yield piece.filter(keep)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        kept = [pa.array([], pa.bool_())]
+        batch = pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])
+        for piece in slices(batch, limit=_KEEP_SLICE):
+            lang, score = _predict(shared.value, piece["text"])
+            kept.append(pa.compute.and_(pa.compute.not_equal(lang, "und"), pa.compute.greater_equal(score, least)))
+        return pa.concat_arrays(kept)
 
-    return df.mapInArrow(run, df.schema)
+    return df.filter(known(col(text_col).cast("string")))
 
 
 def learned(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
