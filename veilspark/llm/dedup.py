@@ -27,6 +27,7 @@ from .components import components
 
 BANDS, ROWS = 42, 6  # misses a pair of similarity 0.8 three times in a million
 BINS = BANDS * ROWS
+SLICE = 1 << 19  # text bytes that a task works on at a time
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -97,7 +98,7 @@ def _sketch_table(df: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 sets = shingle_sets(*utf8(piece["text"]), k, hasher)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
@@ -124,7 +125,7 @@ def _set_table(df: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE):
                 sets = shingle_sets(*utf8(piece["text"]), k, hasher)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
