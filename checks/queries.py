@@ -449,8 +449,7 @@ def name_vs_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def treat_stream(spark: SparkSession, folder: str) -> DataFrame:
     decisions = P.decide(view(spark, folder, "contacts"))
-    schema = scan_table(spark, "customer", folder).schema
-    customers = S.read_files(spark, folder, schema, name_filter="customer.parquet")
+    customers = S.read_table(spark, folder, "customer")
     contacts = spark.sql(CONTACTS.replace("FROM customer", "FROM {customer}"), customer=customers)
     out = shared_folder(spark, "stream")
     run = S.write_files(S.treat_stream(contacts, decisions), f"{out}/rows", f"{out}/checkpoint")

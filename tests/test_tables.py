@@ -489,3 +489,12 @@ def test_sketches_refute_no_true_pair_and_keep_columns_unread(spark):
     assert "even" not in read and "other" not in read
     plan = K._union_values(tables, K._by_table(ranges, used))._jdf.queryExecution().optimizedPlan().toString()
     assert "even" not in plan and "'w'" not in plan
+
+
+def test_stream_of_a_table_in_one_file_or_a_folder(spark, folder, tmp_path):
+    customers = scan_table(spark, "customer", folder)
+    customers.repartition(3).write.parquet(str(tmp_path / "in" / "customer.parquet"))
+    for place, out in ((folder, "a"), (str(tmp_path / "in"), "b")):
+        run = S.write_files(S.read_table(spark, place, "customer"), str(tmp_path / out), str(tmp_path / f"{out}-log"))
+        run.awaitTermination()
+        assert rows_of(spark.read.parquet(str(tmp_path / out))) == rows_of(customers)

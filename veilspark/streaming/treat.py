@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.texts import anonymise_text
 from ..plans.tables import TableDecisions, treat_table
+from ..sources.tables import scan_table, table_path
 
 
 def read_files(
@@ -25,6 +26,15 @@ def read_files(
     return reader.parquet(folder)
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of a Parquet table below ``folder`` as a stream, be the table one file or a folder of files."""
+    schema, place = scan_table(spark, name, folder).schema, table_path(folder, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return read_files(spark, place, schema)
+    return read_files(spark, folder, schema, name_filter=path.getName())
+
+
 def treat_stream(stream: DataFrame, decisions: TableDecisions) -> DataFrame:
     """The batch projection on a stream: no state, so no watermark and no growing store."""
     return treat_table(stream, decisions)
