@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from checks.compare import compare
-from veilspark.llm import packing, phrases, runs
+from veilspark.llm import packing, phrases, quality, runs, weak
 from veilspark.llm.common import table, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id int, n int, runs int, lang_ int"
@@ -313,3 +313,44 @@ def test_hot_scores_are_exact(spark):
     made = spark.sql(f"SELECT CAST({big}L AS bigint) AS n, array(CAST({big + 7}L AS bigint)) AS heads, array(CAST({big + 9}L AS bigint)) AS tails")
     got = made.withColumn("k", phrases.F.lit(0)).selectExpr(f"{phrases.CUT}.score AS s").first().s
     assert got == 10**6 * big * big // ((big + 7) * (big + 9))
+
+
+# --- 2 ------------------------------------------------------------------------------------------
+def plain_posteriors(counts, patterns, rounds=50):
+    """Expectation-maximisation written out with products of probabilities instead of logarithms."""
+    belief = {p: 0.05 if "-" in p else 0.95 if "+" in p else 0.5 for p in counts}
+    for _ in range(rounds):
+        good = 1 + sum(n * belief[p] for p, n in counts.items())
+        bad = 1 + sum(n * (1 - belief[p]) for p, n in counts.items())
+        rate = {}
+        for i in range(len(next(iter(counts)))):
+            for mark, weights in (("+", (3.0, 1.0)), ("-", (1.0, 3.0))):
+                rate[i, mark] = [
+                    weights[0] + sum(n * belief[p] for p, n in counts.items() if p[i] == mark),
+                    weights[1] + sum(n * (1 - belief[p]) for p, n in counts.items() if p[i] == mark),
+                ]
+
+        def posterior(p):
+            x, y = good, bad
+            for i, mark in enumerate(p):
+                if mark != "0":
+                    x *= rate[i, mark][0] / (rate[i, "+"][0] + rate[i, "-"][0])
+                    y *= rate[i, mark][1] / (rate[i, "+"][1] + rate[i, "-"][1])
+            return x / (x + y)
+
+        belief = {p: posterior(p) for p in counts}
+    return {p: posterior(p) for p in patterns}
+
+
+def test_weak_labels_against_plain_estimates_and_unseen_patterns(spark, folder):
+    docs = table(spark, folder, "documents")
+    some = docs.orderBy("doc_id").limit(5)
+    model = quality.train(some)
+    scored = quality.score_quality(docs, model).collect()  # nearly all patterns are new to the model
+    counts = Counter(r.votes for r in quality.score_quality(some, model).collect())
+    assert len(scored) == docs.count() and {r.votes for r in scored} - set(counts)
+    want = plain_posteriors(counts, {r.votes for r in scored})
+    assert all(abs(r.weak_label - want[r.votes]) < 1e-9 for r in scored)
+    empty = quality.train(docs.filter("false"))
+    assert {r.score for r in quality.score_quality(some, empty).collect()} == {0.0}
+    assert weak.reliabilities({}, also=[("", "+")]) == {("", "+"): weak.majority("+")}

@@ -8,6 +8,7 @@ pattern is its weak label. The posteriors of a bounded sample train a hashed lin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS) -> tuple:
-    """(posterior by vote pattern, weights, bias). Patterns are counted over all rows; the scorer learns from
-    about ``documents`` of them, chosen by a hash."""
+    """(posterior by vote pattern, weights, bias). Patterns are counted over all rows, and those that no row has get the
+    posterior that the estimated rates give; the scorer learns from about ``documents`` of them, chosen by a hash."""
     src = _texts(df, id_col, text_col).withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
     share = min(1.0, documents / max(1, df.count()))
 
@@ -85,7 +86,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", documen
 
     labelled = written(src.mapInArrow(label, "votes string, ids array<int>, vals array<float>"), "votes")
     counts = {("", r["votes"]): r["count"] for r in labelled.groupBy("votes").count().collect()}  # 3**9 at most
-    post = {k[1]: p for k, p in reliabilities(counts, _first_belief).items()}
+    every = (("", "".join(p)) for p in product("+-0", repeat=len(LABELLERS)))
+    post = {k[1]: p for k, p in reliabilities(counts, _first_belief, also=every).items()}
     # rows come in any order; sums of floats should not
     rows = labelled.filter("ids IS NOT NULL AND size(ids) > 0").orderBy("votes", F.xxhash64("ids", "vals")).toArrow()
     if not rows.num_rows:
@@ -100,7 +102,7 @@ def score_quality(
     """One row per input row: id, votes, weak_label (posterior of the votes), score (of the linear scorer), kept.
 
     ``kept`` means a score of ``least`` or more. Texts without words, null ones included, score 0 and are not kept.
-    Repeated rows score alike; other columns are not read.
+    Repeated rows score alike; other columns are not read. A vote pattern that no training row had is scored like others.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
