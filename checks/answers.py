@@ -409,6 +409,50 @@ def _profile() -> str:
         AND h.lang IS NOT DISTINCT FROM t.lang"""
 
 
+def _entity_values() -> str:
+    source = "(SELECT 'documents' AS src, CAST(doc_id AS string) AS id, text FROM documents)"
+    return f"""WITH raw AS MATERIALIZED ({duck.all_spans(source)}), best AS ({duck.merged('raw')})
+      SELECT d.source, d.lang, p.entity, CAST(grouping(d.source, d.lang) AS INTEGER) AS level, count(DISTINCT p.match) AS n_distinct
+      FROM best p JOIN documents d ON CAST(d.doc_id AS string) = p.id
+      GROUP BY GROUPING SETS ((d.source, d.lang, entity), (d.source, entity), (d.lang, entity), (entity))"""
+
+
+def _column_statistics() -> str:
+    def end(f: str, c: str, kind: str, wanted: str) -> str:
+        whole, real = kind in ("int", "bigint"), kind in ("double", "float")
+        is_ = "whole" if whole else "real" if real else "none" if kind.startswith("array") else "text"
+        to = {"whole": "BIGINT", "real": "DOUBLE", "text": "VARCHAR"}[wanted]
+        plus = " + 0" if wanted == "real" else ""
+        return f"CAST({f}({c}) AS {to}){plus}" if is_ == wanted else f"CAST(NULL AS {to})"
+
+    return _union(
+        f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{kind}' AS data_type, count(*) AS n_rows,"
+        f" count(*) - count({c}) AS n_nulls, "
+        + ", ".join(
+            f"{end(f, c, kind, e)} AS {side}_{e}" for e in ("whole", "real", "text") for side, f in (("low", "min"), ("high", "max"))
+        )
+        + f" FROM {t}"
+        for t in TABLES
+        for i, (c, kind) in enumerate(COLUMNS[t], 1)
+    )
+
+
+def _related_paths() -> str:
+    def walk(name: str, near: str, far: str) -> str:
+        return f"""{name}(table_name, depth, path) AS (SELECT 'orders', 0, ['orders'] UNION ALL
+          SELECT l.{far}, s.depth + 1, list_append(s.path, l.{far}) FROM {name} s JOIN links l ON l.{near} = s.table_name
+          WHERE s.depth < 3 AND NOT list_contains(s.path, l.{far}))"""
+
+    def best(relation: str, name: str) -> str:
+        return f"""SELECT '{relation}' AS relation, table_name, depth, array_to_string(path, ' > ') AS path FROM (SELECT *, row_number()
+          OVER (PARTITION BY table_name ORDER BY depth, path) AS nth FROM {name} WHERE depth > 0) WHERE nth = 1"""
+
+    links = "links AS (SELECT DISTINCT child_table, parent_table FROM edges WHERE name_match AND child_table <> parent_table)"
+    tail = f", {links}, {walk('up', 'child_table', 'parent_table')}, {walk('down', 'parent_table', 'child_table')} "
+    tail += f"{best('references', 'up')} UNION ALL {best('referenced_by', 'down')}"
+    return _fk(TABLES, tail).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # --- treatment ----------------------------------------------------------------------------------
 def _contacts(email: str, card: str) -> str:
     return with_views(f"SELECT cont_id, {email} AS cont_email, {card} AS ref_card FROM contacts")
@@ -580,6 +624,8 @@ ANSWERS: dict[str, str] = {
         " (SELECT cont_email FROM contacts ORDER BY cont_id LIMIT 1)"
     ),
     "table_sample": with_views("SELECT * FROM contacts ORDER BY cont_id LIMIT 20"),
+    "sample_groups": "SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang"
+    " ORDER BY md5('checks' || chr(31) || CAST(doc_id AS VARCHAR)), doc_id) <= 5",
     "write_insert": "SELECT 'insert' AS op, count(*) AS rows_affected, false AS committed FROM orders"
     " WHERE o_orderstatus = 'P'",
     "write_update": "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < 100 THEN 'X' ELSE o_orderstatus END"
@@ -620,6 +666,8 @@ ANSWERS: dict[str, str] = {
         " WHERE child_table = 'orders' AND name_match UNION SELECT 'referenced_by', child_table FROM edges"
         " WHERE parent_table = 'orders' AND name_match",
     ),
+    "related_paths": _related_paths(),
+    "column_statistics": _column_statistics(),
     "is_pii_column": _cases(f"{_pii(NAME)} AS is_pii"),
     "column_entity": with_views(
         f"SELECT case_id, column_name, column_entity FROM all_cases JOIN {_entity_join()} USING (case_id)",
@@ -657,6 +705,7 @@ ANSWERS: dict[str, str] = {
     "entity_filter": _entity_filter(),
     "min_confidence": _analyze(0.1),
     "entity_profile": _profile(),
+    "entity_values": _entity_values(),
     "treat_redact": _each("'<redacted: {e}>'"),
     "treat_hash": _contacts(_hashed("cont_email"), _hashed("ref_card")),
     "treat_mask": _contacts(_mask("cont_email"), _mask("ref_card")),
@@ -697,6 +746,10 @@ ANSWERS: dict[str, str] = {
     "static_policy": _report(denied=("cont_email",), forced=("ref_card",)),
     "name_vs_value": _report(strong=True),
     "treat_stream": _treated_rows(),
+    "treat_stream_running": with_views(
+        "SELECT cont_id, CASE WHEN cont_id % 3 = 0 THEN 'none' WHEN cont_id % 3 = 1 AND cont_email IS NULL THEN NULL"
+        " ELSE '<redacted: EMAIL_ADDRESS>' END AS remark FROM contacts"
+    ),
     "token_join": with_views(
         f"SELECT c_nationkey, c_mktsegment, count(*) AS n_contacts, min(h) AS first_token FROM (SELECT cont_id,"
         f" {_hashed('cont_email')} AS h FROM contacts) JOIN customer ON c_custkey = cont_id GROUP BY ALL"

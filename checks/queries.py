@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,11 @@ from veilspark.operators import composites as M
 from veilspark.operators import detect as D
 from veilspark.operators import keys as K
 from veilspark.operators import querylog as Q
+from veilspark.operators import statistics as ST
 from veilspark.plans import reads, tables as P
 from veilspark.session import shared_folder
 from veilspark.sources import guard, writes
-from veilspark.sources.tables import footer_tables, scan_table, scan_tables
+from veilspark.sources.tables import footer_tables, per_table, scan_table, scan_tables, table_path
 from veilspark.streaming import treat as S
 
 from .views import CONTACT_VALUES, CONTACTS, frame, view
@@ -130,6 +131,10 @@ def table_sample(spark: SparkSession, folder: str) -> DataFrame:
     return P.table_sample(view(spark, folder, "contacts"), ["cont_id"])
 
 
+def sample_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return P.sample_groups(frame(spark, folder, "documents"), ["source", "lang"], ["doc_id"], 5, "checks")
+
+
 def _orders_changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     orders = frame(spark, folder, "orders")
     fresh = orders.filter("o_orderstatus = 'P'")
@@ -255,6 +260,26 @@ def related_tables(spark: SparkSession, folder: str) -> DataFrame:
     return K.related_tables(edges, "orders")
 
 
+def related_paths(spark: SparkSession, folder: str) -> DataFrame:
+    edges = K.fk_discovery(footer_tables(spark, folder, TABLES)).filter("name_match")
+    return K.related_paths(edges, "orders", 3)
+
+
+def column_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Refreshed twice; the second time finds nothing to read."""
+    state = shared_folder(spark, "statistics")
+
+    def one(name: str) -> DataFrame:
+        path = table_path(folder, name)
+        ST.refresh_statistics(spark, path, f"{state}/{name}")
+        if again := ST.refresh_statistics(spark, path, f"{state}/{name}"):
+            raise AssertionError(f"read again: {again}")
+        rows = ST.merged_statistics(spark, path, f"{state}/{name}")
+        return rows.drop("n_distinct").withColumn("table_name", F.lit(name))
+
+    return reduce(DataFrame.unionByName, per_table(spark, one, TABLES))
+
+
 # --- column names and statements ----------------------------------------------------------------
 def _cases(spark: SparkSession, folder: str) -> DataFrame:
     """The made cases, and under negative numbers every column of the tables."""
@@ -322,6 +347,11 @@ def entity_profile(spark: SparkSession, folder: str) -> DataFrame:
     return D.entity_profile(documents, "text", ["source", "lang"], cube=True)
 
 
+def entity_values(spark: SparkSession, folder: str) -> DataFrame:
+    documents = scan_table(spark, "documents", folder, ["text", "source", "lang"])
+    return D.entity_values(documents, "text", ["source", "lang"], cube=True)
+
+
 # --- treatment ----------------------------------------------------------------------------------
 def _treated_contacts(treatment: R.Treatment, spark: SparkSession, folder: str) -> DataFrame:
     contacts = view(spark, folder, "contacts")
@@ -457,6 +487,18 @@ def treat_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
+def treat_stream_running(spark: SparkSession, folder: str) -> DataFrame:
+    """Three files, a batch each: only the second one has personal data in its remarks."""
+    place = shared_folder(spark, "running")
+    remark = F.expr("CASE WHEN cont_id % 3 = 1 THEN cont_email ELSE 'none' END").alias("remark")
+    rows = view(spark, folder, "contacts").select("cont_id", remark)
+    for part in range(3):
+        rows.filter(F.col("cont_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = S.read_files(spark, f"{place}/in", rows.schema, options={"maxFilesPerTrigger": "1"})
+    S.running_writer(stream, f"{place}/out", f"{place}/checkpoint", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("cont_id", "remark")
+
+
 def token_join(spark: SparkSession, folder: str) -> DataFrame:
     hashed = R.TreatmentMap(R.hash_with(HASH_KEY))
     contacts = view(spark, folder, "contacts").select("cont_id", "cont_email")
@@ -501,6 +543,7 @@ QUERIES: dict[str, Query] = {
     ),
     "token_roundtrip": token_roundtrip,
     "table_sample": table_sample,
+    "sample_groups": sample_groups,
     "write_insert": write_insert,
     "write_update": write_update,
     "write_delete": write_delete,
@@ -520,6 +563,8 @@ QUERIES: dict[str, Query] = {
     "composite_fks": composite_fks,
     "fk_violations": fk_violations,
     "related_tables": related_tables,
+    "related_paths": related_paths,
+    "column_statistics": column_statistics,
     "is_pii_column": lambda s, d: _classified(s, d, "is_pii", typed=False),
     "column_entity": lambda s, d: _classified(s, d, "column_entity", typed=False),
     "name_columns": lambda s, d: _classified(s, d, "is_person", typed=False),
@@ -538,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "entity_filter": entity_filter,
     "min_confidence": min_confidence,
     "entity_profile": entity_profile,
+    "entity_values": entity_values,
     "treat_redact": partial(_treated_contacts, R.redact()),
     "treat_hash": partial(_treated_contacts, R.hash_with(HASH_KEY)),
     "treat_mask": partial(_treated_contacts, R.mask()),
@@ -561,5 +607,6 @@ QUERIES: dict[str, Query] = {
     "static_policy": static_policy,
     "name_vs_value": name_vs_value,
     "treat_stream": treat_stream,
+    "treat_stream_running": treat_stream_running,
     "token_join": token_join,
 }

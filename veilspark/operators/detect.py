@@ -109,6 +109,38 @@ def entity_profile(
     )
 
 
+def entity_values(
+    df: DataFrame,
+    text: str,
+    by: Sequence[str],
+    detectors: Iterable[Detector] | None = None,
+    min_score: float = P.MIN_SCORE,
+    cube: bool = False,
+    sketch: bool = False,
+) -> DataFrame:
+    """Distinct values found, per group and entity: the ``by`` columns, level, entity, n_distinct.
+
+    Equal values of a group meet in the task first, as digests, and once more in one shuffle. Only what is left is repeated
+    for the levels of a ``cube``, so rows and repeated values are not. ``level`` has a bit for each ``by`` column (the last
+    one lowest) that the row sums over; it is 0 without ``cube``. With ``sketch`` a group and entity is one HLL sketch of
+    some kilobytes, levels merge sketches, and the count is an estimate, some percent off.
+    """
+    hits = df.select(*by, F.inline(analyze(text, detectors, min_score)))
+    found = hits.select(*by, "entity", F.unhex(F.sha2("match", 256)).alias("value_"))
+    if sketch:
+        finest = found.groupBy(*by, "entity").agg(F.hll_sketch_agg("value_").alias("value_"))
+        count = F.hll_sketch_estimate(F.hll_union_agg("value_"))
+    else:
+        finest = found.distinct()
+        count = F.count(F.lit(1))
+    top = 2 ** len(by) - 1 if cube else 0
+    levels = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    for i, c in enumerate(reversed(list(by))):
+        levels = levels.withColumn(c, F.when(F.col("level").bitwiseAND(1 << i) == 0, F.col(c)))
+    levels = levels if sketch or not cube else levels.distinct()
+    return levels.groupBy(*by, "level", "entity").agg(count.alias("n_distinct"))
+
+
 def column_hits(
     df: DataFrame,
     columns: Sequence[str],
@@ -169,14 +201,18 @@ def analyze_columns(
         settled = {r["column_name"] for r in known.select("column_name").collect()}  # columns at most
         rest = [c for c in columns if c not in settled]
         return known.unionByName(analyze_columns(df, rest, detectors, min_score, boost)) if rest else known
+    return judge_hits(column_hits(df, columns, detectors), min_score, boost)
+
+
+def judge_hits(hits: DataFrame, min_score: float = P.MIN_SCORE, boost: bool = True) -> DataFrame:
+    """The rows of ``analyze_columns`` from those of ``column_hits``, or from sums of them over parts of a table."""
     per_column = Window.partitionBy("column_name")
     boosted: Column = F.col("score")
     if boost:
         often = F.col("hits") >= F.floor(F.col("n_values") / 2)
         boosted = F.when(often, F.greatest("score", F.lit(P.BOOSTED))).otherwise(F.col("score"))
     return (
-        column_hits(df, columns, detectors)
-        .withColumn("n_values", F.sum("heads").over(per_column))
+        hits.withColumn("n_values", F.sum("heads").over(per_column))
         .filter(F.col("entity").isNotNull())
         .withColumn("score", boosted)
         .filter((F.col("score") >= min_score) & F.col("lead").isNotNull())

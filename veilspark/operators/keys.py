@@ -465,3 +465,32 @@ def related_tables(edges: DataFrame, table: str) -> DataFrame:
         F.lit("referenced_by").alias("relation"), F.col("child_table").alias("table_name")
     )
     return out.unionByName(back).distinct()
+
+
+def related_paths(edges: DataFrame, table: str, depth: int = 3) -> DataFrame:
+    """Tables within ``depth`` references of the given one, up or down: relation, table_name, depth, path.
+
+    ``path`` is a shortest way, the least one by names where there are several. Each step joins the tables reached last with the
+    pairs of tables and leaves out what was reached before, so cycles end and a table is extended once; the number
+    of ways does not matter. The pairs are written once, so that a costly plan behind ``edges`` runs once.
+    """
+    spark = edges.sparkSession
+    place = f"{shared_folder(spark, 'links')}/links"
+    edges.select("child_table", "parent_table").filter("child_table <> parent_table").distinct().write.parquet(place)
+    links = spark.read.parquet(place)
+
+    def walk(relation: str, near: str, far: str) -> DataFrame:
+        steps = links.select(F.col(near).alias("near"), F.col(far).alias("far"))
+        last = spark.range(1).select(F.lit(table).alias("table_name"), F.array(F.lit(table)).alias("path"))
+        seen = last.withColumn("depth", F.lit(0))
+        for step in range(1, depth + 1):
+            reached = last.join(steps, F.col("table_name") == F.col("near")).select(
+                F.col("far").alias("table_name"), F.concat("path", F.array("far")).alias("path")
+            )
+            reached = reached.groupBy("table_name").agg(F.min("path").alias("path"))
+            last = reached.join(seen.select("table_name"), "table_name", "left_anti")
+            seen = seen.unionByName(last.withColumn("depth", F.lit(step)))
+        path = F.array_join("path", " > ").alias("path")
+        return seen.filter("depth > 0").select(F.lit(relation).alias("relation"), "table_name", "depth", path)
+
+    return walk("references", "child_table", "parent_table").unionByName(walk("referenced_by", "parent_table", "child_table"))

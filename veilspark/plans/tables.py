@@ -7,11 +7,11 @@ projection serves a stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from ..functions.detectors import Detector
 from ..functions.texts import anonymise_value
 from ..functions.treatments import ACCESS_DENIED, BINARY_REMOVED, NONE, STRIPPED, TreatmentMap
 from ..operators.detect import analyze_columns
+from ..sources.tables import quoted
 
 SAMPLE_ROWS = 20  # fixed value: rows of a table sample
 
@@ -114,6 +115,20 @@ def table_sample(df: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) -
     return df.orderBy(*order_by).limit(n)
 
 
+def sample_groups(df: DataFrame, by: Sequence[str], keys: Sequence[str], n: int = SAMPLE_ROWS, seed: str = "") -> DataFrame:
+    """``n`` rows of each group (all of a smaller one), those with the least digests of seed and keys: repeatable, spread evenly.
+
+    Only group and key columns are read to choose. Each task keeps the least ``n`` of every group before the shuffle, so a
+    group with a third of all rows sends ``n`` rows a task. The chosen keys then pick the rows by a semi-join. Nulls are a
+    group of their own. Keys must be unique; rows with a null in a key are not sampled.
+    """
+    digest = F.md5(F.concat_ws("\x1f", F.lit(seed), *[F.col(quoted(k)).cast("string") for k in keys]).cast("binary"))
+    narrow = df.select(*[F.col(quoted(c)) for c in dict.fromkeys([*by, *keys])]).dropna(subset=[quoted(k) for k in keys])
+    order = Window.partitionBy(*[F.col(quoted(b)) for b in by]).orderBy("digest_", *[F.col(quoted(k)) for k in keys])
+    first = narrow.withColumn("digest_", digest).withColumn("nth_", F.row_number().over(order)).filter(F.col("nth_") <= n)
+    return df.join(first.select(*[F.col(quoted(k)) for k in keys]), list(keys), "left_semi")
+
+
 def decide(
     df: DataFrame,
     hints: Mapping[str, str] | None = None,
@@ -125,6 +140,7 @@ def decide(
     min_score: float = P.MIN_SCORE,
     use_names: bool = True,
     also_named: Mapping[str, Sequence[str]] | None = None,
+    scan: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> TableDecisions:
     """Decide each column by standing policy, then scan policy, then name, then values.
 
@@ -132,7 +148,8 @@ def decide(
     ``hints`` gives scan policies; a column missing there is judged by its own name and type. ``also_named`` gives
     further names under which a column is judged, such as those of the columns it was selected from. A column whose
     name says what it holds is not read; ``use_names=False`` scans it nevertheless, and the name then stands unless
-    the values score higher. Nested columns are scanned as JSON text.
+    the values score higher. Nested columns are scanned as JSON text. ``scan`` takes the place of ``analyze_columns`` for
+    the columns to be read, such as to count in what was seen before.
     """
     treatments = treatments or TreatmentMap()
     policies, hints = policies or {}, hints or {}
@@ -159,7 +176,10 @@ def decide(
         if sample is not None:
             keys = list(order_by or df.columns[:1])
             rows = table_sample(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *to_scan])]), keys, sample)
-        hits = analyze_columns(with_json_text(rows, to_scan), to_scan, detectors, min_score, boost=use_names)
+        if scan is None:
+            hits = analyze_columns(with_json_text(rows, to_scan), to_scan, detectors, min_score, boost=use_names)
+        else:
+            hits = scan(with_json_text(rows, to_scan), to_scan)
         # columns x entities rows at most
         for r in hits.orderBy("column_name", "rank").collect():
             found.setdefault(r.column_name, []).append(r)
