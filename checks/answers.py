@@ -393,6 +393,11 @@ def _analyze_column() -> str:
     )
 
 
+def _detect_batches() -> str:
+    own = duck.spans("corpus", r"\bGiven[0-9]{2,}", "GIVEN_NAME", "GivenNameBatches")
+    return with_views(f"SELECT {SPAN_COLUMNS} FROM ({own})")
+
+
 def _profile() -> str:
     source = "(SELECT 'documents' AS src, CAST(doc_id AS string) AS id, text FROM documents)"
     return f"""WITH raw AS MATERIALIZED ({duck.all_spans(source)}), best AS ({duck.merged('raw')}),
@@ -703,6 +708,7 @@ ANSWERS: dict[str, str] = {
         f"vals AS ({_contact_values([c for c in CONTACT_VALUES if c.startswith('ref_')])}), " + _column_hits("vals"),
     ),
     "entity_filter": _entity_filter(),
+    "detect_batches": _detect_batches(),
     "min_confidence": _analyze(0.1),
     "entity_profile": _profile(),
     "entity_values": _entity_values(),
@@ -755,3 +761,5 @@ ANSWERS: dict[str, str] = {
         f" {_hashed('cont_email')} AS h FROM contacts) JOIN customer ON c_custkey = cont_id GROUP BY ALL"
     ),
 }
+# the same results by other means
+ANSWERS |= {"column_entity_dictionary": ANSWERS["column_entity"], "treat_custom_batches": ANSWERS["treat_custom"]}

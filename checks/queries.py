@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -295,6 +296,10 @@ def _classified(spark: SparkSession, folder: str, *columns: str, typed: bool = T
     return classes.select("case_id", "column_name", *columns)
 
 
+def column_entity_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return N.dictionary_entities(_cases(spark, folder), N.entity_dictionary(spark)).select("case_id", "column_name", "column_entity")
+
+
 def address_columns(spark: SparkSession, folder: str) -> DataFrame:
     cases = _cases(spark, folder)
     strict = N.is_address_column("column_name", strict=True)
@@ -333,6 +338,19 @@ def entity_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(D.detect(corpus(spark, folder), ["src", "id"], "text", detectors=chosen))
 
 
+def _given_names(texts):
+    """A user's recognizer: hits of a batch of texts, in characters."""
+    pattern = re.compile(r"(?<![0-9A-Za-z_])Given[0-9]{2,}")
+    return [[(m.start(), m.end(), 0.85) for m in pattern.finditer(t)] for t in texts]
+
+
+def detect_batches(spark: SparkSession, folder: str) -> DataFrame:
+    hits = D.detect_batches(
+        corpus(spark, folder), ["src", "id"], "text", _given_names, "GIVEN_NAME", "GivenNameBatches", lambda t: t.contains("Given")
+    )
+    return _spans(hits)
+
+
 def analyze_column(spark: SparkSession, folder: str) -> DataFrame:
     contacts = view(spark, folder, "contacts")
     return D.analyze_columns(contacts, CONTACT_VALUES)
@@ -399,6 +417,14 @@ def treat_custom(spark: SparkSession, folder: str) -> DataFrame:
     return _treated_contacts(R.custom(_initials), spark, folder)
 
 
+def _initials_of_batch(values, entities):
+    return entities.str.lower() + ":" + values.str.slice(0, 2).str.upper()
+
+
+def treat_custom_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return _treated_contacts(R.custom_batches(_initials_of_batch), spark, folder)
+
+
 def _anonymised(spark: SparkSession, folder: str, **options) -> DataFrame:
     treated = corpus(spark, folder).withColumn("t", X.anonymise_text("text", **options))
     return treated.select("src", "id", "t.text", "t.report.treatment", "t.report.truncated_at")
@@ -567,6 +593,7 @@ QUERIES: dict[str, Query] = {
     "column_statistics": column_statistics,
     "is_pii_column": lambda s, d: _classified(s, d, "is_pii", typed=False),
     "column_entity": lambda s, d: _classified(s, d, "column_entity", typed=False),
+    "column_entity_dictionary": column_entity_dictionary,
     "name_columns": lambda s, d: _classified(s, d, "is_person", typed=False),
     "address_columns": address_columns,
     "dob_columns": lambda s, d: _classified(s, d, "is_birth", typed=False),
@@ -581,6 +608,7 @@ QUERIES: dict[str, Query] = {
     "analyze_column": analyze_column,
     "analyze_column_named": analyze_column_named,
     "entity_filter": entity_filter,
+    "detect_batches": detect_batches,
     "min_confidence": min_confidence,
     "entity_profile": entity_profile,
     "entity_values": entity_values,
@@ -591,6 +619,7 @@ QUERIES: dict[str, Query] = {
     "detokenise": detokenise,
     "treat_replace": partial(_treated_contacts, R.replace()),
     "treat_custom": treat_custom,
+    "treat_custom_batches": treat_custom_batches,
     "anonymise_text": lambda s, d: _anonymised(s, d, mode=SAFE),
     "anonymise_text_reference": lambda s, d: _anonymised(s, d, mode=REFERENCE),
     "anonymise_value": anonymise_value,

@@ -5,7 +5,7 @@ A lake can hold millions of columns, so these run as one projection over a catal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: endings of personal-data column names ---------------------------------------
@@ -106,6 +106,30 @@ def column_entity(name: str) -> str:
     return f"CASE {cases} ELSE '' END"
 
 
+def entity_dictionary(spark: SparkSession) -> DataFrame:
+    """The built-in endings of column names as a table (ending, entity), to be extended or replaced."""
+    rows = [(word, entity) for entity, words in ENTITY_NAMES.items() for word in words]
+    return spark.createDataFrame(rows, "ending string, entity string")
+
+
+def dictionary_entities(columns: DataFrame, dictionary: DataFrame, name: str = "column_name", entity: str = "column_entity") -> DataFrame:
+    """``columns`` with the entity that a dictionary (ending, entity) gives each name, '' if none.
+
+    As ``column_entity``, for dictionaries of any size: an ending is the whole name or the words after an underscore, case
+    does not count, the longest ending wins, and of an ending that is there twice the first entity by name. Each distinct name gives
+    one row per word, these meet the dictionary in an equi-join, and one row per name goes back. Nothing is broadcast
+    by hint: Spark does so where it knows a side to be small.
+    """
+    words = F.split(F.col("name_"), "_")
+    ending = F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), "_")))
+    names = columns.select(F.upper(name).alias("name_")).filter("name_ IS NOT NULL").distinct()
+    known = dictionary.select(F.upper("ending").alias("ending_"), F.col("entity").alias("entity_")).dropna().filter("ending_ <> ''")
+    met = names.select("name_", ending.alias("ending_")).join(known, "ending_")
+    best = met.groupBy("name_").agg(F.min(F.struct((-F.length("ending_")).alias("n"), "entity_")).alias("best_"))
+    joined = columns.withColumn("upper_", F.upper(name)).join(best, F.col("upper_") == F.col("name_"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns.columns], F.coalesce("best_.entity_", F.lit("")).alias(entity))
+
+
 def is_person_column(name: str) -> str:
     n = f"upper({name})"
     return (

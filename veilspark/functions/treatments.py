@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,6 +142,27 @@ def custom(function: Callable[[Column, Column], Column] | None = None) -> Treatm
     return Treatment("custom", REDACTED, function or (lambda value, entity: value))
 
 
+def custom_batches(function: Callable[[pd.Series, pd.Series], pd.Series]) -> Treatment:
+    """A user's function of pandas Series (values, entities), called once per Arrow batch.
+
+    The function sees values that are not null, and must give as many, in their order; nulls stay null. For whole columns
+    only, as free text is treated within a lambda.
+    """
+
+    def treat(values: pd.Series, entities: pd.Series) -> pd.Series:
+        filled = values.notna().to_numpy()
+        done = pd.Series([None] * len(values), dtype=object)
+        if filled.any():
+            given = function(values[filled].reset_index(drop=True), entities[filled].reset_index(drop=True))
+            if len(given) != filled.sum():
+                raise ValueError(f"the treatment gave {len(given)} values for {filled.sum()}")
+            done[filled] = list(given)
+        return done
+
+    batches = F.pandas_udf(treat, "string")
+    return Treatment("custom", REDACTED, lambda value, entity: batches(value, entity))
+
+
 class TreatmentMap:
     """A default treatment and overrides by entity; entity names are matched without case."""
 
