@@ -480,17 +480,17 @@ def related_paths(edges: DataFrame, table: str, depth: int = 3) -> DataFrame:
     links = spark.read.parquet(place)
 
     def walk(relation: str, near: str, far: str) -> DataFrame:
-        steps = links.select(F.col(near).alias("near"), F.col(far).alias("far"))
-        last = spark.range(1).select(F.lit(table).alias("table_name"), F.array(F.lit(table)).alias("path"))
-        seen = last.withColumn("depth", F.lit(0))
-        for step in range(1, depth + 1):
+        # no way leads back to the start, so the first step is a filter
+        steps = links.select(F.col(near).alias("near"), F.col(far).alias("far")).filter(F.col("far") != table)
+        last = steps.filter(F.col("near") == table).select(F.col("far").alias("table_name"), F.array("near", "far").alias("path"))
+        seen = last.withColumn("depth", F.lit(1))
+        for step in range(2, depth + 1):
             reached = last.join(steps, F.col("table_name") == F.col("near")).select(
                 F.col("far").alias("table_name"), F.concat("path", F.array("far")).alias("path")
             )
             reached = reached.groupBy("table_name").agg(F.min("path").alias("path"))
             last = reached.join(seen.select("table_name"), "table_name", "left_anti")
             seen = seen.unionByName(last.withColumn("depth", F.lit(step)))
-        path = F.array_join("path", " > ").alias("path")
-        return seen.filter("depth > 0").select(F.lit(relation).alias("relation"), "table_name", "depth", path)
+        return seen.select(F.lit(relation).alias("relation"), "table_name", "depth", F.array_join("path", " > ").alias("path"))
 
     return walk("references", "child_table", "parent_table").unionByName(walk("referenced_by", "parent_table", "child_table"))
