@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.sources.tables import scan_table
+from veilspark.sources.tables import scan_table, spread
 
 _KEY = "CAST(c_custkey AS string)"
 
@@ -199,25 +199,29 @@ INPUTS = {
     "column_cases": ("orders",),
 }
 
+# a short row of the input becomes many texts to search; the inputs of these views are dealt over all cores first
+DEALT = ("contacts", "variants")
+
 
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view or a table as DataFrame."""
     return view(spark, folder, name) if name in VIEWS else scan_table(spark, name, folder)
 
 
-def statement(spark: SparkSession, folder: str, text: str, inputs: tuple[str, ...]) -> DataFrame:
+def statement(spark: SparkSession, folder: str, text: str, inputs: tuple[str, ...], dealt: bool = False) -> DataFrame:
     """Run SQL text over the named views and tables, without touching the session's own views."""
     text = text.replace("{", "{{").replace("}", "}}")
     for name in inputs:
         text = re.sub(rf"\bFROM {name}\b", f"FROM {{{name}}}", text)
-    return spark.sql(text, **{name: frame(spark, folder, name) for name in inputs})
+    frames = {name: frame(spark, folder, name) for name in inputs}
+    return spark.sql(text, **{name: spread(df) if dealt else df for name, df in frames.items()})
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view as DataFrame over the Parquet tables of ``folder``."""
     if name == "corpus":
         return _corpus(spark, folder)
-    return statement(spark, folder, VIEWS[name], INPUTS[name])
+    return statement(spark, folder, VIEWS[name], INPUTS[name], name in DEALT)
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -199,3 +199,15 @@ def test_profile_counts_rows_once(spark):
     df = spark.createDataFrame(rows, "source string, t string")
     got = {(r.source, r.entity): (r.hits, r.rows_hit, r.n_rows, r.share) for r in entity_profile(df, "t", ["source"]).collect()}
     assert got == {("s1", "EMAIL_ADDRESS"): (2, 1, 2, 0.5), ("s2", "IP_ADDRESS_V4"): (1, 1, 1, 1.0)}
+
+
+def test_texts_with_the_mark_of_the_cutter(spark):
+    """A text that holds the character which stands for matches has the same spans."""
+    texts = ["\u0001 a@b.co\u0001 07123456789 \u0001\u0001é c@d.co", "a@b.co", "\u0001", "é a@b.co, c@d.co é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    hits = detect(rows, ["id"], "text", ["EMAIL_ADDRESS"]).collect()
+    found = sorted((r.id, r.start, r.end, r.match) for r in hits)
+    assert found == [
+        (0, 2, 8, "a@b.co"), (0, 27, 33, "c@d.co"),
+        (1, 0, 6, "a@b.co"), (3, 3, 9, "a@b.co"), (3, 11, 17, "c@d.co"),
+    ]

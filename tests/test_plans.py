@@ -92,3 +92,22 @@ def test_filter_reaches_the_scan_through_treatment(spark, folder):
     customers = scan_table(spark, "customer", folder)
     treated = P.treat_table(customers, P.decide(customers, order_by=["c_custkey"]))
     assert "GreaterThan(c_custkey,10)" in plan_of(treated.filter(F.col("c_custkey") > 10))
+
+
+def test_column_hits_keep_sums_not_rows(spark, folder):
+    """The least of a struct would make the aggregate sort all values of a task."""
+    contacts = view(spark, folder, "contacts")
+    assert "SortAggregate" not in plan_of(D.column_hits(contacts, ["cont_email", "ref_card"]))
+
+
+def test_lead_is_the_first_then_the_longest(spark):
+    values = [("x 12/12/2001",), ("10.0.0.1/24 é 10.0.0.2",), ("zz 10.0.0.1",), (None,), ("",)]
+    hits = D.column_hits(spark.createDataFrame(values, "v string"), ["v"])
+    found = {r.entity: (r.hits, r.heads, r.lead and tuple(r.lead)) for r in hits.collect()}
+    assert found == {None: (1, 1, None), "DATE_OF_BIRTH": (1, 1, (2, -12)), "IP_ADDRESS_V4": (2, 2, (0, -11))}
+    assert hits.schema["lead"].dataType.simpleString() == "struct<start:int,neg_end:int>"
+
+
+def test_one_row_group_is_searched_by_all_cores(spark, folder):
+    for name in ("contacts", "notes", "variants"):
+        assert view(spark, folder, name).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

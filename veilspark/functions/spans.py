@@ -51,11 +51,11 @@ def regex_spans(
     """All matches of ``pattern`` which pass ``valid``, in text order.
 
     The text is cut at the matches; adding up the byte lengths of (gap, match) pairs gives the offsets.
-    ``rlike`` goes first: most texts stop there.
+    ``rlike`` goes first: most texts stop there. A match is never empty.
     """
     rx = quoted(pattern)
     rule = f"coalesce({valid('x.m')}, false)" if valid else "true"
-    pieces = f"""zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
+    pieces = f"""zip_with({_gaps(text, rx)}, regexp_extract_all({text}, {rx}, 0),
       (g, m) -> named_struct('size', octet_length(g) + coalesce(octet_length(m), 0), 'm', m))"""
     ends = f"if(size(pz) <= {_FEW}, {_sums('pz')}, {_MANY_SUMS})"
     hits = f"""filter(zip_with(pz, {ends}, (p, e) -> named_struct('m', p.m, 'end', e)),
@@ -65,6 +65,18 @@ def regex_spans(
     return f"if(rlike({text}, {rx}), {let(pieces, 'pz', found)}, {EMPTY})"
 
 
+def _gaps(text: str, rx: str) -> str:
+    """What stands before, between and after the matches.
+
+    ``split`` compiles its pattern for every row, which costs more than all else done to a short text; ``regexp_replace``
+    keeps it. So matches become a mark, and ``split`` gets that one character, which needs no pattern.
+    A text that holds the mark itself is split by the pattern.
+    """
+    marked = f"split(regexp_replace({text}, {rx}, {_MARK}), {_MARK}, -1)"
+    return f"if(contains({text}, {_MARK}), split({text}, {rx}, -1), {marked})"
+
+
+_MARK = "'\\u0001'"
 _INTS = "CAST(array() AS array<int>)"
 
 

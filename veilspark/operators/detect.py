@@ -188,7 +188,8 @@ def column_hits(
     ``n_values`` counts the values that are not null, ``hits`` those with a hit of the entity,
     ``score`` is the best raw score, and ``lead`` the first place (start, longest, best score) at which
     the entity is the best reading of its extent. All columns go through one set of expressions and one
-    aggregate with a result of (columns x entities) rows.
+    aggregate with a result of (columns x entities) rows. The lead is one number until then: the least of a struct
+    would make the aggregate sort every row of a task, where numbers are kept in a small hash table.
     """
     long = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
@@ -197,18 +198,22 @@ def column_hits(
         'entity', e,
         'score', array_max(transform(filter(found, s -> s.entity = e), s -> s.score)),
         'lead', array_min(transform(filter(best, s -> s.entity = e),
-          s -> named_struct('start', s.start, 'neg_end', -s.end)))))"""
+          s -> shiftleft(CAST(s.start AS bigint), 32) - s.end))))"""
     merged = let(merge_spans("found", 0.0), "best", per_entity)
     summary = F.expr(let(raw_spans_sql("value", detectors), "found", merged))
     rows = long.filter(F.col("value").isNotNull()).select(
         "column_name", F.posexplode_outer(summary).alias("place", "e")
     )
-    return rows.groupBy("column_name", F.col("e.entity").alias("entity")).agg(
+    sums = rows.groupBy("column_name", F.col("e.entity").alias("entity")).agg(
         F.count(F.lit(1)).alias("hits"),
         F.count_if(F.col("place").isNull() | (F.col("place") == 0)).alias("heads"),
         F.max("e.score").alias("score"),
         F.min("e.lead").alias("lead"),
     )
+    # start * 2^32 - end, where end is from 0 to 2^31 - 1
+    start = "CAST(shiftright(lead + 4294967295, 32) AS int)"
+    lead = f"CASE WHEN lead IS NOT NULL THEN named_struct('start', {start}, 'neg_end', CAST(lead - shiftleft(CAST({start} AS bigint), 32) AS int)) END"
+    return sums.withColumn("lead", F.expr(lead))
 
 
 def analyze_columns(

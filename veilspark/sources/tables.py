@@ -38,6 +38,16 @@ def scan_table(
     return df.select(*columns) if columns is not None else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, for a narrow table each of whose rows becomes much work.
+
+    A file with one row group is one task, however many cores wait. Only the columns that are used are shuffled.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks)
+
+
 def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}.parquet"
 
