@@ -498,3 +498,19 @@ def test_stream_of_a_table_in_one_file_or_a_folder(spark, folder, tmp_path):
         run = S.write_files(S.read_table(spark, place, "customer"), str(tmp_path / out), str(tmp_path / f"{out}-log"))
         run.awaitTermination()
         assert rows_of(spark.read.parquet(str(tmp_path / out))) == rows_of(customers)
+
+
+def test_composite_keys_are_refuted_by_a_part_of_the_tuples(spark, monkeypatch):
+    """A repeated tuple among those of some digests ends the count; keys and rare repeats are still counted whole."""
+    rows = spark.range(20000).selectExpr("id % 200 AS a", "id div 200 AS b", "id div 400 AS c", "if(id = 19999, 198, id % 200) AS d")
+    monkeypatch.setattr(M, "_LARGE", 1000)
+    seen, exact = {}, M._Lattice._exact
+    monkeypatch.setattr(M._Lattice, "_exact", lambda self, s: seen.setdefault(s, exact(self, s)))
+    found = M.composite_keys({"t": rows}, max_width=2).collect()
+    assert [(r.columns, r.n_rows, r.kind) for r in found] == [("a,b", 20000, "PRIMARY KEY")]
+    lattice = M._Lattice(rows, K.column_ranges({"t": rows}), set())
+    assert exact(lattice, ("a", "b")) == (20000, 20000)
+    n, distinct = exact(lattice, ("a", "c"))
+    assert distinct < n < 2000
+    n, distinct = exact(lattice, ("b", "d"))
+    assert distinct == n - 1 and seen[("b", "d")] == (n, distinct)
