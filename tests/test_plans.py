@@ -111,3 +111,21 @@ def test_lead_is_the_first_then_the_longest(spark):
 def test_one_row_group_is_searched_by_all_cores(spark, folder):
     for name in ("contacts", "notes", "variants"):
         assert view(spark, folder, name).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_column_hits_search_texts_in_a_compiled_step(spark, folder):
+    """A generator is interpreted with all that it holds, so only what was found may be left in it."""
+    hits = D.column_hits(view(spark, folder, "contacts"), ["cont_email", "ref_card"])
+    generators = [line for line in plan_of(hits).splitlines() if "Generate posexplode" in line]
+    assert generators and not any("RLIKE" in line for line in generators)
+
+
+def test_hits_of_values_with_one_and_with_several_matches(spark):
+    values = ["é a@b.co $1", "a@b.co, é c@d.co $0 x\u0001", "a@b.co 10.0.0.1 \\", "z 1.2.3.4", "none", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    found = {r.entity: (r.hits, r.heads, r.score, r.lead and tuple(r.lead)) for r in D.column_hits(df, ["v"]).collect()}
+    assert found == {
+        None: (1, 1, None, None),
+        "EMAIL_ADDRESS": (3, 3, 0.85, (0, -6)),
+        "IP_ADDRESS_V4": (2, 1, 0.85, (2, -9)),
+    }

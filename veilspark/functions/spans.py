@@ -51,29 +51,34 @@ def regex_spans(
     """All matches of ``pattern`` which pass ``valid``, in text order.
 
     The text is cut at the matches; adding up the byte lengths of (gap, match) pairs gives the offsets.
-    ``rlike`` goes first: most texts stop there. A match is never empty.
+    ``rlike`` goes first: most texts stop there. A match is never empty. Most other texts have one match, which needs no sums.
     """
     rx = quoted(pattern)
-    rule = f"coalesce({valid('x.m')}, false)" if valid else "true"
-    pieces = f"""zip_with({_gaps(text, rx)}, regexp_extract_all({text}, {rx}, 0),
-      (g, m) -> named_struct('size', octet_length(g) + coalesce(octet_length(m), 0), 'm', m))"""
+    rule = (lambda m: f"coalesce({valid(m)}, false)") if valid else (lambda m: "true")
+    after = "octet_length(ps[0]) + octet_length(ps[1])"
+    one = f"if({rule('ps[1]')}, {one_span(entity, 'octet_length(ps[0])', after, 'ps[1]', score, recognizer)}, {EMPTY})"
+    pieces = """transform(filter(ps, (p, i) -> i % 2 = 0), (g, i) -> named_struct(
+      'size', octet_length(g) + coalesce(octet_length(get(ps, 2 * i + 1)), 0), 'm', get(ps, 2 * i + 1)))"""
     ends = f"if(size(pz) <= {_FEW}, {_sums('pz')}, {_MANY_SUMS})"
     hits = f"""filter(zip_with(pz, {ends}, (p, e) -> named_struct('m', p.m, 'end', e)),
-      x -> x.m IS NOT NULL AND {rule})"""
+      x -> x.m IS NOT NULL AND {rule('x.m')})"""
     start = "x.end - octet_length(x.m)"
     found = f"transform({hits}, x -> {span(entity, start, 'x.end', 'x.m', score, recognizer)})"
-    return f"if(rlike({text}, {rx}), {let(pieces, 'pz', found)}, {EMPTY})"
+    cut = let(_pieces(text, rx), "ps", f"if(size(ps) = 3, {one}, {let(pieces, 'pz', found)})")
+    return f"if(rlike({text}, {rx}), {cut}, {EMPTY})"
 
 
-def _gaps(text: str, rx: str) -> str:
-    """What stands before, between and after the matches.
+def _pieces(text: str, rx: str) -> str:
+    """What stands before the first match, that match, what stands before the second, and so on; the rest comes last.
 
     ``split`` compiles its pattern for every row, which costs more than all else done to a short text; ``regexp_replace``
-    keeps it. So matches become a mark, and ``split`` gets that one character, which needs no pattern.
+    keeps it. So matches are put between marks, and ``split`` gets that one character, which needs no pattern.
     A text that holds the mark itself is split by the pattern.
     """
-    marked = f"split(regexp_replace({text}, {rx}, {_MARK}), {_MARK}, -1)"
-    return f"if(contains({text}, {_MARK}), split({text}, {rx}, -1), {marked})"
+    marked = f"split(regexp_replace({text}, {rx}, concat({_MARK}, '$0', {_MARK})), {_MARK}, -1)"
+    pairs = f"""zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
+      (g, m) -> if(m IS NULL, array(g), array(g, m)))"""
+    return f"if(contains({text}, {_MARK}), flatten({pairs}), {marked})"
 
 
 _MARK = "'\\u0001'"
@@ -109,7 +114,8 @@ _MANY_SUMS = let(
 
 def distinct_spans(spans: str) -> str:
     """Equal spans once, in text order."""
-    return let(f"array_sort({spans})", "ds", "filter(ds, (s, i) -> i = 0 OR get(ds, i - 1) != s)")
+    once = "filter(ds, (s, i) -> i = 0 OR get(ds, i - 1) != s)"
+    return let(f"sort_array({spans})", "ds", f"if(size(ds) < 2, ds, {once})")
 
 
 def literal_span(text: str, literal: str, entity: str, score: float, recognizer: str) -> str:
@@ -126,7 +132,7 @@ def merge_spans(spans: str, min_score: float) -> str:
     Overlapping spans of different extent stay. Structs sort field by field, so the order is spelled
     by the order of the fields.
     """
-    ordered = f"""array_sort(transform(filter(raw, s -> s.score >= {min_score}D),
+    ordered = f"""sort_array(transform(filter(raw, s -> s.score >= {min_score}D),
       s -> named_struct('start', s.start, 'neg_end', -s.end, 'neg_score', -s.score,
         'entity', s.entity, 'match', s.match, 'recognizer', s.recognizer)))"""
     first_of_extent = """transform(
@@ -134,9 +140,10 @@ def merge_spans(spans: str, min_score: float) -> str:
         get(a, i - 1).start = s.start AND get(a, i - 1).neg_end = s.neg_end, false)),
       s -> named_struct('entity', s.entity, 'start', s.start, 'end', -s.neg_end, 'match', s.match,
         'score', -s.neg_score, 'recognizer', s.recognizer))"""
-    # most texts have no span at all: they skip the sort
+    # most texts have no span at all, or one: they skip the sort
+    few = f"if(size(raw) = 0, {EMPTY}, if(raw[0].score >= {min_score}D, raw, {EMPTY}))"
     return let(
-        spans, "raw", f"if(size(raw) = 0, {EMPTY}, {let(ordered, 'a', first_of_extent)})"
+        spans, "raw", f"if(size(raw) < 2, {few}, {let(ordered, 'a', first_of_extent)})"
     )
 
 

@@ -17,7 +17,6 @@ from ..functions.detectors import (
     analyze_sql,
     choose,
     raw_spans,
-    raw_spans_sql,
 )
 from ..functions.spans import let, merge_spans
 
@@ -194,15 +193,19 @@ def column_hits(
     long = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    per_entity = """transform(array_distinct(transform(found, s -> s.entity)), e -> named_struct(
+    lead = "shiftleft(CAST({0}.start AS bigint), 32) - {0}.end"
+    one = f"""array(named_struct('entity', found[0].entity, 'score', found[0].score,
+      'lead', CASE WHEN found[0].score >= 0.0D THEN {lead.format("found[0]")} END))"""
+    per_entity = f"""transform(array_distinct(transform(found, s -> s.entity)), e -> named_struct(
         'entity', e,
         'score', array_max(transform(filter(found, s -> s.entity = e), s -> s.score)),
-        'lead', array_min(transform(filter(best, s -> s.entity = e),
-          s -> shiftleft(CAST(s.start AS bigint), 32) - s.end))))"""
+        'lead', array_min(transform(filter(best, s -> s.entity = e), s -> {lead.format("s")}))))"""
     merged = let(merge_spans("found", 0.0), "best", per_entity)
-    summary = F.expr(let(raw_spans_sql("value", detectors), "found", merged))
-    rows = long.filter(F.col("value").isNotNull()).select(
-        "column_name", F.posexplode_outer(summary).alias("place", "e")
+    # each step is a projection of its own, which Spark compiles; inside a generator, all of it would be interpreted
+    spans = long.filter(F.col("value").isNotNull()).select("column_name", raw_spans("value", detectors).alias("found"))
+    summary = F.expr(f"CASE WHEN size(found) = 1 THEN {one} WHEN size(found) > 1 THEN {merged} END")
+    rows = spans.select("column_name", summary.alias("entities")).select(
+        "column_name", F.posexplode_outer("entities").alias("place", "e")
     )
     sums = rows.groupBy("column_name", F.col("e.entity").alias("entity")).agg(
         F.count(F.lit(1)).alias("hits"),
