@@ -300,6 +300,46 @@ def test_phrases_against_brute_force(spark, monkeypatch, broadcast):
         assert got == brute_phrases(rows, least, longest, top)
 
 
+def test_phrases_by_shuffle_move_packets(spark, monkeypatch, tmp_path):
+    """More groups than may be broadcast: a shuffle moves packets of keys, not a row per place of a word."""
+    monkeypatch.setattr(phrases, "BROADCAST_GROUPS", 0)
+    moved, written = [], phrases.written
+
+    def seen(df, name):
+        out = written(df, name)
+        moved.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(phrases, "written", seen)
+    exploded = []
+    monkeypatch.setattr(phrases.F, "posexplode", lambda *a: exploded.append(a) or pytest.fail("a row per place"))
+    rows = [("en", "one two three four five six seven eight nine ten " * 400)] * 30
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = sorted(map(tuple, phrases.phrase_collocations(df).collect()))
+    assert got == brute_phrases(rows, 10, 3, 2000)
+    assert all(n <= 30 for _, n in moved), moved
+    assert not exploded
+
+
+def test_keys_of_two_words_are_found(spark, monkeypatch):
+    """A hash that gives different words one key must not merge their counts: another salt is taken."""
+    real, salts = phrases._word_counts, []
+
+    def clashing(src, salt, least):
+        salts.append(salt)
+        rows = real(src, salt, least)
+        return rows.withColumn("what", phrases.F.lit(2)) if salt == 1 else rows
+
+    monkeypatch.setattr(phrases, "_word_counts", clashing)
+    rows = [("en", "new york " * 20)]
+    got = phrases.phrase_collocations(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert salts == [1, 2] and sorted(map(tuple, got)) == brute_phrases(rows, 10, 3, 2000)
+    held = phrases._Words()
+    words = phrases.pa.array(["a", "b", "a"], phrases.pa.large_string())
+    held.add(np.array([7, 7, 9], np.uint64), np.zeros(3, int), words, np.array([2, 3, 4]))
+    assert [x.tolist() for x in held.together()[::3]] == [[7, 7, 9], [2, 3, 4]]
+
+
 def test_phrases_on_odd_rows(spark, odd):
     assert phrases.phrase_collocations(odd.filter("false")).collect() == []
     assert phrases.phrase_collocations(odd.filter("doc_id = 8")).collect() == []
